@@ -8,6 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 MODULES = {
+    "op2_toxicity": "toxicity",
     "op3_near_dedup": "near_dedup",
     "op6_best_fit_packing": "packing",
     "op8_byte_bpe": "byte_bpe",

@@ -10,8 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 MODULES = {
     "op2_toxicity": "toxicity",
     "op3_near_dedup": "near_dedup",
+    "op5_secret_scan": "secret_scan",
     "op6_best_fit_packing": "packing",
+    "op7_simhash": "simhash",
     "op8_byte_bpe": "byte_bpe",
+    "op9_license_scan": "license_scan",
 }
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from quantjobs.llm.common import load, small_batches, with_columns_of
 
 #: Bounds of a worker's memos: entries of each, and characters of a key.
-MEMO_ENTRIES, MEMO_CHARS = 300_000, 48
+MEMO_ENTRIES, MEMO_CHARS = 600_000, 48
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -74,15 +74,16 @@ class PerfectHash:
             self.seeds[b] = seed
             for t, i in own:
                 self.slots[xxhash.xxh3_64_intdigest(t, seed) % self.n] = (t, i)
+        self.seeds = self.seeds.tolist()
 
     def get(self, token: bytes) -> int:
         """The token's id, -1 if it isn't a key."""
-        seed = int(self.seeds[xxhash.xxh3_64_intdigest(token) % self.n_buckets])
+        seed = self.seeds[xxhash.xxh3_64_intdigest(token) % self.n_buckets]
         found = self.slots[-seed - 1 if seed < 0 else xxhash.xxh3_64_intdigest(token, seed) % self.n]
         return found[1] if found is not None and found[0] == token else -1
 
 
-def heap_merge(piece: bytes, rank_of: Callable[[bytes], int]) -> list[int]:
+def heap_merge(piece: bytes, rank_of: Callable[[bytes], int | None]) -> list[int]:
     """Ids of one pre-token: lowest-ranked adjacent pair first, leftmost among equals."""
     n = len(piece)
     parts = [piece[i : i + 1] for i in range(n)]
@@ -91,7 +92,7 @@ def heap_merge(piece: bytes, rank_of: Callable[[bytes], int]) -> list[int]:
 
     def offer(i: int) -> None:
         j = after[i]
-        if j < n and (rank := rank_of(joined := parts[i] + parts[j])) >= 0:
+        if j < n and (rank := rank_of(joined := parts[i] + parts[j])) is not None:
             heapq.heappush(heap, (rank, i, joined))
 
     for i in range(n - 1):
@@ -135,6 +136,7 @@ class Codec:
 
     def __init__(self, table: PerfectHash, pattern: str) -> None:
         self.table = table
+        self.rank_of = {slot[0]: slot[1] for slot in table.slots if slot}.get
         self.split = regex.compile(pattern).findall
 
         self.known = Memo(self.pre_token)
@@ -142,7 +144,7 @@ class Codec:
     def pre_token(self, text: str) -> bytes:
         piece = text.encode("utf-8")
         whole = self.table.get(piece)
-        ids = [whole] if whole >= 0 else heap_merge(piece, self.table.get)
+        ids = [whole] if whole >= 0 else heap_merge(piece, self.rank_of)
         return b"".join([i.to_bytes(4, "little") for i in ids])
 
     def piece(self, text: str) -> bytes:
@@ -226,7 +228,7 @@ def decode(docs: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", out
         for batch in batches:
             col = batch.column(at)
             flat, ends = col.values.to_numpy(zero_copy_only=False), col.offsets.to_numpy()
-            texts = [b"".join([tokens[i] for i in flat[a:b].tolist()]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            texts = [b"".join(map(tokens.__getitem__, flat[a:b].tolist())) for a, b in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, out])
 
     return docs.mapInArrow(run, schema)

@@ -15,6 +15,7 @@ MODULES = {
     "op7_simhash": "simhash",
     "op8_byte_bpe": "byte_bpe",
     "op9_license_scan": "license_scan",
+    "op10_pii": "pii",
 }
 
 

@@ -72,3 +72,32 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licences of every whole text of documents: doc_id, text_digest, text_license, licenses (comma-joined)."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     return scan(docs).select("doc_id", "text_digest", "text_license", F.array_join("licenses", ",").alias("licenses"))
+
+
+def _sql() -> str:
+    """The query as DuckDB SQL."""
+
+    def canon(x: str) -> str:
+        x = f"lower({x})"
+        for old, new in SPELLINGS:
+            x = f"replace({x}, '{old}', '{new}')"
+        return f"trim(regexp_replace({x}, '[^a-z0-9]+', ' ', 'g'))"
+
+    def clean(x: str) -> str:
+        return f"array_to_string(list_filter(string_split_regex({x}, '\\r?\\n'), lambda l: NOT regexp_matches(lower(l), '{COPYRIGHT}')), chr(10))"
+
+    rows = ", ".join(f"('{name}', '{t}')" for name, texts in KNOWN.items() for t in texts)
+    return f"""
+WITH known AS (SELECT sha256({canon(clean("t"))}) AS digest, min(l) AS license FROM (VALUES {rows}) AS k(l, t) GROUP BY 1),
+d AS (SELECT doc_id, {clean("coalesce(text, '')")} AS w, row_number() OVER () AS r FROM documents),
+e AS (SELECT doc_id, r, sha256({canon("w")}) AS text_digest FROM d),
+f AS (SELECT r, unnest(string_split(w, chr(10))) AS line FROM d),
+g AS (SELECT DISTINCT f.r, k.license FROM f JOIN known k ON {canon("line")} <> '' AND sha256({canon("line")}) = k.digest),
+h AS (SELECT e.r, k.license FROM e JOIN known k ON e.text_digest = k.digest),
+s AS (SELECT r, string_agg(license, ',' ORDER BY license) AS licenses FROM (SELECT * FROM g UNION SELECT * FROM h) GROUP BY r)
+SELECT e.doc_id, e.text_digest, h.license AS text_license, coalesce(s.licenses, '') AS licenses
+FROM e LEFT JOIN h ON e.r = h.r LEFT JOIN s ON e.r = s.r
+"""
+
+
+ORACLE_SQL = _sql()

@@ -8,8 +8,10 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 MODULES = {
+    "op1_url_filter": "url_filter",
     "op2_toxicity": "toxicity",
     "op3_near_dedup": "near_dedup",
+    "op4_exact_topk": "topk",
     "op5_secret_scan": "secret_scan",
     "op6_best_fit_packing": "packing",
     "op7_simhash": "simhash",
@@ -24,4 +26,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries that SQL can express; the others are tested against brute force in tests/llm."""
+    return {"op4_exact_topk": import_module("quantjobs.llm.topk").ORACLE_SQL, "op9_license_scan": import_module("quantjobs.llm.license_scan").ORACLE_SQL}

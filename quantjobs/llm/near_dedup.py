@@ -6,8 +6,9 @@ keyed by tuple i of the first collection and tuple j of the second, so ``halves
 probability 7e-5, a pair at 0.8 with 6e-4.
 
 Documents with equal sets collapse first. In every bucket the densest member (the one with the most
-table mates) is compared with all others; what those links leave apart in a bucket is then compared
-across components, so that hot buckets cost rows in proportion to their members, not to all pairs. A
+table mates) is the centre. In each of a few rounds a document is compared with the centre of another
+component that it shares most buckets with, so that a hot group costs one pair a member and round, not
+all pairs. What those links leave apart in a bucket is then compared across components, all of it. A
 pair reaches the exact comparison only if at least half of its 32 minhashes agree (a pair at 0.8 fails
 that with probability below 1e-4).
 """
@@ -27,6 +28,8 @@ from quantjobs.llm.graph import components
 
 #: Largest number of ids (8 bytes each) that is broadcast instead of shuffling texts.
 BROADCAST_IDS = 2_000_000
+#: One-bit minhashes of the documents that are compared across components.
+BITS = 2048
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -58,8 +61,8 @@ class Sketch:
         self.flip = rng.integers(0, 2**63, n, dtype=np.uint64)
         self.times = rng.integers(0, 2**63, n, dtype=np.uint64) | np.uint64(1)
 
-    def __call__(self, flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(minhashes, table keys), a row for each non-empty set."""
+    def __call__(self, flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(minhashes, tuples of both collections, table keys), a row for each non-empty set."""
         least = np.empty((len(starts), len(self.flip)), dtype=np.uint64)
         for k, (flip, times) in enumerate(zip(self.flip, self.times, strict=True)):
             x = (flat ^ flip) * times
@@ -69,11 +72,11 @@ class Sketch:
             tuples = mixed(tuples * BASE + least[:, k :: self.rows])
         first, second = tuples[:, : self.halves, None], tuples[:, None, self.halves :]
         tables = np.arange(self.halves**2, dtype=np.uint64).reshape(1, self.halves, self.halves)
-        return least, mixed(first * BASE + second + tables).reshape(len(starts), -1)
+        return least, tuples, mixed(first * BASE + second + tables).reshape(len(starts), -1)
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, halves: int, rows: int) -> DataFrame:
-    """id, n_shingles, set_hash (null without words), sig array<int>, keys array<bigint> of every row."""
+    """id, n_shingles, set_hash (null without words), sig, tuples array<int>, keys array<bigint> of every row."""
     kind = docs.schema[id_col].dataType.simpleString()
     sketch = Sketch(halves, rows)
 
@@ -82,20 +85,20 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, halves: in
             sets = [shingle_set(x, words) for x in batch.column(1).to_pylist()]
             sizes = np.array([len(s) for s in sets], dtype=np.int64)
             full = np.flatnonzero(sizes)
-            sig, keys = [None] * len(sets), [None] * len(sets)
+            sig, two, keys = [None] * len(sets), [None] * len(sets), [None] * len(sets)
             if len(full):
                 starts = np.r_[0, np.cumsum(sizes[full])[:-1]]
-                least, tables = sketch(np.concatenate([sets[i] for i in full]), starts)
-                least = (least & np.uint64(0x7FFFFFFF)).astype(np.int32)
+                least, tuples, tables = sketch(np.concatenate([sets[i] for i in full]), starts)
+                least, tuples = ((x & np.uint64(0x7FFFFFFF)).astype(np.int32) for x in (least, tuples))
                 for at, i in enumerate(full):
-                    sig[i], keys[i] = least[at], tables[at].view(np.int64)
+                    sig[i], two[i], keys[i] = least[at], tuples[at], tables[at].view(np.int64)
             names = [xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes), pa.array(names, pa.string()), pa.array(sig, pa.list_(pa.int32())), pa.array(keys, pa.list_(pa.int64()))],
-                names=["id", "n_shingles", "set_hash", "sig", "keys"],
+                [batch.column(0), pa.array(sizes), pa.array(names, pa.string()), pa.array(sig, pa.list_(pa.int32())), pa.array(two, pa.list_(pa.int32())), pa.array(keys, pa.list_(pa.int64()))],
+                names=["id", "n_shingles", "set_hash", "sig", "tuples", "keys"],
             )
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_shingles bigint, set_hash string, sig array<int>, keys array<bigint>")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_shingles bigint, set_hash string, sig array<int>, tuples array<int>, keys array<bigint>")
 
 
 def agreeing(x: Column, y: Column) -> Column:
@@ -103,12 +106,52 @@ def agreeing(x: Column, y: Column) -> Column:
     return F.size(F.filter(F.zip_with(x, y, lambda p, q: p == q), lambda same: same))
 
 
+def first_table(halves: int) -> Column:
+    """Whether table t is the first in which two tuple arrays wa and wb agree: a pair counts there only."""
+    spot = [F.array_position(F.zip_with(F.slice("wa", at, halves), F.slice("wb", at, halves), lambda p, q: p == q), True) for at in (1, halves + 1)]
+    return F.col("t") == (spot[0] - 1) * halves + spot[1] - 1
+
+
+def close_bits(times: tuple[int, int]) -> Column:
+    """Whether one-bit minhashes ba and bb are as close as those of a linked pair, up to 4.2 deviations."""
+    p = (1 - times[1] / times[0]) / 2
+    most = int(BITS * p + 4.2 * (BITS * p * (1 - p)) ** 0.5) + 1
+    return F.aggregate(F.zip_with("ba", "bb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x) <= most
+
+
+def chosen(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text) of the documents with the given ids (column id)."""
+    ids = saved(ids, "wanted")
+    if ids.count() <= BROADCAST_IDS:  # else both sides are shuffled
+        ids = F.broadcast(ids)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
+
+
+def bit_sketches(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(id, bits): BITS one-bit minhashes of the documents with the given ids."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rng = np.random.default_rng(20_24)
+        flip = rng.integers(0, 2**63, BITS, dtype=np.uint64)
+        odd = rng.integers(0, 2**63, BITS, dtype=np.uint64) | np.uint64(1)
+        for batch in batches:
+            out = []
+            for x in batch.column(1).to_pylist():
+                found = np.full(BITS, 2**64 - 1, dtype=np.uint64)
+                shingles = shingle_set(x, words)
+                for at in range(0, len(shingles), 64):
+                    np.minimum(found, ((shingles[at : at + 64, None] ^ flip) * odd).min(0), out=found)
+                out.append(np.packbits(((mixed(found) >> np.uint64(40)) & np.uint64(1)).astype(np.uint8)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], names=["id", "bits"])
+
+    return saved(chosen(docs, ids, id_col, text_col).mapInArrow(run, f"id {kind}, bits array<bigint>"), "bits")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, times: tuple[int, int]) -> DataFrame:
     """The pairs (a, b) whose whole sets satisfy ``times[0] * intersection >= times[1] * union``."""
     pairs = saved(pairs, "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    if ids.count() <= BROADCAST_IDS:  # else both sides are shuffled
-        ids = F.broadcast(ids)
+    texts = chosen(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,14 +159,13 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, wor
             sets = [shingle_set(x, words).view(np.int64) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "s"])
 
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
     sets = saved(texts.mapInArrow(run, f"id {kind}, s array<bigint>"), "sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return saved(both.select("a", "b", common.alias("i"), (F.size("sa") + F.size("sb") - common).alias("u")).where(F.col("i") * times[0] >= F.col("u") * times[1]).select("a", "b").distinct(), "links")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, times: tuple[int, int] = (100, 85), halves: int = 8, rows: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, times: tuple[int, int] = (100, 85), halves: int = 8, rows: int = 2, rounds: int = 2) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row of ``docs``.
 
     Two documents are linked if ``times[0] * intersection >= times[1] * union`` of their shingle sets;
@@ -135,14 +177,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     small_batches(spark)
     rows_ = saved(sketches(docs, id_col, text_col, words, halves, rows), "sketches")
     full = rows_.where("set_hash is not null and id is not null")
-    classes = full.groupBy("set_hash").agg(F.min("id").alias("rep"), F.first(F.struct("n_shingles", "sig", "keys")).alias("f"))
+    classes = full.groupBy("set_hash").agg(F.min("id").alias("rep"), F.first(F.struct("n_shingles", "sig", "tuples", "keys")).alias("f"))
     nodes = saved(classes.select("set_hash", "rep", "f.*"), "nodes")
-    posts = nodes.select("rep", F.explode("keys").alias("key"))
+    posts = nodes.select("rep", F.posexplode("keys").alias("t", "key"))
     sizes = posts.groupBy("key").agg(F.count("*").alias("mates")).where("mates > 1")
     posts = saved(posts.join(sizes, "key"), "posts")
-    mass = posts.groupBy("rep").agg(F.sum("mates").alias("mass"))
-    centres = posts.join(mass, "rep").groupBy("key").agg(F.max_by("rep", F.struct("mass", -F.col("rep"))).alias("centre"))
-    stars = posts.join(centres, "key").where("rep <> centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
     facts = nodes.select("rep", "n_shingles", "sig")
 
     def side(name: str) -> DataFrame:
@@ -152,16 +191,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         shorter, longer = F.least(f"n{p}", f"n{q}"), F.greatest(f"n{p}", f"n{q}")
         return (shorter * times[0] >= longer * times[1]) & (agreeing(F.col(f"s{p}"), F.col(f"s{q}")) >= halves * rows)
 
-    stars = stars.join(side("a"), "a").join(side("b"), "b").where(likely("a", "b")).select("a", "b")
-    links = confirmed(stars, docs, id_col, text_col, words, times)
-    found = saved(components(links), "components")
+    mass = posts.groupBy("rep").agg(F.sum("mates").alias("mass"))
+    dense = saved(posts.join(mass, "rep").select("key", "t", "rep", "mass"), "dense")
+    links = tried = None
+    parts = dense.withColumn("part", F.col("rep"))
+    for _ in range(rounds):
+        centres = parts.groupBy("key").agg(F.max_by(F.struct("rep", "part"), F.struct("mass", -F.col("rep"))).alias("c"))
+        apart = parts.join(centres, "key").where(F.col("part") != F.col("c.part")).groupBy("rep", F.col("c.rep").alias("centre")).agg(F.count("*").alias("shared"))
+        if tried is not None:
+            apart = apart.join(tried, ["rep", "centre"], "left_anti")
+        best = saved(apart.groupBy("rep").agg(F.max_by("centre", F.struct("shared", -F.col("centre"))).alias("centre")), "best")
+        tried = best if tried is None else tried.unionAll(best)
+        pairs = best.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
+        new = confirmed(pairs.join(side("a"), "a").join(side("b"), "b").where(likely("a", "b")).select("a", "b"), docs, id_col, text_col, words, times)
+        links = new if links is None else links.unionAll(new)
+        found = components(links)
+        label = found.select(F.col("node").alias("rep"), "component")
+        parts = saved(dense.join(label, "rep", "left").select("key", "t", "rep", "mass", F.coalesce("component", "rep").alias("part")), "parts")
 
     # What is still apart in a bucket is compared across components.
-    parts = posts.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("part"))
     mixed_keys = parts.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("key")
-    left = saved(parts.join(mixed_keys, "key", "left_semi").join(facts, "rep"), "apart")
-    named = [left.select("key", *[F.col(c).alias(f"{n}{x}") for c, n in (("rep", "r"), ("part", "p"), ("n_shingles", "n"), ("sig", "s"))]) for x in "ab"]
-    across = named[0].join(named[1], "key").where((F.col("pa") < F.col("pb")) & likely("a", "b"))
+    left = saved(parts.join(mixed_keys, "key", "left_semi").select("key", "t", "rep", "part"), "apart")
+    bits = bit_sketches(docs, left.select(F.col("rep").alias("id")).distinct(), id_col, text_col, words)
+    left = left.join(nodes.select("rep", "n_shingles", "sig", "tuples").join(bits.withColumnRenamed("id", "rep"), "rep"), "rep")
+    named = [left.select("key", "t", *[F.col(c).alias(f"{n}{x}") for c, n in (("rep", "r"), ("part", "p"), ("n_shingles", "n"), ("sig", "s"), ("tuples", "w"), ("bits", "b"))]) for x in "ab"]
+    across = named[0].join(named[1], ["key", "t"]).where((F.col("pa") < F.col("pb")) & likely("a", "b") & first_table(halves) & close_bits(times))
     more = confirmed(across.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), docs, id_col, text_col, words, times)
     found = components(links.unionAll(more))
     label = nodes.select("set_hash", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_hash", F.coalesce("component", "rep").alias("label"))

@@ -43,6 +43,22 @@ VIEWS = {
     "bench": "SELECT date, ROUND(AVG(close), 6) AS close FROM bars GROUP BY date",
     "bench_ret": "SELECT date, ret FROM (SELECT date, close / lag(close) OVER (ORDER BY date) - 1 AS ret FROM bench) t WHERE ret IS NOT NULL",
     "last_price": "SELECT symbol, close AS price FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS rn FROM bars) t WHERE rn = 1",
+    "sector_pe": """SELECT i.sector, median(f.forward_pe) AS sector_pe FROM instruments i JOIN fundamentals f ON i.symbol = f.symbol
+        WHERE f.forward_pe > 0 GROUP BY i.sector""",
+    "risk": """SELECT symbol, avg(ret) * 252 AS annual_mean, stddev_samp(ret) * sqrt(252) AS annual_std,
+        CASE WHEN stddev_samp(ret) > 0 THEN avg(ret) * 252 / (stddev_samp(ret) * sqrt(252)) ELSE 0 END AS sharpe FROM ret GROUP BY symbol""",
+    "trend": "SELECT symbol, b / a - 1 AS momentum FROM (SELECT symbol, max(CASE WHEN pos = 1 THEN close END) AS b, max(CASE WHEN pos = 30 THEN close END) AS a FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS pos FROM bars) t GROUP BY symbol) u",
+    "facts": """SELECT i.symbol, i.sector, i.industry, i.name, p.price, f.target_mean_price, f.forward_pe, f.forward_eps, f.dividend_yield, f.average_volume,
+        f.last_updated, q.sector_pe, k.annual_mean, k.annual_std, k.sharpe, m.momentum FROM instruments i JOIN last_price p ON i.symbol = p.symbol
+        JOIN fundamentals f ON i.symbol = f.symbol LEFT JOIN sector_pe q ON i.sector = q.sector LEFT JOIN risk k ON i.symbol = k.symbol LEFT JOIN trend m ON i.symbol = m.symbol""",
+    "upsides": """SELECT *, CASE WHEN source = 'YahooFinance' THEN target_mean_price WHEN source = 'SectorPE_Fallback' THEN price * (1 + upside) END AS target_price FROM
+        (SELECT *, CASE WHEN source = 'YahooFinance' THEN least(greatest(target_mean_price / price - 1, -0.99), 10) WHEN source = 'SectorPE_Fallback' THEN least(greatest(sector_pe / forward_pe - 1, -0.99), 10) ELSE 0 END AS upside FROM
+        (SELECT *, CASE WHEN target_mean_price > 0 AND price > 0 THEN 'YahooFinance' WHEN sector_pe IS NOT NULL AND forward_pe <> 0 THEN 'SectorPE_Fallback' ELSE 'None' END AS source FROM facts) t) u""",
+    "normed": """SELECT u.*, CASE WHEN sharpe IS NULL THEN 0 WHEN s2 = s1 OR s1 IS NULL THEN 0.5 ELSE (sharpe - s1) / (s2 - s1) END AS sharpe_norm,
+        CASE WHEN upside IS NULL THEN 0 WHEN u2 = u1 OR u1 IS NULL THEN 0.5 ELSE (upside - u1) / (u2 - u1) END AS upside_norm,
+        CASE WHEN momentum IS NULL THEN 0 WHEN m2 = m1 OR m1 IS NULL THEN 0.5 ELSE (momentum - m1) / (m2 - m1) END AS momentum_norm
+        FROM upsides u CROSS JOIN (SELECT min(sharpe) AS s1, max(sharpe) AS s2, min(upside) AS u1, max(upside) AS u2, min(momentum) AS m1, max(momentum) AS m2 FROM upsides) x""",
+    "composite": "SELECT n.*, 0.4 * sharpe_norm + 0.35 * upside_norm + 0.25 * momentum_norm AS score FROM normed n",
     # Five equal weights over the symbols traded most often, and five over the next ones.
     "ranked": "SELECT symbol, row_number() OVER (ORDER BY n DESC, symbol) AS pos FROM (SELECT symbol, COUNT(*) AS n FROM bars GROUP BY symbol) t",
     "weights": "SELECT symbol, CAST(0.2 AS DOUBLE) AS weight FROM ranked WHERE pos <= 5",

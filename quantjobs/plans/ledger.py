@@ -54,7 +54,7 @@ def _ledger(s, d):
 
 def lg7(s, d):
     out = _ledger(s, d)
-    return out.select("document", "seq", *[F.col(c).cast("double").alias(c) for c in ("allocated_fees", "total_cost", "net_cash_flow")], F.round("effective_price", 4).alias("effective_price"))
+    return out.select("document", "seq", *[F.col(c).cast("double").alias(c) for c in ("allocated_fees", "total_cost", "net_cash_flow")], F.round("effective_price", 2).alias("effective_price"))
 
 
 def _named(s, d):
@@ -144,7 +144,7 @@ QUERIES = {
     "lg5_dedupe_movements": (lambda s, d: lg.dedupe_movements(table(s, d, "movements"), ["portfolio_id", "date", "operation"]).select("portfolio_id", "date", "operation", "value", "seq"), "SELECT portfolio_id, date, operation, arg_min(value, seq) AS value, min(seq) AS seq FROM movements GROUP BY 1, 2, 3"),
     "lg5_new_documents": (lambda s, d: lg.new_documents(table(s, d, "trades").select("document", "seq"), table(s, d, "fees").where("document % 3 = 0")), "SELECT document, seq FROM trades WHERE document % 3 <> 0"),
     "lg6_allocate_fees": (lambda s, d: _alloc(s, d).withColumn("fee", F.col("fee").cast("double")), f"WITH {ALLOC} SELECT document, seq, fee_type, CAST(fee AS DOUBLE) AS fee FROM alloc"),
-    "lg7_build_ledger": (lg7, f"WITH {ALLOC} SELECT document, seq, CAST(allocated_fees AS DOUBLE) AS allocated_fees, CAST(total_cost AS DOUBLE) AS total_cost, CAST(CASE WHEN side = 'BUY' THEN -total_cost ELSE total_cost END AS DOUBLE) AS net_cash_flow, round(CAST(total_cost AS DOUBLE) / quantity, 4) AS effective_price FROM led"),
+    "lg7_build_ledger": (lg7, f"WITH {ALLOC} SELECT document, seq, CAST(allocated_fees AS DOUBLE) AS allocated_fees, CAST(total_cost AS DOUBLE) AS total_cost, CAST(CASE WHEN side = 'BUY' THEN -total_cost ELSE total_cost END AS DOUBLE) AS net_cash_flow, round(round(CAST(total_cost AS DOUBLE) / quantity, 4), 2) AS effective_price FROM led"),
     "lg7_ledger_summary": (lambda s, d: r2(lg.ledger_summary(_ledger(s, d), ["symbol"]), "gross", "fees", "cost"), f"WITH {ALLOC} SELECT symbol, sum(quantity) AS quantity, round(CAST(sum(gross_value) AS DOUBLE), 2) AS gross, round(CAST(sum(allocated_fees) AS DOUBLE), 2) AS fees, round(CAST(sum(total_cost) AS DOUBLE), 2) AS cost FROM led WHERE side = 'BUY' GROUP BY 1"),
     "lg8_resolve_symbols": (lg8, """WITH k AS (SELECT trim(regexp_replace(upper(name), '[^A-Z0-9]+', ' ', 'g')) AS k, min(symbol) AS symbol FROM instruments GROUP BY 1), t AS (SELECT t.document, t.seq, i.name FROM trades t JOIN instruments i ON t.symbol = i.symbol)
         SELECT document, seq, CASE WHEN seq % 5 = 4 THEN 'CDB BANCO' WHEN seq % 5 = 3 THEN 'QQQ ZZZ' WHEN seq % 2 = 0 THEN name || ' ON NM' ELSE upper(name) END AS raw_name, CASE WHEN seq % 5 < 3 THEN k.symbol END AS symbol FROM t JOIN k ON trim(regexp_replace(upper(t.name), '[^A-Z0-9]+', ' ', 'g')) = k.k"""),
@@ -180,7 +180,7 @@ QUERIES = {
         gr AS (SELECT p.portfolio_id, p.symbol, sp.m, coalesce(t.dq, 0) AS dq, coalesce(t.b, 0) AS b, coalesce(t.s, 0) AS s, px.c FROM (SELECT DISTINCT portfolio_id, symbol FROM trades) p CROSS JOIN sp LEFT JOIN t ON t.portfolio_id = p.portfolio_id AND t.symbol = p.symbol AND t.m = sp.m LEFT JOIN px ON px.symbol = p.symbol AND px.m = sp.m),
         v AS (SELECT *, sum(dq) OVER w AS q, last_value(c IGNORE NULLS) OVER w AS p FROM gr WINDOW w AS (PARTITION BY portfolio_id, symbol ORDER BY m ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
         mo AS (SELECT portfolio_id, m, sum(CASE WHEN abs(q) > 0.001 THEN q * coalesce(p, 0) ELSE 0 END) AS ve, sum(b) AS b, sum(s) AS s FROM v GROUP BY 1, 2), st AS (SELECT *, coalesce(lag(ve) OVER (PARTITION BY portfolio_id ORDER BY m), 0) AS vs FROM mo)
-        SELECT portfolio_id, strftime(m, '%Y-%m') AS month, round(vs, 2) AS value_start, round(b - s, 2) AS flows, round(ve, 2) AS value_end, round(CASE WHEN ve = 0 AND s > 0 AND vs + b > 0 THEN s / (vs + b) - 1 WHEN vs + b - s > 0 THEN ve / (vs + b - s) - 1 ELSE 0 END, 4) AS ret FROM st"""),
+        SELECT portfolio_id, strftime(m, '%Y-%m') AS month, round(vs, 2) AS value_start, round(b - s, 2) AS flows, round(ve, 2) AS value_end, round(round(CASE WHEN ve = 0 AND s > 0 AND vs + b > 0 THEN s / (vs + b) - 1 WHEN vs + b - s > 0 THEN ve / (vs + b - s) - 1 ELSE 0 END, 6), 4) AS ret FROM st"""),
     "lg16_monthly_twr_from_daily": (lg16, """WITH g AS (SELECT symbol, CAST(date_trunc('month', date) AS DATE) AS m, product(1 + ret) - 1 AS r, product(1.0004::DOUBLE) - 1 AS f, count(*) AS n FROM ret WHERE ret IS NOT NULL GROUP BY 1, 2),
         sp AS (SELECT symbol, CAST(unnest(generate_series(CAST(min(m) AS TIMESTAMP), CAST(max(m) AS TIMESTAMP), INTERVAL 1 MONTH)) AS DATE) AS m FROM g GROUP BY 1), x AS (SELECT sp.symbol, sp.m, coalesce(n, 0) AS n, coalesce(r, 0) AS r, coalesce(f, 0) AS f FROM sp LEFT JOIN g ON sp.symbol = g.symbol AND sp.m = g.m)
         SELECT symbol, strftime(m, '%Y-%m') AS month, n AS sessions, round(r, 6) AS ret, round(f, 6) AS rf, round(product(1 + r) OVER w - 1, 6) AS ret_cum, round(product(1 + f) OVER w - 1, 6) AS rf_cum FROM x WINDOW w AS (PARTITION BY symbol ORDER BY m ROWS UNBOUNDED PRECEDING)"""),

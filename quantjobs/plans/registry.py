@@ -6,7 +6,7 @@ from importlib import import_module
 
 from quantjobs.plans.fixtures import with_views
 
-MODULES = ("market", "scoring", "portfolio")
+MODULES = ("market", "scoring", "portfolio", "ledger", "decisions")
 
 
 def registered() -> dict:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantjobs.llm.common import load, small_batches, with_columns_of
+from quantjobs.llm.common import load, small_batches, with_columns_of, without
 
 #: Bounds of a worker's memos: entries of each, and characters of a key.
 MEMO_ENTRIES, MEMO_CHARS = 600_000, 48
@@ -197,9 +197,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", o
     """Adds ``out``: the ids of every whole text (array of int).
 
     Null texts count as empty; empty texts have no ids; repeated rows and all other columns are kept as
-    they are. The vocabulary file is read on the driver and shipped with the function (a fixed size).
+    they are, but for one named ``out``, which is replaced. The vocabulary file is read on the driver and shipped with the function (a fixed size).
     """
     small_batches(docs.sparkSession)
+    docs = without(docs, out)
     shipped = docs.sparkSession.sparkContext.broadcast(vocabulary(ranks_path)[1])
     schema = with_columns_of(docs, f"`{out}` array<int>")
     at = docs.columns.index(text)
@@ -219,6 +220,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", o
 
 def decode(docs: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Adds ``out``: the bytes that the ids stand for (binary). Null ids give empty bytes."""
+    docs = without(docs, out)
     shipped = docs.sparkSession.sparkContext.broadcast(vocabulary(ranks_path)[0])
     schema = with_columns_of(docs, f"`{out}` binary")
     at = docs.columns.index(ids)

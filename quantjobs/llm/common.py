@@ -60,9 +60,12 @@ def span_string(spans: str, kinds: list[str]) -> Column:
     )
 
 
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` without columns of these names in any case; an operator's output replaces such columns."""
+    taken = {n.lower() for n in names}
+    return df.select(*[f"`{c}`" for c in df.columns if c.lower() not in taken])
+
+
 def with_columns_of(df: DataFrame, ddl: str) -> StructType:
-    """The schema of ``df`` with further columns, which must have new names."""
-    more = _parse_datatype_string(ddl).fields
-    if taken := {f.name.lower() for f in more} & {c.lower() for c in df.columns}:
-        raise ValueError(f"the input already has columns {sorted(taken)}")
-    return StructType([*df.schema.fields, *more])
+    """The schema of ``df`` with further columns."""
+    return StructType([*df.schema.fields, *_parse_datatype_string(ddl).fields])

@@ -9,7 +9,7 @@ from quantjobs.llm.common import saved
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component): the smallest node reachable, for every node that has an edge to another one.
+    """(node, component): the smallest node reachable, for every node from which a smaller one can be reached.
 
     Every round halves long chains; rounds are written to the shared folder. Null ends and loops are
     ignored, repeated edges count once. Without edges the result is empty.

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantjobs.llm.common import load, whole_text
+from quantjobs.llm.common import load, whole_text, without
 
 # Notices and short texts of well-known licences, by licence.
 KNOWN = {
@@ -54,8 +54,10 @@ def scan(docs: DataFrame, known: dict[str, list[str]] | None = None, text: str =
     """Adds text_digest, text_license (of the entire text) and licenses (sorted, of all lines and the text).
 
     Null texts count as empty; an empty canonical text or line is never a licence; repeated rows give
-    equal rows; other columns are kept. The digest table is as small as the list of known texts.
+    equal rows; other columns are kept, but those of the new
+    names (and _key, _found, digest) are replaced. The digest table is as small as the list of known texts.
     """
+    docs = without(docs, "text_digest", "text_license", "licenses", "_key", "_found", "digest")
     table = F.broadcast(known_digests(docs.sparkSession, known or KNOWN))
     whole = without_copyright(whole_text(text))
     keyed = docs.withColumn("_key", F.sha2(whole_text(text), 256)).withColumn("text_digest", F.sha2(canonical(whole), 256))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantjobs.llm.common import load, small_batches, span_string, with_columns_of
+from quantjobs.llm.common import load, small_batches, span_string, with_columns_of, without
 
 KINDS = ["email", "ip", "card", "phone"]
 # The base patterns, each written so that it scans any text in linear time.
@@ -276,9 +276,11 @@ def train(docs: DataFrame, text: str = "text", train_docs: int = TRAIN_DOCS, tra
 def find(docs: DataFrame, tagger: Tagger, out: str = "spans", text: str = "text") -> DataFrame:
     """Adds the spans (start, rank, end, base) of every whole text: base ones, and tagged ones beside them.
 
-    Null and empty texts have no spans; repeated rows give equal rows; other columns are kept.
+    Null and empty texts have no spans; repeated rows give equal rows; other columns are kept,
+    but for one named ``out``, which is replaced.
     """
     small_batches(docs.sparkSession)
+    docs = without(docs, out)
     shipped = docs.sparkSession.sparkContext.broadcast(tagger)
     schema = with_columns_of(docs, f"`{out}` array<struct<start:int,rank:int,end:int,base:boolean>>")
     at = docs.columns.index(text)

@@ -158,10 +158,11 @@ def redacted_text(text: Column, spans: Column, mark: str = "[SECRET]") -> Column
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with every secret replaced in ``text``; all rows stay. Null texts stay null."""
-    found = saved(analyse(docs, text), "secrets")
-    spans = secret_spans(found, thresholds(found))
-    return spans.withColumn(text, redacted_text(F.col(text), F.col("_spans"))).select(docs.columns)
+    """``docs`` with every secret replaced in ``text``; all rows and columns stay. Null texts stay null."""
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("text"))
+    found = saved(analyse(rows), "secrets")
+    spans = secret_spans(found, thresholds(found)).withColumn("text", redacted_text(F.col("text"), F.col("_spans")))
+    return spans.select(*[F.col("text").alias(c) if c == text else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,10 @@ TOXIC = 0.7
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, trained on the folder's labels, does not reject. Null and empty texts stay."""
     model = train(docs.select("doc_id", "text"), load(spark, sf_dir, "labels"))
-    return score(docs, model, "_score").where(f"_score < {TOXIC}").drop("_score")
+    name = "_score"
+    while name in docs.columns:
+        name += "_"
+    return score(docs, model, name).where(f"`{name}` < {TOXIC}").drop(name)
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

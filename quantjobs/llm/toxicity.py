@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantjobs.llm.byte_bpe import Memo
-from quantjobs.llm.common import load, saved, small_batches, with_columns_of
+from quantjobs.llm.common import load, saved, small_batches, with_columns_of, without
 
 # Letters that a character may imitate.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
@@ -225,8 +225,12 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
 
 
 def score(docs: DataFrame, model: Model, out: str = "score", text: str = "text") -> DataFrame:
-    """Adds the score, 0 to 1, of every whole text. Null and empty texts score as texts without evidence."""
+    """Adds the score, 0 to 1, of every whole text. Null and empty texts score as texts without evidence.
+
+    Repeated rows score alike; a column named ``out`` is replaced, all others are kept.
+    """
     small_batches(docs.sparkSession)
+    docs = without(docs, out)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     schema = with_columns_of(docs, f"`{out}` double")
 

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantjobs.llm.common import load, saved, small_batches
+from quantjobs.llm.common import load, saved, small_batches, without
 
 #: (verdict, rule) of the contract.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -116,8 +116,9 @@ def judge(pages: DataFrame, url: str = "url", html: str = "html", rules=RULES) -
     """Adds host, path, rule, verdict and evidence (log odds of block, in millionths) to every page.
 
     Null urls and urls without ``://`` have an empty host and path and are allowed unless a rule fits.
-    Repeated pages count as often as they occur; other columns are kept, and must not have these names.
+    Repeated pages count as often as they occur; other columns are kept, those of the new names replaced.
     """
+    pages = without(pages, "host", "path", "rule", "verdict", "evidence")
     host, path = parts(url)
     urls = saved(pages.select(host.alias("host"), path.alias("path")).groupBy("host", "path").agg(F.count("*").alias("pages")), "urls")
     seeds = pages.sparkSession.createDataFrame([(w, WORD_WEIGHT, y) for ws, y in ((JUNK_WORDS, "block"), (PLAIN_WORDS, "allow")) for w in ws], "word string, n bigint, verdict string")

@@ -84,8 +84,10 @@ def allocate_fees(trades: DataFrame, fees: DataFrame) -> DataFrame:
     t = trades.select("document", "seq", F.col("gross_value").cast("decimal(18,2)").alias("g"))
     total = t.groupBy("document").agg(F.sum("g").alias("total"), F.count("*").alias("n"), F.max("seq").alias("last"))
     d = fees.groupBy("document", "fee_type").agg(F.sum("amount").cast("decimal(18,2)").alias("amount")).join(total, "document").join(t, "document")
-    share = F.when(F.col("total") == 0, F.col("amount") / F.col("n")).otherwise(F.col("amount") * F.col("g") / F.col("total"))
-    d = d.withColumn("_s", F.when(F.col("seq") < F.col("last"), F.round(share.cast("decimal(28,10)"), 2)).otherwise(F.lit(0)).cast("decimal(18,2)"))
+    cents = {c: F.round(F.col(c) * 100).cast("decimal(18,0)") for c in ("amount", "g", "total")}
+    d = d.withColumns({f"_{c}": x for c, x in cents.items()})
+    half_up = F.expr("CASE WHEN _total = 0 THEN (2 * _amount + n) div (2 * n) ELSE (_amount * _g * 2 + _total) div (2 * _total) END")  # exact, no double rounding
+    d = d.withColumn("_s", F.when(F.col("seq") < F.col("last"), (half_up / 100).cast("decimal(18,2)")).otherwise(F.lit(0)).cast("decimal(18,2)"))
     others = F.sum("_s").over(Window.partitionBy("document", "fee_type"))  # the trades of one note
     return d.select("document", "seq", "fee_type", F.when(F.col("seq") == F.col("last"), F.col("amount") - others).otherwise(F.col("_s")).cast("decimal(18,2)").alias("fee"))
 
@@ -97,7 +99,7 @@ def build_ledger(trades: DataFrame, alloc: DataFrame) -> DataFrame:
     buy = F.col("side") == "BUY"
     cost = F.when(buy, F.col("gross_value") + F.col("allocated_fees")).otherwise(F.col("gross_value") - F.col("allocated_fees")).cast("decimal(18,2)")
     d = d.withColumn("total_cost", cost)
-    return d.withColumns({"net_cash_flow": F.when(buy, -F.col("total_cost")).otherwise(F.col("total_cost")), "effective_price": F.round(F.try_divide(F.col("total_cost").cast("double"), F.col("quantity").cast("double")), 4)})
+    return d.withColumns({"net_cash_flow": F.when(buy, -F.col("total_cost")).otherwise(F.col("total_cost")), "effective_price": F.round(F.try_divide("total_cost", F.col("quantity").cast("decimal(18,4)")), 4).cast("decimal(18,4)")})
 
 
 def ledger_summary(ledger: DataFrame, keys: list[str]) -> DataFrame:

@@ -54,7 +54,7 @@ def _ledger(s, d):
 
 def lg7(s, d):
     out = _ledger(s, d)
-    return out.select("document", "seq", *[F.col(c).cast("double").alias(c) for c in ("allocated_fees", "total_cost", "net_cash_flow")], F.round("effective_price", 2).alias("effective_price"))
+    return out.select("document", "seq", *[F.col(c).cast("double").alias(c) for c in ("allocated_fees", "total_cost", "net_cash_flow", "effective_price")])
 
 
 def _named(s, d):
@@ -103,12 +103,12 @@ def lg14(s, d):
     m = table(s, d, "movements").withColumn("date", F.add_months("date", -12 * 29))
     fund = table(s, d, "bench_ret").select("date", (F.col("ret") / 10).alias("fund_return"))
     out = lg.real_daily(_history(s, d), table(s, d, "trades").where(F.col("trade_date") <= END), m, table(s, d, "bench_ret"), fund)
-    return r2(out.drop("benchmark_return", "cost_basis"), "portfolio_value", "fund_value", "cash_value", "total_value", "cash_flow").withColumns({c: F.round(c, 4) for c in ("portfolio_return", "consolidated_return")})
+    return r2(out.drop("benchmark_return", "cost_basis"), "portfolio_value", "fund_value", "cash_value", "total_value", "cash_flow").withColumns({c: F.round(c, 8) for c in ("portfolio_return", "consolidated_return")})
 
 
 def lg15(s, d):
     t = table(s, d, "trades").select("portfolio_id", "symbol", "trade_date", F.when(F.col("side") == "BUY", "C").otherwise("V").alias("side"), "quantity", F.col("gross_value").cast("double").alias("gross_value"), F.lit(1.0).alias("fees"))
-    return lg.monthly_twr_from_trades(t, table(s, d, "bars"), "1995-01-01", "1996-12-31", ["portfolio_id"]).select("portfolio_id", "month", "value_start", "flows", "value_end", F.round("ret", 4).alias("ret"))
+    return lg.monthly_twr_from_trades(t, table(s, d, "bars"), "1995-01-01", "1996-12-31", ["portfolio_id"]).select("portfolio_id", "month", "value_start", "flows", "value_end", "ret")
 
 
 def lg16(s, d):
@@ -119,13 +119,13 @@ def lg16(s, d):
 def lg17(s, d):
     daily = table(s, d, "trades").groupBy("portfolio_id", F.col("trade_date").alias("date")).agg(F.sum(F.col("gross_value").cast("double")).alias("total_value"))
     m = table(s, d, "movements").withColumn("date", F.add_months("date", -12 * 29))
-    return r2(lg.modified_dietz(daily, m), "v0", "v1", "flow").withColumn("ret", F.round("ret", 4)).drop("ret_cum")
+    return r2(lg.modified_dietz(daily, m), "v0", "v1", "flow").withColumn("ret", F.round("ret", 8)).drop("ret_cum")
 
 
 WEEKDAY = "isodow({}) < 6"
 ALLOC = """tf AS (SELECT t.document, t.seq, t.gross_value AS g, sum(t.gross_value) OVER (PARTITION BY t.document) AS total, count(*) OVER (PARTITION BY t.document) AS n, max(t.seq) OVER (PARTITION BY t.document) AS last FROM trades t),
 ff AS (SELECT document, fee_type, sum(amount) AS amount FROM fees GROUP BY 1, 2),
-sh AS (SELECT tf.document, tf.seq, last, fee_type, amount, CASE WHEN tf.seq < last THEN CAST(round(CASE WHEN total = 0 THEN CAST(amount AS DOUBLE) / n ELSE CAST(amount AS DOUBLE) * CAST(g AS DOUBLE) / CAST(total AS DOUBLE) END, 2) AS DECIMAL(18, 2)) ELSE 0 END AS s FROM tf JOIN ff ON tf.document = ff.document),
+sh AS (SELECT tf.document, tf.seq, last, fee_type, amount, CASE WHEN tf.seq < last THEN CAST(CAST(CASE WHEN total = 0 THEN (2 * CAST(amount * 100 AS HUGEINT) + n) // (2 * n) ELSE (2 * CAST(amount * 100 AS HUGEINT) * CAST(g * 100 AS HUGEINT) + CAST(total * 100 AS HUGEINT)) // (2 * CAST(total * 100 AS HUGEINT)) END AS DOUBLE) / 100 AS DECIMAL(18, 2)) ELSE 0 END AS s FROM tf JOIN ff ON tf.document = ff.document),
 alloc AS (SELECT document, seq, fee_type, CAST(CASE WHEN seq = last THEN amount - sum(s) OVER (PARTITION BY document, fee_type) ELSE s END AS DECIMAL(18, 2)) AS fee FROM sh),
 led AS (SELECT t.*, coalesce(a.f, 0) AS allocated_fees, CASE WHEN side = 'BUY' THEN gross_value + coalesce(a.f, 0) ELSE gross_value - coalesce(a.f, 0) END AS total_cost FROM trades t LEFT JOIN (SELECT document, seq, sum(fee) AS f FROM alloc GROUP BY 1, 2) a ON t.document = a.document AND t.seq = a.seq)"""
 HIST = f"""ch AS (SELECT portfolio_id, symbol, trade_date AS date, sum(CASE WHEN side = 'SELL' THEN -quantity ELSE quantity END) AS dq FROM trades WHERE isodow(trade_date) < 6 GROUP BY 1, 2, 3),
@@ -144,7 +144,7 @@ QUERIES = {
     "lg5_dedupe_movements": (lambda s, d: lg.dedupe_movements(table(s, d, "movements"), ["portfolio_id", "date", "operation"]).select("portfolio_id", "date", "operation", "value", "seq"), "SELECT portfolio_id, date, operation, arg_min(value, seq) AS value, min(seq) AS seq FROM movements GROUP BY 1, 2, 3"),
     "lg5_new_documents": (lambda s, d: lg.new_documents(table(s, d, "trades").select("document", "seq"), table(s, d, "fees").where("document % 3 = 0")), "SELECT document, seq FROM trades WHERE document % 3 <> 0"),
     "lg6_allocate_fees": (lambda s, d: _alloc(s, d).withColumn("fee", F.col("fee").cast("double")), f"WITH {ALLOC} SELECT document, seq, fee_type, CAST(fee AS DOUBLE) AS fee FROM alloc"),
-    "lg7_build_ledger": (lg7, f"WITH {ALLOC} SELECT document, seq, CAST(allocated_fees AS DOUBLE) AS allocated_fees, CAST(total_cost AS DOUBLE) AS total_cost, CAST(CASE WHEN side = 'BUY' THEN -total_cost ELSE total_cost END AS DOUBLE) AS net_cash_flow, round(round(CAST(total_cost AS DOUBLE) / quantity, 4), 2) AS effective_price FROM led"),
+    "lg7_build_ledger": (lg7, f"WITH {ALLOC} SELECT document, seq, CAST(allocated_fees AS DOUBLE) AS allocated_fees, CAST(total_cost AS DOUBLE) AS total_cost, CAST(CASE WHEN side = 'BUY' THEN -total_cost ELSE total_cost END AS DOUBLE) AS net_cash_flow, CAST((200 * CAST(total_cost * 100 AS HUGEINT) + CAST(quantity AS HUGEINT)) // (2 * CAST(quantity AS HUGEINT)) AS DOUBLE) / 10000 AS effective_price FROM led"),
     "lg7_ledger_summary": (lambda s, d: r2(lg.ledger_summary(_ledger(s, d), ["symbol"]), "gross", "fees", "cost"), f"WITH {ALLOC} SELECT symbol, sum(quantity) AS quantity, round(CAST(sum(gross_value) AS DOUBLE), 2) AS gross, round(CAST(sum(allocated_fees) AS DOUBLE), 2) AS fees, round(CAST(sum(total_cost) AS DOUBLE), 2) AS cost FROM led WHERE side = 'BUY' GROUP BY 1"),
     "lg8_resolve_symbols": (lg8, """WITH k AS (SELECT trim(regexp_replace(upper(name), '[^A-Z0-9]+', ' ', 'g')) AS k, min(symbol) AS symbol FROM instruments GROUP BY 1), t AS (SELECT t.document, t.seq, i.name FROM trades t JOIN instruments i ON t.symbol = i.symbol)
         SELECT document, seq, CASE WHEN seq % 5 = 4 THEN 'CDB BANCO' WHEN seq % 5 = 3 THEN 'QQQ ZZZ' WHEN seq % 2 = 0 THEN name || ' ON NM' ELSE upper(name) END AS raw_name, CASE WHEN seq % 5 < 3 THEN k.symbol END AS symbol FROM t JOIN k ON trim(regexp_replace(upper(t.name), '[^A-Z0-9]+', ' ', 'g')) = k.k"""),
@@ -155,7 +155,7 @@ QUERIES = {
     "lg9_review_queue": (lg9_queue, """SELECT CASE WHEN seq % 5 = 4 THEN 'CDB BANCO' ELSE 'QQQ ZZZ' END AS name, sum(CASE WHEN side = 'SELL' THEN -quantity ELSE quantity END) AS qty, CAST(0 AS BIGINT) AS score, 'missing' AS confidence, any_value(CASE WHEN seq % 5 = 4 THEN 'ignored' ELSE 'pending' END) AS status FROM trades WHERE seq % 5 >= 3 GROUP BY 1"""),
     "lg10_positions": (lambda s, d: r2(_positions(s, d).drop("target_price"), "net_invested", "value").withColumn("avg_price", F.round("avg_price", 4)), """WITH n AS (SELECT portfolio_id, symbol, sum(CASE WHEN side = 'SELL' THEN -quantity ELSE quantity END) AS net_qty, sum(CASE WHEN side = 'SELL' THEN -CAST(gross_value AS DOUBLE) ELSE CAST(gross_value AS DOUBLE) END) AS net_invested,
         sum(CASE WHEN side = 'BUY' THEN CAST(gross_value AS DOUBLE) END) / sum(CASE WHEN side = 'BUY' THEN quantity END) AS avg_price FROM trades GROUP BY 1, 2) SELECT n.portfolio_id, n.symbol, net_qty, round(net_invested, 2) AS net_invested, round(avg_price, 4) AS avg_price, p.price, round(net_qty * p.price, 2) AS value FROM n JOIN last_price p ON n.symbol = p.symbol WHERE net_qty > 0"""),
-    "lg10_position_totals": (lambda s, d: r2(lg.position_totals(_positions(s, d)), "invested", "value", "target_value", "pnl"), """SELECT portfolio_id, count(*) AS n, round(sum(invested), 2) AS invested, round(sum(qty * p.price), 2) AS value, round(sum(qty * coalesce(u.target_price, p.price)), 2) AS target_value, round(sum(qty * p.price - invested), 2) AS pnl
+    "lg10_position_totals": (lambda s, d: r2(lg.position_totals(_positions(s, d)), "invested", "value", "pnl").withColumn("target_value", F.round("target_value", 5)), """SELECT portfolio_id, count(*) AS n, round(sum(invested), 2) AS invested, round(sum(qty * p.price), 2) AS value, round(sum(qty * coalesce(u.target_price, p.price)), 5) AS target_value, round(sum(qty * p.price - invested), 2) AS pnl
         FROM net n JOIN last_price p ON n.symbol = p.symbol JOIN upsides u ON n.symbol = u.symbol WHERE qty > 0 GROUP BY 1"""),
     "lg11_cost_basis": (lg11, """WITH g AS (SELECT portfolio_id, symbol, list({'sell': side = 'SELL', 'q': quantity, 'c': CAST(gross_value AS DOUBLE), 'qty': CAST(0 AS DOUBLE), 'basis': CAST(0 AS DOUBLE)} ORDER BY trade_date, document, seq) AS ts FROM trades GROUP BY 1, 2),
         f AS (SELECT portfolio_id, symbol, list_reduce(ts, lambda a, t: {'sell': t.sell, 'q': t.q, 'c': t.c, 'qty': CASE WHEN t.sell THEN a.qty - t.q ELSE a.qty + t.q END,
@@ -174,20 +174,20 @@ QUERIES = {
         k AS (SELECT *, product(1 + fr) OVER w AS g, sum(cash) OVER w AS cv FROM j WINDOW w AS (PARTITION BY portfolio_id ORDER BY date ROWS UNBOUNDED PRECEDING)),
         l AS (SELECT *, g * sum(fund / g) OVER (PARTITION BY portfolio_id ORDER BY date ROWS UNBOUNDED PRECEDING) AS fv FROM k), m AS (SELECT *, pv + cv + fv AS tv FROM l WHERE pv IS NOT NULL),
         n AS (SELECT *, lag(pv) OVER (PARTITION BY portfolio_id ORDER BY date) AS pp, lag(tv) OVER (PARTITION BY portfolio_id ORDER BY date) AS pt FROM m)
-        SELECT portfolio_id, date, round(pv, 2) AS portfolio_value, round(fv, 2) AS fund_value, round(cv, 2) AS cash_value, round(tv, 2) AS total_value, round(cf, 2) AS cash_flow, round(CASE WHEN pp + cf - dv > 0 THEN pv / (pp + cf - dv) - 1 END, 4) AS portfolio_return, round(CASE WHEN pt + ext > 0 THEN tv / (pt + ext) - 1 END, 4) AS consolidated_return FROM n"""),
+        SELECT portfolio_id, date, round(pv, 2) AS portfolio_value, round(fv, 2) AS fund_value, round(cv, 2) AS cash_value, round(tv, 2) AS total_value, round(cf, 2) AS cash_flow, round(CASE WHEN pp + cf - dv > 0 THEN pv / (pp + cf - dv) - 1 END, 8) AS portfolio_return, round(CASE WHEN pt + ext > 0 THEN tv / (pt + ext) - 1 END, 8) AS consolidated_return FROM n"""),
     "lg15_monthly_twr_from_trades": (lg15, """WITH t AS (SELECT portfolio_id, symbol, CAST(date_trunc('month', trade_date) AS DATE) AS m, sum(CASE WHEN side = 'BUY' THEN quantity ELSE -quantity END) AS dq, sum(CASE WHEN side = 'BUY' THEN CAST(gross_value AS DOUBLE) + 1 ELSE 0 END) AS b, sum(CASE WHEN side = 'BUY' THEN 0 ELSE CAST(gross_value AS DOUBLE) - 1 END) AS s FROM trades GROUP BY 1, 2, 3),
         sp AS (SELECT CAST(unnest(generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '1996-12-01', INTERVAL 1 MONTH)) AS DATE) AS m), px AS (SELECT symbol, CAST(date_trunc('month', date) AS DATE) AS m, arg_max(close, date) AS c FROM bars GROUP BY 1, 2),
         gr AS (SELECT p.portfolio_id, p.symbol, sp.m, coalesce(t.dq, 0) AS dq, coalesce(t.b, 0) AS b, coalesce(t.s, 0) AS s, px.c FROM (SELECT DISTINCT portfolio_id, symbol FROM trades) p CROSS JOIN sp LEFT JOIN t ON t.portfolio_id = p.portfolio_id AND t.symbol = p.symbol AND t.m = sp.m LEFT JOIN px ON px.symbol = p.symbol AND px.m = sp.m),
         v AS (SELECT *, sum(dq) OVER w AS q, last_value(c IGNORE NULLS) OVER w AS p FROM gr WINDOW w AS (PARTITION BY portfolio_id, symbol ORDER BY m ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
         mo AS (SELECT portfolio_id, m, sum(CASE WHEN abs(q) > 0.001 THEN q * coalesce(p, 0) ELSE 0 END) AS ve, sum(b) AS b, sum(s) AS s FROM v GROUP BY 1, 2), st AS (SELECT *, coalesce(lag(ve) OVER (PARTITION BY portfolio_id ORDER BY m), 0) AS vs FROM mo)
-        SELECT portfolio_id, strftime(m, '%Y-%m') AS month, round(vs, 2) AS value_start, round(b - s, 2) AS flows, round(ve, 2) AS value_end, round(round(CASE WHEN ve = 0 AND s > 0 AND vs + b > 0 THEN s / (vs + b) - 1 WHEN vs + b - s > 0 THEN ve / (vs + b - s) - 1 ELSE 0 END, 6), 4) AS ret FROM st"""),
+        SELECT portfolio_id, strftime(m, '%Y-%m') AS month, round(vs, 2) AS value_start, round(b - s, 2) AS flows, round(ve, 2) AS value_end, round(CASE WHEN ve = 0 AND s > 0 AND vs + b > 0 THEN s / (vs + b) - 1 WHEN vs + b - s > 0 THEN ve / (vs + b - s) - 1 ELSE 0 END, 6) AS ret FROM st"""),
     "lg16_monthly_twr_from_daily": (lg16, """WITH g AS (SELECT symbol, CAST(date_trunc('month', date) AS DATE) AS m, product(1 + ret) - 1 AS r, product(1.0004::DOUBLE) - 1 AS f, count(*) AS n FROM ret WHERE ret IS NOT NULL GROUP BY 1, 2),
         sp AS (SELECT symbol, CAST(unnest(generate_series(CAST(min(m) AS TIMESTAMP), CAST(max(m) AS TIMESTAMP), INTERVAL 1 MONTH)) AS DATE) AS m FROM g GROUP BY 1), x AS (SELECT sp.symbol, sp.m, coalesce(n, 0) AS n, coalesce(r, 0) AS r, coalesce(f, 0) AS f FROM sp LEFT JOIN g ON sp.symbol = g.symbol AND sp.m = g.m)
         SELECT symbol, strftime(m, '%Y-%m') AS month, n AS sessions, round(r, 6) AS ret, round(f, 6) AS rf, round(product(1 + r) OVER w - 1, 6) AS ret_cum, round(product(1 + f) OVER w - 1, 6) AS rf_cum FROM x WINDOW w AS (PARTITION BY symbol ORDER BY m ROWS UNBOUNDED PRECEDING)"""),
     "lg17_modified_dietz": (lg17, f"""WITH {SHIFT}, dl AS (SELECT portfolio_id, trade_date AS date, sum(CAST(gross_value AS DOUBLE)) AS tv FROM trades GROUP BY 1, 2), v AS (SELECT portfolio_id, CAST(date_trunc('month', date) AS DATE) AS m, arg_max(tv, date) AS v1 FROM dl GROUP BY 1, 2),
         f AS (SELECT portfolio_id, CAST(date_trunc('month', date) AS DATE) AS m, sum(CASE operation WHEN 'APORTE' THEN value ELSE -value END) AS f, sum(CASE operation WHEN 'APORTE' THEN value ELSE -value END * (day(last_day(date)) - day(date)) / day(last_day(date))) AS w FROM mv WHERE operation IN ('APORTE', 'SAQUE') GROUP BY 1, 2),
         x AS (SELECT v.portfolio_id, v.m, v1, coalesce(f, 0) AS f, coalesce(w, 0) AS w, coalesce(lag(v1) OVER (PARTITION BY v.portfolio_id ORDER BY v.m), 0) AS v0 FROM v LEFT JOIN f ON v.portfolio_id = f.portfolio_id AND v.m = f.m)
-        SELECT portfolio_id, strftime(m, '%Y-%m') AS month, round(v0, 2) AS v0, round(v1, 2) AS v1, round(f, 2) AS flow, round(CASE WHEN v0 + w > 0 THEN (v1 - v0 - f) / (v0 + w) ELSE 0 END, 4) AS ret FROM x"""),
+        SELECT portfolio_id, strftime(m, '%Y-%m') AS month, round(v0, 2) AS v0, round(v1, 2) AS v1, round(f, 2) AS flow, round(CASE WHEN v0 + w > 0 THEN (v1 - v0 - f) / (v0 + w) ELSE 0 END, 8) AS ret FROM x"""),
 }
 
 

@@ -187,7 +187,7 @@ def holdings_history(ledger: DataFrame, bars: DataFrame, end_date: str, weekend_
     """
     d = F.weekday("trade_date")
     own = ledger.where(d < 5) if weekend_trades == "drop" else ledger.withColumn("trade_date", F.when(d >= 5, F.date_add("trade_date", 7 - d)).otherwise(F.col("trade_date")))
-    steps = cost_basis(own)
+    steps = cost_basis(own.where(F.col("trade_date") <= F.lit(end_date).cast("date")))
     until = F.coalesce(F.date_sub(F.lead("date").over(Window.partitionBy("portfolio_id", "symbol").orderBy("date")), 1), F.lit(end_date).cast("date"))
     days = steps.withColumn("until", until).where("qty > 0 and until >= date").select("portfolio_id", "symbol", "qty", "basis", F.explode(F.sequence("date", "until")).alias("date")).where(F.weekday("date") < 5)
     priced = days.join(asof_price(days.select("symbol", "date").distinct(), bars), ["symbol", "date"]).where("price is not null")

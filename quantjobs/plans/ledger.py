@@ -10,7 +10,7 @@ from quantjobs.operators import timeseries as ts
 from quantjobs.plans.fixtures import table
 from quantjobs.plans.market import r6
 
-END = "1995-06-30"
+END = "1995-12-31"
 
 
 def lg1(s, d):
@@ -128,7 +128,7 @@ ff AS (SELECT document, fee_type, sum(amount) AS amount FROM fees GROUP BY 1, 2)
 sh AS (SELECT tf.document, tf.seq, last, fee_type, amount, CASE WHEN tf.seq < last THEN CAST(CAST(CASE WHEN total = 0 THEN (2 * CAST(amount * 100 AS HUGEINT) + n) // (2 * n) ELSE (2 * CAST(amount * 100 AS HUGEINT) * CAST(g * 100 AS HUGEINT) + CAST(total * 100 AS HUGEINT)) // (2 * CAST(total * 100 AS HUGEINT)) END AS DOUBLE) / 100 AS DECIMAL(18, 2)) ELSE 0 END AS s FROM tf JOIN ff ON tf.document = ff.document),
 alloc AS (SELECT document, seq, fee_type, CAST(CASE WHEN seq = last THEN amount - sum(s) OVER (PARTITION BY document, fee_type) ELSE s END AS DECIMAL(18, 2)) AS fee FROM sh),
 led AS (SELECT t.*, coalesce(a.f, 0) AS allocated_fees, CASE WHEN side = 'BUY' THEN gross_value + coalesce(a.f, 0) ELSE gross_value - coalesce(a.f, 0) END AS total_cost FROM trades t LEFT JOIN (SELECT document, seq, sum(fee) AS f FROM alloc GROUP BY 1, 2) a ON t.document = a.document AND t.seq = a.seq)"""
-HIST = f"""ch AS (SELECT portfolio_id, symbol, trade_date AS date, sum(CASE WHEN side = 'SELL' THEN -quantity ELSE quantity END) AS dq FROM trades WHERE isodow(trade_date) < 6 GROUP BY 1, 2, 3),
+HIST = f"""ch AS (SELECT portfolio_id, symbol, trade_date AS date, sum(CASE WHEN side = 'SELL' THEN -quantity ELSE quantity END) AS dq FROM trades WHERE isodow(trade_date) < 6 AND trade_date <= DATE '{END}' GROUP BY 1, 2, 3),
 st AS (SELECT *, sum(dq) OVER w AS qty, coalesce(lead(date) OVER w - 1, DATE '{END}') AS until FROM ch WINDOW w AS (PARTITION BY portfolio_id, symbol ORDER BY date)),
 dy AS (SELECT portfolio_id, symbol, qty, CAST(unnest(generate_series(CAST(date AS TIMESTAMP), CAST(until AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS date FROM st WHERE qty > 0 AND until >= date),
 hist AS (SELECT d.portfolio_id, d.date, d.symbol, d.qty, b.close AS price, d.qty * b.close AS value FROM (SELECT * FROM dy WHERE isodow(date) < 6) d ASOF JOIN bars b ON d.symbol = b.symbol AND d.date >= b.date WHERE d.date - b.date <= 10)"""
@@ -144,7 +144,7 @@ QUERIES = {
     "lg5_dedupe_movements": (lambda s, d: lg.dedupe_movements(table(s, d, "movements"), ["portfolio_id", "date", "operation"]).select("portfolio_id", "date", "operation", "value", "seq"), "SELECT portfolio_id, date, operation, arg_min(value, seq) AS value, min(seq) AS seq FROM movements GROUP BY 1, 2, 3"),
     "lg5_new_documents": (lambda s, d: lg.new_documents(table(s, d, "trades").select("document", "seq"), table(s, d, "fees").where("document % 3 = 0")), "SELECT document, seq FROM trades WHERE document % 3 <> 0"),
     "lg6_allocate_fees": (lambda s, d: _alloc(s, d).withColumn("fee", F.col("fee").cast("double")), f"WITH {ALLOC} SELECT document, seq, fee_type, CAST(fee AS DOUBLE) AS fee FROM alloc"),
-    "lg7_build_ledger": (lg7, f"WITH {ALLOC} SELECT document, seq, CAST(allocated_fees AS DOUBLE) AS allocated_fees, CAST(total_cost AS DOUBLE) AS total_cost, CAST(CASE WHEN side = 'BUY' THEN -total_cost ELSE total_cost END AS DOUBLE) AS net_cash_flow, CAST((200 * CAST(total_cost * 100 AS HUGEINT) + CAST(quantity AS HUGEINT)) // (2 * CAST(quantity AS HUGEINT)) AS DOUBLE) / 10000 AS effective_price FROM led"),
+    "lg7_build_ledger": (lg7, f"WITH {ALLOC} SELECT document, seq, CAST(allocated_fees AS DOUBLE) AS allocated_fees, CAST(total_cost AS DOUBLE) AS total_cost, CAST(CASE WHEN side = 'BUY' THEN -total_cost ELSE total_cost END AS DOUBLE) AS net_cash_flow, sign(total_cost) * CAST((200 * CAST(abs(total_cost) * 100 AS HUGEINT) + CAST(quantity AS HUGEINT)) // (2 * CAST(quantity AS HUGEINT)) AS DOUBLE) / 10000 AS effective_price FROM led"),
     "lg7_ledger_summary": (lambda s, d: r2(lg.ledger_summary(_ledger(s, d), ["symbol"]), "gross", "fees", "cost"), f"WITH {ALLOC} SELECT symbol, sum(quantity) AS quantity, round(CAST(sum(gross_value) AS DOUBLE), 2) AS gross, round(CAST(sum(allocated_fees) AS DOUBLE), 2) AS fees, round(CAST(sum(total_cost) AS DOUBLE), 2) AS cost FROM led WHERE side = 'BUY' GROUP BY 1"),
     "lg8_resolve_symbols": (lg8, """WITH k AS (SELECT trim(regexp_replace(upper(name), '[^A-Z0-9]+', ' ', 'g')) AS k, min(symbol) AS symbol FROM instruments GROUP BY 1), t AS (SELECT t.document, t.seq, i.name FROM trades t JOIN instruments i ON t.symbol = i.symbol)
         SELECT document, seq, CASE WHEN seq % 5 = 4 THEN 'CDB BANCO' WHEN seq % 5 = 3 THEN 'QQQ ZZZ' WHEN seq % 2 = 0 THEN name || ' ON NM' ELSE upper(name) END AS raw_name, CASE WHEN seq % 5 < 3 THEN k.symbol END AS symbol FROM t JOIN k ON trim(regexp_replace(upper(t.name), '[^A-Z0-9]+', ' ', 'g')) = k.k"""),

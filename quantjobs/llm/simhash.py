@@ -17,6 +17,8 @@ from quantjobs.llm.common import load, saved, whole_text
 
 RADIUS, BLOCKS = 3, 6
 LANES = 0x0000000100000001
+#: Largest number of ids (20 bytes each) that is broadcast instead of shuffling texts.
+BROADCAST_IDS = 2_000_000
 
 
 def terms(text: Column) -> Column:
@@ -94,12 +96,13 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     Rows with a null id have no next document and a null edited text.
     """
     base = docs.select(F.col(id_col).cast("bigint").alias("id"), whole_text(text_col).alias("text"))
-    after = saved(following(base.select("id")), "order")
-    own = base.join(after, "id", "left")
-    quarter = F.floor(F.length("text") / 4).cast("int")
-    want = own.select(F.col("next_id").alias("id"), quarter.alias("k"), F.col("id").alias("of")).groupBy("id", "of").agg(F.max("k").alias("k"))
-    heads = base.join(want, "id").groupBy("of").agg(F.min(F.expr("substring(text, 1, k)")).alias("head"))
-    out = own.join(heads.withColumnRenamed("of", "id"), "id", "left")
+    quarters = base.groupBy("id").agg(F.max(F.floor(F.length("text") / 4)).cast("int").alias("k"))
+    after = saved(following(base.select("id")).join(quarters, "id"), "order")
+    small = after.count() <= BROADCAST_IDS  # else both sides are shuffled
+    side = lambda df: F.broadcast(df) if small else df
+    want = after.select(F.col("next_id").alias("id"), "k", F.col("id").alias("of"))
+    heads = base.join(side(want), "id").select("of", F.expr("substring(text, 1, k)").alias("head")).groupBy("of").agg(F.min("head").alias("head"))
+    out = base.join(side(after.select("id", "next_id")), "id", "left").join(heads.withColumnRenamed("of", "id"), "id", "left")
     kept = F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 4) as int))")
     return out.select("id", "next_id", F.length("text").cast("long").alias("n_chars"), "text", F.concat(kept, F.expr("substring(head, 1, cast(floor(length(text) / 4) as int))")).alias("edited"))
 

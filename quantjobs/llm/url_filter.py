@@ -60,7 +60,8 @@ def word_counts(pages: DataFrame, html: str = "html") -> DataFrame:
             if len(seen) > 200_000:
                 yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
                 seen.clear()
-        yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
+        if seen:
+            yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
 
     return pages.select(F.col(html).alias("h")).mapInPandas(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -95,7 +96,8 @@ def segmented(names: DataFrame, counts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             words = [viterbi(x, dict(c or {}), total) for x, c in zip(pdf["name"], pdf["counts"], strict=True)]
-            yield pd.DataFrame({"name": pdf["name"], "words": words})
+            if words:
+                yield pd.DataFrame({"name": pdf["name"].astype(object).to_numpy(), "words": words})
 
     return names.join(known, "name", "left").mapInPandas(run, "name string, words array<string>")
 

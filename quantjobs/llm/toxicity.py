@@ -238,6 +238,8 @@ def score(docs: DataFrame, model: Model, out: str = "score", text: str = "text")
         m = shipped.value
         of = _evidence(m.costs, m.weights)
         for pdf in batches:
+            if not len(pdf):
+                continue
             x = np.array([of(t) for t in pdf[text]]).reshape(-1, 2)
             pdf[out] = 1 / (1 + np.exp(-np.clip(x @ m.final[:2] + m.final[2], -30, 30)))
             yield pdf

@@ -153,6 +153,19 @@ def test_random_strings_stand_out(spark):
     assert 25 <= spans <= 33
 
 
+def test_one_secret_is_found_in_tables_of_any_size(spark):
+    rng = random.Random(11)
+    key = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    lower = "abcdefghijklmnopqrstuvwxyz"
+    keys = [key(40, lower + lower.upper() + "0123456789"), key(32, lower), key(24, lower + "0123456789"), key(44, lower + lower.upper() + "0123456789+/")]
+    parts = "data reports public library internal reader writer portfolio history config service account".split()
+    plain = ["/".join(rng.choice(parts) for _ in range(4)) for _ in range(400)] + ["_".join(rng.choice(parts) for _ in range(4)) for _ in range(400)] + ["internationalization", "well-known-and-long-lasting", "Donaudampfschifffahrtsgesellschaft", "=" * 20]
+    for secret in keys:
+        for others in ([], plain):
+            df = spark.createDataFrame([(secret,), *[(p,) for p in others]], "text string")
+            assert sorted(r["text"] for r in secret_scan.redact(df).collect()) == sorted(["[SECRET]", *others])
+
+
 def test_licences(docs, spark):
     known = ["Licensed under the Apache License, Version 2.0.", "LICENSED under the   apache licence version 2.0!", "words\nAll rights reserved.\nmore", "Copyright (c) 2020 X\nAll rights reserved.", None, ""]
     df = spark.createDataFrame([(k, t, "x") for k, t in enumerate(known)], "doc_id int, text string, licenses string")

@@ -2,7 +2,9 @@
 
 A text is brought to a canonical form (case, punctuation, copyright lines, equivalent spellings, white
 space) and its digest is hash-joined to the digests of known licence texts. Besides the entire text,
-each of its lines is looked up in the same way, so that a notice inside a document is found too.
+each of its lines is looked up in the same way, so that a notice inside a document is found too. Full
+licence texts are known by their digests, taken without copyright clauses, and notices are also looked up
+inside sentences and across line ends.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantjobs.llm.common import load, whole_text, without
+from quantjobs.llm.license_texts import DIGESTS
 
 # Notices and short texts of well-known licences, by licence.
 KNOWN = {
@@ -29,6 +32,12 @@ KNOWN = {
 SPELLINGS = [("licence", "license"), ("licenced", "licensed"), ("organisation", "organization"), ("sub-license", "sublicense"), ("merchantibility", "merchantability"), ("noncommercial", "non commercial"), ("sharealike", "share alike")]
 COPYRIGHT = r"(copyright|\(c\)|©).*[12][0-9]{3}"
 
+# A copyright clause up to its line or sentence, the year optional, and what goes with it.
+CLAUSE = r"(?im)(copyright\s*(\(c\)|©)|©|^\s*\(c\)(?=\s+[12][0-9]{3})|copyright(?=,?\s+[12][0-9]{3})|^\s*copyright(?=\s+(by|the|\S+\s+\S+$)))([^\n.]|\.(?!\s+(?-i:[A-Z])|\s*$))*\.?"
+RESERVED = r"(?i)all rights reserved\.?"
+#: Beginnings of the notices, in canonical form.
+BEGIN = r"\b(?<!\bnot )(?=(licensed under|released under|this work is|spdx license identifier|all rights reserved)\b)"
+
 
 def canonical(text: Column) -> Column:
     """Lower case without copyright lines and punctuation, spellings unified, single spaces."""
@@ -44,6 +53,37 @@ def without_copyright(text: Column) -> Column:
     return F.array_join(lines, "\n")
 
 
+def without_clauses(text: Column) -> Column:
+    """The text without its copyright clauses; what else stands in their lines stays."""
+    return F.regexp_replace(text, CLAUSE, " ")
+
+
+def holds(text: Column, *words: str) -> Column:
+    """Whether a text holds one of the words in any case; every known text holds one."""
+    low, out = F.lower(text), F.lit(False)
+    for word in words:
+        out = out | F.contains(low, F.lit(word))
+    return out
+
+
+def text_key(text: Column) -> Column:
+    """Digest of a whole licence text: no copyright clauses, no reserved rights. Null for what holds no word of one."""
+    key = F.sha2(canonical(F.regexp_replace(without_clauses(text), RESERVED, " ")), 256)
+    return F.when(holds(text, "licen", "redistribution", "permission"), key)
+
+
+def notices(text: Column, sizes: list[int]) -> Column:
+    """What may be a notice anywhere in a text: the first words, as many as ``sizes`` tell, from each beginning of one."""
+    plain = canonical(without_clauses(text))
+    parts = F.when(holds(text, "licen", "reserved", "dedicated"), F.split(F.concat(F.lit(" "), plain), BEGIN)).otherwise(F.array().cast("array<string>"))  # split makes no cut at 0
+
+    def first_words(x: Column, i: Column, p: Column) -> Column:
+        ahead = F.split(F.trim(F.concat(x, F.coalesce(F.get(p, i + 1), F.lit("")))), " ")  # one notice may begin inside another
+        return F.transform(F.array(*map(F.lit, sizes)), lambda n: F.array_join(F.slice(ahead, F.lit(1), n), " "))
+
+    return F.flatten(F.flatten(F.transform(F.array(parts), lambda p: F.transform(p, lambda x, i: first_words(x, i, p)))))
+
+
 def known_digests(spark: SparkSession, known: dict[str, list[str]]) -> DataFrame:
     """(digest, license): a table as small as ``known``."""
     rows = spark.createDataFrame([(name, t) for name, texts in known.items() for t in texts], "license string, text string")
@@ -55,17 +95,22 @@ def scan(docs: DataFrame, known: dict[str, list[str]] | None = None, text: str =
 
     Null texts count as empty; an empty canonical text or line is never a licence; repeated rows give
     equal rows; other columns are kept, but those of the new
-    names (and _key, _found, digest) are replaced. The digest table is as small as the list of known texts.
+    names (and _key, _found, digest, _text, _name) are replaced. The digest table is as small as the list of known texts.
     """
-    docs = without(docs, "text_digest", "text_license", "licenses", "_key", "_found", "digest")
-    table = F.broadcast(known_digests(docs.sparkSession, known or KNOWN))
+    docs = without(docs, "text_digest", "text_license", "licenses", "_key", "_found", "digest", "_text", "_name")
+    spark = docs.sparkSession
+    table = F.broadcast(known_digests(spark, known or KNOWN))
+    texts = F.broadcast(spark.createDataFrame([(d, name) for name, ds in DIGESTS.items() for d in ds], "_text string, _name string"))
+    sizes = sorted({r["n"] for r in spark.createDataFrame([(t,) for ts in (known or KNOWN).values() for t in ts], "t string").select(F.size(F.split(canonical(without_copyright(F.col("t"))), " ")).alias("n")).collect()})
     whole = without_copyright(whole_text(text))
-    keyed = docs.withColumn("_key", F.sha2(whole_text(text), 256)).withColumn("text_digest", F.sha2(canonical(whole), 256))
-    lines = F.array_distinct(F.filter(F.transform(F.split(whole, "\n"), canonical), lambda x: x != ""))
+    keyed = docs.withColumn("_key", F.sha2(whole_text(text), 256)).withColumn("_text", text_key(whole_text(text))).withColumn("text_digest", F.sha2(canonical(whole), 256))
+    lines = F.concat(F.transform(F.split(whole, "\n"), canonical), notices(whole_text(text), sizes))
+    lines = F.array_distinct(F.filter(lines, lambda x: x != ""))
     each = docs.select(F.sha2(whole_text(text), 256).alias("_key"), F.explode(F.transform(lines, lambda x: F.sha2(x, 256))).alias("digest"))
     found = each.join(table, "digest").groupBy("_key").agg(F.collect_set("license").alias("_found"))  # no larger than the list
     entire = table.select(F.col("digest").alias("text_digest"), F.col("license").alias("text_license"))
-    out = keyed.join(entire, "text_digest", "left").join(found, "_key", "left")
+    out = keyed.join(entire, "text_digest", "left").join(texts, "_text", "left").join(found, "_key", "left")
+    out = out.withColumn("text_license", F.coalesce("text_license", "_name"))
     every = F.concat(F.coalesce("_found", F.array().cast("array<string>")), F.array_compact(F.array("text_license")))
     return out.select(*docs.columns, "text_digest", "text_license", F.array_sort(F.array_distinct(every)).alias("licenses"))
 

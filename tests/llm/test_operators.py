@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import os
 import random
 import re
 import zlib
@@ -174,6 +175,44 @@ def test_licences(docs, spark):
     assert license_scan.scan(docs).count() == docs.count() and license_scan.scan(docs.limit(0)).count() == 0
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+
+
+def test_whole_licence_texts_and_notices_in_sentences(spark):
+    texts = {
+        MIT: ("MIT", ["MIT"]),
+        "MIT License\n\nCopyright (c) 2020 X Inc. and others\n\n" + MIT: ("MIT", ["MIT"]),
+        "The MIT License (MIT)\n\nCopyright (c) X\n\n" + MIT.upper(): ("MIT", ["MIT"]),
+        "Copyright 2020 X. Licensed under the MIT License.": (None, ["MIT"]),
+        "Some words. This file is released under the\nMIT License and all of it is\nlicensed under the Apache License,\nVersion 2.0, as well.": (None, ["Apache-2.0", "MIT"]),
+        "Copyright X Y. All rights reserved. More words.": (None, ["proprietary"]),
+        "This is not licensed under the MIT License.": (None, []),
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert {r["text"]: (r["text_license"], r["licenses"]) for r in license_scan.scan(df).collect()} == texts
+    path = "/usr/share/common-licenses/GPL-3"
+    if os.path.exists(path):
+        gpl = spark.createDataFrame([(open(path).read(),)], "text string")
+        assert license_scan.scan(gpl).first()["text_license"] == "GPL-3.0"
+
+
 def test_personal_data(docs):
     email, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
     for t in ["a@b.c@d.ef x@@y.com @c.org@d.com", "1.2.3.4.5.6.7.8 300.1.1.1 01.2.3.004", "a.b@c-d.e.f."]:

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from quantjobs.llm import byte_bpe, license_scan, near_dedup, packing, pii, secret_scan, simhash, topk, toxicity, url_filter
@@ -109,15 +110,45 @@ def test_top_k(spark):
     assert topk.top_k(df.where("vec_id < 2"), F.col("id") % 50 == 0).count() == 1
 
 
-def test_simhash(spark, docs):
+def plain_fingerprint(text):
+    """Votes of word pairs, one by one."""
+    words = [w.lower() for w in re.split("[\\s!-/:-@\\[-`{-~]+", text, flags=re.A) if w]
+    pairs = list(zip(words, words[1:], strict=False)) if len(words) > 1 else [(w, "") for w in words]
+    votes, total = [0] * 64, 0
+    for a, b in pairs:
+        h = xxhash.xxh64_intdigest(a.encode(), 42)
+        h = xxhash.xxh64_intdigest(b.encode(), h) if len(words) > 1 else h
+        weight = min(7, max(1, (len(a) + len(b)) // 2))
+        x = xxhash.xxh64_intdigest(((h & ~7) | weight).to_bytes(8, "little"), 42)
+        votes, total = [v + weight * (x >> j & 1) for j, v in enumerate(votes)], total + weight
+    return sum(1 << j for j, v in enumerate(votes) if 2 * v > total)
+
+
+def test_simhash(spark, docs, tmp_path):
     one = docs.dropDuplicates(["doc_id"])
     texts = {r["doc_id"]: r["text"] or "" for r in one.collect()}
+    texts |= {1000: "w, " * 3000 + "End", 1001: "Ab", 1002: "cd ef", 1003: "a b c d e f!" * 2}
     order = sorted(texts)
-    rows = {r["id"]: r for r in simhash.edited(one).collect()}
+    table = spark.createDataFrame([*texts.items(), (1001, "Ab"), (1001, "Ab"), (1001, "Ab other last"), (None, "no id here"), (None, None)], "doc_id long, text string")
+    table.withColumn("h", F.lit("x")).withColumn("n_near", F.lit(0)).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = simhash.op7_simhash(spark, str(tmp_path)).collect()
+    assert len(rows) == table.count()
+    by_id = {}
+    for r in rows:
+        by_id.setdefault(r["doc_id"], []).append(r)
+    assert sorted(r["n_chars"] for r in by_id[None]) == [0, 10] and all(r["edited_sha256"] is None and r["near_next"] is None for r in by_id[None])
+    assert sorted((r["n_chars"], r["fingerprint"]) for r in by_id[1001]) == sorted([(2, f"{plain_fingerprint('Ab'):016x}")] * 3 + [(13, f"{plain_fingerprint('Ab other last'):016x}")])
+    least = {i: min(plain_fingerprint(t) - ((plain_fingerprint(t) >> 63) << 64) for t in ([texts[i], "Ab other last"] if i == 1001 else [texts[i]])) for i in order}
     for k, i in enumerate(order):
-        t, n = texts[i], texts[order[(k + 1) % len(order)]]
+        t, n = texts[i], min(texts[j] for j in [order[(k + 1) % len(order)]])
         q = len(t) // 4
-        assert rows[i]["edited"] == t[: len(t) - q] + n[:q] and rows[i]["n_chars"] == len(t)
+        new = t[: len(t) - q] + n[:q]
+        r = next(r for r in by_id[i] if r["n_chars"] == len(t))
+        f, g = plain_fingerprint(t), plain_fingerprint(new)
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (f"{f:016x}", f"{g:016x}")
+        assert r["edited_sha256"] == hashlib.sha256(new.encode()).hexdigest()
+        assert r["near_edited"] == 1 - (f ^ g).bit_count() / 64
+        assert r["near_next"] == 1 - ((f ^ least[order[(k + 1) % len(order)]]) & (2**64 - 1)).bit_count() / 64
     assert simhash.edited(docs).count() == docs.count() and simhash.edited(docs.limit(0)).count() == 0
     rng = random.Random(5)
     prints = [rng.getrandbits(64) - 2**63 for _ in range(40)]

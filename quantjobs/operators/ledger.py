@@ -160,9 +160,12 @@ def position_totals(pos: DataFrame) -> DataFrame:
     return pos.groupBy("portfolio_id").agg(F.count("*").alias("n"), F.sum("net_invested").alias("invested"), F.sum("value").alias("value"), F.sum(F.col("net_qty") * F.coalesce("target_price", "price")).alias("target_value"), F.sum(F.col("value") - F.col("net_invested")).alias("pnl"))
 
 
-def cost_basis(ledger: DataFrame, cost: str = "gross_value") -> DataFrame:
+def cost_basis(ledger: DataFrame, cost: str = "total_cost") -> DataFrame:
     """(portfolio_id, symbol, date, qty, basis) after each day of trades: buys add, a sale takes its share at average cost.
 
+    The cost is that of the ledger, fees included. A sale of more than is held takes the average cost of all it
+    sells, so that the basis turns negative with the quantity; a sale out of nothing held takes none.
+
     An ordered fold over the trades of a portfolio and symbol, kept by Spark as one array a pair.
     """
     trade = F.struct("trade_date", "document", "seq", (F.col("side") == "SELL").alias("sell"), F.col("quantity").cast("double").alias("q"), F.col(cost).cast("double").alias("c"))
@@ -170,7 +173,7 @@ def cost_basis(ledger: DataFrame, cost: str = "gross_value") -> DataFrame:
     zero = F.struct(F.lit(0.0).alias("qty"), F.lit(0.0).alias("basis"), F.array().cast("array<struct<date:date,qty:double,basis:double>>").alias("rows"))
 
     def step(a: Column, t: Column) -> Column:
-        taken = F.when(a["qty"] > 0, a["basis"] / a["qty"] * F.least(t["q"], a["qty"])).otherwise(0.0)
+        taken = F.when(a["qty"] > 0, a["basis"] / a["qty"] * t["q"]).otherwise(0.0)
         qty = F.when(t["sell"], a["qty"] - t["q"]).otherwise(a["qty"] + t["q"])
         basis = F.when(t["sell"], a["basis"] - taken).otherwise(a["basis"] + t["c"])
         return F.struct(qty.alias("qty"), basis.alias("basis"), F.array_append(a["rows"], F.struct(t["trade_date"].alias("date"), qty.alias("qty"), basis.alias("basis"))).alias("rows"))
@@ -227,8 +230,12 @@ def real_daily(history: DataFrame, ledger: DataFrame, movements: DataFrame, benc
     d = days.join(eq, keys, "left").join(flows, keys, "left").join(ops, keys, "left").join(F.broadcast(bench.select("date", F.col("ret").alias("benchmark_return"))), "date", "left").join(F.broadcast(fund.select("date", "fund_return")), "date", "left").na.fill(0.0, ["cash_flow", "external", "dividends", "cash", "into_fund"])
     w = Window.partitionBy("portfolio_id").orderBy("date")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("_g", F.product(1 + F.coalesce("fund_return", F.lit(0.0))).over(run))
-    d = d.withColumns({"cash_value": F.sum("cash").over(run), "fund_value": F.col("_g") * F.sum(F.col("into_fund") / F.col("_g")).over(run)})
+    # A fund return of -1 wipes out what was there: growth is counted anew from that day on.
+    growth = 1 + F.coalesce("fund_return", F.lit(0.0))
+    d = d.withColumn("_lost", F.count_if(growth == 0).over(run))
+    since = Window.partitionBy("portfolio_id", "_lost").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("_g", F.product(F.when(growth == 0, 1.0).otherwise(growth)).over(since))
+    d = d.withColumns({"cash_value": F.sum("cash").over(run), "fund_value": F.col("_g") * F.sum(F.col("into_fund") / F.col("_g")).over(since)})
     d = d.where("portfolio_value is not null")
     prev = F.lag("portfolio_value").over(w)
     ret = F.when(prev + F.col("cash_flow") - F.col("dividends") > 0, F.col("portfolio_value") / (prev + F.col("cash_flow") - F.col("dividends")) - 1)

@@ -28,25 +28,33 @@ def blend_candidates(holdings: DataFrame, ideal: DataFrame, n: int = 100) -> Dat
     ids = holdings.select("portfolio_id").distinct()
     goal = ids.join(F.broadcast(ideal.select("symbol", F.col("weight").alias("w2"))), F.lit(True))  # a model of a few symbols
     both = holdings.select("portfolio_id", "symbol", F.col("weight").alias("w1")).join(goal, ["portfolio_id", "symbol"], "full_outer").na.fill(0.0)
-    d = both.select("portfolio_id", "symbol", "w1", "w2", F.explode(F.sequence(F.lit(0), F.lit(n))).alias("k")).withColumn("blend", F.round(F.col("k") / n, 4))
-    d = d.withColumn("w", F.col("w1") * (1 - F.col("blend")) + F.col("w2") * F.col("blend"))
-    total = F.sum("w").over(Window.partitionBy("portfolio_id", "blend"))  # one portfolio's symbols
-    return d.withColumn("weight", F.col("w") / total).where("weight > 0.001").select("portfolio_id", "blend", "symbol", "weight")
+    totals = both.groupBy("portfolio_id").agg(F.sum("w1").alias("t1"), F.sum("w2").alias("t2"))  # a blend's total is a blend of totals
+    d = both.join(totals, "portfolio_id").select("portfolio_id", "symbol", "w1", "w2", "t1", "t2", F.explode(F.sequence(F.lit(0), F.lit(n))).alias("k")).withColumn("blend", F.round(F.col("k") / n, 4))
+    mix = lambda a, b: F.col(a) * (1 - F.col("blend")) + F.col(b) * F.col("blend")
+    return d.withColumn("weight", F.try_divide(mix("w1", "w2"), mix("t1", "t2"))).where("weight > 0.001").select("portfolio_id", "blend", "symbol", "weight")
 
 
-def transition_trades(holdings: DataFrame, target: DataFrame, prices: DataFrame, cost_pct: float) -> DataFrame:
-    """Per symbol whose weight moves by 0.001 or more: action, whole shares (1 at least), value and cost."""
+def transition_trades(holdings: DataFrame, target: DataFrame, prices: DataFrame, cost_pct: float | DataFrame) -> DataFrame:
+    """Per symbol whose weight moves by 0.001 or more: action, whole shares (1 at least), value and cost.
+
+    A number of shares within a millionth of a whole one counts as whole.
+    ``cost_pct`` is one per cent for all, or (portfolio_id, cost_pct); a portfolio without one pays nothing.
+    """
     keys = [c for c in target.columns if c in ("portfolio_id", "blend")]
     value = holdings.groupBy("portfolio_id").agg(F.sum("value").alias("_total"))
     own = holdings.select("portfolio_id", "symbol", F.col("weight").alias("current_weight"))
     if "blend" in keys:
         own = own.join(target.select("portfolio_id", "blend").distinct(), "portfolio_id")
     d = own.join(target.select(*keys, "symbol", F.col("weight").alias("target_weight")), [*keys, "symbol"], "full_outer").na.fill(0.0, ["current_weight", "target_weight"]).join(value, "portfolio_id").join(F.broadcast(prices.select("symbol", "price")), "symbol", "left")  # one price a symbol
+    if isinstance(cost_pct, DataFrame):
+        d = d.join(cost_pct.select("portfolio_id", F.col("cost_pct").alias("_cost")), "portfolio_id", "left").na.fill(0.0, ["_cost"])
+    else:
+        d = d.withColumn("_cost", F.lit(float(cost_pct)))
     delta = F.col("target_weight") - F.col("current_weight")
     d = d.withColumn("weight_change", delta).where(F.abs("weight_change") >= 0.001)
-    d = d.withColumn("shares", F.when(F.col("price") > 0, F.greatest(F.lit(1), F.floor(F.abs("weight_change") * F.col("_total") / F.col("price")))).otherwise(0))
+    d = d.withColumn("shares", F.when(F.col("price") > 0, F.greatest(F.lit(1), F.floor(F.round(F.abs("weight_change") * F.col("_total") / F.col("price"), 6)))).otherwise(0))
     d = d.withColumn("trade_value", F.when(F.col("price") > 0, F.col("shares") * F.col("price")).otherwise(F.abs("weight_change") * F.col("_total")))
-    return d.select(*keys, "symbol", F.when(F.col("weight_change") > 0, "BUY").otherwise("SELL").alias("action"), "current_weight", "target_weight", "weight_change", "price", "shares", "trade_value", (F.col("trade_value") * cost_pct / 100).alias("cost"), F.col("_total").alias("portfolio_value"))
+    return d.select(*keys, "symbol", F.when(F.col("weight_change") > 0, "BUY").otherwise("SELL").alias("action"), "current_weight", "target_weight", "weight_change", "price", "shares", "trade_value", (F.col("trade_value") * F.col("_cost") / 100).alias("cost"), F.col("_total").alias("portfolio_value"))
 
 
 def trade_summary(trades: DataFrame) -> DataFrame:
@@ -74,13 +82,22 @@ def best_candidate(candidates: DataFrame) -> DataFrame:
     return g.select("portfolio_id", "b.*")
 
 
-def discretize(weights: DataFrame, value: float, prices: DataFrame) -> DataFrame:
-    """Whole shares (1 at least) and the weights that they give; without a price the allocation is kept with no shares."""
+def amount(x: float | str) -> Column:
+    """A number for all rows, or the column of that name (one value a portfolio)."""
+    return F.col(x) if isinstance(x, str) else F.lit(float(x))
+
+
+def discretize(weights: DataFrame, value: float | str, prices: DataFrame) -> DataFrame:
+    """Whole shares (1 at least) and the weights that they give; without a price the allocation is kept with no shares.
+
+    ``value`` is a number, or the column of ``weights`` that holds each portfolio's value.
+    """
+    value = amount(value)
     d = weights.join(prices.select("symbol", "price"), "symbol", "left")
     d = d.withColumn("shares", F.when(F.col("price") > 0, F.greatest(F.lit(1), F.floor(F.col("weight") * value / F.col("price")))).otherwise(0))
     d = d.withColumn("value", F.when(F.col("price") > 0, F.col("shares") * F.col("price")).otherwise(F.col("weight") * value))
     total = F.sum("value").over(Window.partitionBy("portfolio_id"))
-    return d.withColumn("new_weight", F.col("value") / total)
+    return d.withColumn("new_weight", F.try_divide("value", total))
 
 
 def return_contributors(weights: DataFrame, quality: DataFrame) -> DataFrame:

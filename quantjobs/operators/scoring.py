@@ -48,10 +48,18 @@ def upside(df: DataFrame) -> DataFrame:
     return out.withColumn("target_price", F.when(F.col("source") == "YahooFinance", F.col("target_mean_price")).when(F.col("source") == "SectorPE_Fallback", F.col("price") * (1 + F.col("upside"))))
 
 
-def minmax(df: DataFrame, *cols: str) -> DataFrame:
-    """<col>_norm: scaled to 0..1 over all rows; 0.5 without spread, nulls 0. The extremes are one broadcast row."""
-    stats = df.agg(*[f(c).alias(f"_{k}{c}") for c in cols for k, f in (("a", F.min), ("b", F.max))])
-    out = df.join(F.broadcast(stats), F.lit(True))
+def per_run(df: DataFrame, one: DataFrame, by: list[str]) -> DataFrame:
+    """``df`` beside its run's row of ``one``; without keys that is one row, which is broadcast."""
+    if not by:
+        return df.join(F.broadcast(one), F.lit(True))
+    keys = one.select(*[F.col(k).alias(f"_by_{k}") for k in by], *[c for c in one.columns if c not in by])
+    return df.join(keys, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_by_{k}")) for k in by])).drop(*[f"_by_{k}" for k in by])
+
+
+def minmax(df: DataFrame, *cols: str, by: list[str] | None = None) -> DataFrame:
+    """<col>_norm: scaled to 0..1 over all rows, or those of a run (``by``); 0.5 without spread, nulls 0. A null run is a run."""
+    stats = df.groupBy(*(by or [])).agg(*[f(c).alias(f"_{k}{c}") for c in cols for k, f in (("a", F.min), ("b", F.max))])
+    out = per_run(df, stats, by or [])
     for c in cols:
         a, b = F.col(f"_a{c}"), F.col(f"_b{c}")
         out = out.withColumn(f"{c}_norm", F.when(F.col(c).isNull(), 0.0).when(a.isNull() | (a == b), 0.5).otherwise((F.col(c) - a) / (b - a)))
@@ -63,26 +71,37 @@ PROFILES = {"conservador": ((0.50, 0.35, 0.15), (1.3, 0.9, 0.6)), "moderado": ((
 FACTORS = ("sharpe", "upside", "momentum")
 
 
-def factor_weights(scored: DataFrame, profile: str = "moderado", strength: float = 0.4, regime_mult: float = 1.0) -> DataFrame:
-    """One row of weights: shares of the normalised factors' variances, drawn towards a profile."""
+def factor_weights(scored: DataFrame, profile: str = "moderado", strength: float = 0.4, regime_mult: float = 1.0, by: list[str] | None = None) -> DataFrame:
+    """One row of weights, or one for each run (``by``): shares of the normalised factors' variances, drawn towards a profile."""
     s = min(1.0, strength * regime_mult)
-    v = scored.agg(*[F.var_samp(f"{f}_norm").alias(f) for f in FACTORS])
+    v = scored.groupBy(*(by or [])).agg(*[F.var_samp(f"{f}_norm").alias(f) for f in FACTORS])
     total = reduce(lambda a, b: a + b, [F.coalesce(F.col(f), F.lit(0.0)) for f in FACTORS])
     base = [F.when(total > 0, F.coalesce(F.col(f), F.lit(0.0)) / total).otherwise(d) for f, d in zip(FACTORS, (0.5, 0.5, 0.0), strict=True)]
     drawn = [(1 - s) * b + s * t * m for b, t, m in zip(base, *PROFILES[profile], strict=True)]
-    return v.select(*[(d / reduce(lambda a, b: a + b, drawn)).alias(f"{f}_weight") for f, d in zip(FACTORS, drawn, strict=True)])
-
-
-def composite_score(df: DataFrame, weights: DataFrame) -> DataFrame:
-    """score, its rank (ties by symbol) and the weights used, from one broadcast row of weights."""
-    out = df.join(F.broadcast(weights), F.lit(True)).withColumn("score", reduce(lambda a, b: a + b, [F.col(f"{f}_norm") * F.col(f"{f}_weight") for f in FACTORS]))
-    better = out.select("symbol", "score")
-    return out.join(rank_of(better), "symbol")
-
-
-def rank_of(scores: DataFrame) -> DataFrame:
-    """(symbol, rank) by score descending, symbol ascending. A universe's symbols fit one task."""
-    return scores.select("symbol", F.row_number().over(Window.orderBy(F.desc("score"), "symbol")).alias("rank"))
+    return v.select(*(by or []), *[(d / reduce(lambda a, b: a + b, drawn)).alias(f"{f}_weight") for f, d in zip(FACTORS, drawn, strict=True)])
+
+
+def composite_score(df: DataFrame, weights: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """score, its rank (ties by symbol) and the weights used, from one row of weights, or that of the run (``by``)."""
+    out = per_run(df, weights, by or []).withColumn("score", reduce(lambda a, b: a + b, [F.col(f"{f}_norm") * F.col(f"{f}_weight") for f in FACTORS]))
+    if by:
+        return out.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "symbol")))
+    return rank_of(out)
+
+
+def rank_of(scores: DataFrame, slices: int = 64) -> DataFrame:
+    """Adds rank by score descending, symbol ascending (null scores last).
+
+    Rows are ranked within slices between quantiles of the score, behind the rows of all higher slices, so that no
+    task holds the whole table; rows of one score share a slice.
+    """
+    cuts = [] if scores.isStreaming else scores.agg(F.percentile_approx("score", [i / slices for i in range(1, slices)], 10_000)).first()[0] or []
+    cuts = sorted(set(cuts))
+    at = F.when(F.col("score").isNull(), -1).otherwise(F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c <= F.col("score"))))
+    d = scores.withColumn("_slice", at)
+    above = d.groupBy("_slice").agg(F.count("*").alias("_n")).withColumn("_above", F.coalesce(F.sum("_n").over(Window.orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # at most slices + 1 rows
+    place = F.row_number().over(Window.partitionBy("_slice").orderBy(F.desc("score"), "symbol"))
+    return d.join(F.broadcast(above.select("_slice", "_above")), "_slice").withColumn("rank", (place + F.col("_above")).cast("int")).drop("_slice", "_above")
 
 
 def trend_regime(bench: DataFrame, lookback: int = 60, strong_bull: float = 0.2, bull: float = 0.1, bear: float = -0.1, strong_bear: float = -0.2, bear_vol: float = 0.8) -> DataFrame:

@@ -57,6 +57,10 @@ def portfolio_metrics(weights: DataFrame, expected: DataFrame, cov: DataFrame, s
     return out.withColumn("sharpe", F.when(raw > 0, raw / scale).otherwise(raw * scale))
 
 
+#: Largest pool whose covariances (POOL * POOL numbers) are gathered and broadcast.
+POOL = 2000
+
+
 @dataclass(frozen=True)
 class SearchParams:
     """Draws of a combination between ``least`` and ``most``: factor * ln(k) ** 2; a window of draws without progress ends it."""
@@ -107,8 +111,10 @@ def best_weights(mean: np.ndarray, cov: np.ndarray, groups: np.ndarray, p: Searc
 
 
 def _arrays(mean: DataFrame, cov: DataFrame, sectors: DataFrame) -> tuple[dict[str, int], np.ndarray, np.ndarray, np.ndarray]:
-    """The pool's statistics as arrays; a pool has tens of symbols."""
-    m = mean.join(sectors, "symbol").orderBy("symbol").toPandas()
+    """The pool's statistics as arrays; a pool of more than POOL symbols is refused, as its matrix goes to the driver."""
+    m = mean.join(sectors, "symbol").orderBy("symbol").limit(POOL + 1).toPandas()
+    if len(m) > POOL:
+        raise ValueError(f"a pool has at most {POOL} symbols")
     at = {s: i for i, s in enumerate(m["symbol"])}
     c = np.zeros((len(at), len(at)))
     for r in cov.collect():
@@ -118,13 +124,34 @@ def _arrays(mean: DataFrame, cov: DataFrame, sectors: DataFrame) -> tuple[dict[s
     return at, m["mean"].to_numpy(), c, groups
 
 
+def equal_weight_bar(combos: DataFrame, at: dict[str, int], mean: np.ndarray, cov: np.ndarray, p: SearchParams, quantile: float = 0.9) -> float:
+    """A quantile of the combinations' Sharpe ratios at equal weights, found before the search: no draw depends on order."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for combo in pdf["combo"]:
+                i = np.array([at[s] for s in combo])
+                vol = np.sqrt(max(cov[np.ix_(i, i)].mean(), 0.0))
+                out.append((mean[i].mean() - p.rf) / vol if vol > 0 else -np.inf)
+            yield pd.DataFrame({"s": out})
+
+    got = combos.select("combo").mapInPandas(run, "s double").where("s > double('-infinity')").agg(F.percentile_approx("s", quantile, 10_000)).first()[0]
+    return -np.inf if got is None or got <= 0 or p.power else float(got)
+
+
 def random_weight_search(combos: DataFrame, mean: DataFrame, cov: DataFrame, sectors: DataFrame, p: SearchParams = SearchParams(), seed: int = 7, n: int | None = None) -> DataFrame:
     """(combo, weights, sharpe): the best of random weights of each combination.
 
+    A combination whose first scan stays below ``p.discard`` of the bar, the 0.9 quantile of all combinations at equal
+    weights, gets no further draws. With a concentration penalty there is no bar.
+
     Combinations are searched where they lie, in batches, against arrays of the pool's size; a
     combination's draws depend on it and the seed only, not on the partitioning.
     """
-    stats = combos.sparkSession.sparkContext.broadcast(_arrays(mean, cov, sectors))
+    arrays = _arrays(mean, cov, sectors)
+    bar = equal_weight_bar(combos, *arrays[:3], p)
+    stats = combos.sparkSession.sparkContext.broadcast(arrays)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, m, c, g = stats.value
@@ -132,7 +159,7 @@ def random_weight_search(combos: DataFrame, mean: DataFrame, cov: DataFrame, sec
             out = []
             for combo, own in zip(pdf["combo"], pdf["own"], strict=True):
                 i = np.array([at[s] for s in combo])
-                w, s = best_weights(m[i], c[np.ix_(i, i)], g[i], p, n or draws(len(i), p), int(own))
+                w, s = best_weights(m[i], c[np.ix_(i, i)], g[i], p, n or draws(len(i), p), int(own), bar)
                 out.append((list(combo), w, s))
             yield pd.DataFrame(out, columns=["combo", "weights", "sharpe"])
 
@@ -239,8 +266,12 @@ def run_stability(weights: DataFrame, metric: DataFrame) -> tuple[DataFrame, Dat
     return m.withColumn("cv", F.try_divide("std", "mean")), w.select("symbol", (F.col("k") / F.col("_runs")).alias("frequency"), "mean", "std", F.try_divide("std", "mean").alias("cv"))
 
 
-def project_allocation(weights: DataFrame, capital: float, prices: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per holding: allocation, whole shares (1 at least), invested and target value."""
+def project_allocation(weights: DataFrame, capital: float | str, prices: DataFrame, targets: DataFrame) -> DataFrame:
+    """Per holding: allocation, whole shares (1 at least), invested and target value.
+
+    ``capital`` is a number, or the column of ``weights`` that holds each portfolio's capital.
+    """
+    capital = F.col(capital) if isinstance(capital, str) else F.lit(float(capital))
     d = weights.join(prices.select("symbol", "price"), "symbol").join(targets.select("symbol", F.col("target_price").alias("target")), "symbol", "left")
     shares = F.greatest(F.lit(1), F.floor(F.col("weight") * capital / F.col("price")))
     return d.withColumns({"allocation": F.col("weight") * capital, "shares": shares}).withColumns({"invested": F.col("shares") * F.col("price"), "target_value": F.col("shares") * F.coalesce("target", "price")})

@@ -22,7 +22,7 @@ def daily_returns(bars: DataFrame) -> DataFrame:
     w = by("symbol")
     dated = bars.join(F.broadcast(calendar(bars)), "date")  # as many rows as trading days
     step = F.col("idx") - F.lag("idx").over(w)
-    return dated.withColumn("ret", F.when(step == 1, F.col("close") / F.lag("close").over(w) - 1)).select("symbol", "date", "idx", "close", "ret")
+    return dated.withColumn("ret", F.when(step == 1, F.try_divide(F.col("close"), F.lag("close").over(w)) - 1)).select("symbol", "date", "idx", "close", "ret")
 
 
 def padded(bars: DataFrame) -> DataFrame:
@@ -36,7 +36,7 @@ def padded(bars: DataFrame) -> DataFrame:
 
 def daily_returns_padded(bars: DataFrame) -> DataFrame:
     """ret after filling: 0 on a day without a trade once the symbol has started."""
-    return padded(bars).withColumn("ret", F.col("close") / F.lag("close").over(by("symbol")) - 1)
+    return padded(bars).withColumn("ret", F.try_divide(F.col("close"), F.lag("close").over(by("symbol"))) - 1)
 
 
 def momentum(bars: DataFrame, n: int = 126) -> DataFrame:

@@ -10,14 +10,23 @@ from quantjobs.operators import rebalance as rb
 from quantjobs.operators import scoring as sc
 from quantjobs.operators import timeseries as ts
 from quantjobs.plans.fixtures import table
-from quantjobs.plans.market import r6
+from quantjobs.plans.market import decimal_rounds
 from quantjobs.plans.scoring import PARAMS, QUALITY, _quality
 
 COST = 0.3
 
 
+def rounded(df, digits, *cols):
+    """Rounded from a decimal, as ``decimal_rounds`` has it in SQL: an edge that floats miss by a hair counts as one."""
+    return df.withColumns({c: F.round(F.col(c).cast("decimal(28,9)"), digits).cast("double") for c in cols})
+
+
 def r4(df, *cols):
-    return df.withColumns({c: F.round(c, 4) for c in cols})
+    return rounded(df, 4, *cols)
+
+
+def r6(df, *cols):
+    return rounded(df, 6, *cols)
 
 
 def _hold(s, d):
@@ -34,11 +43,17 @@ def _rated(s, d):
 
 def rb1(s, d):
     pos = lg.positions(table(s, d, "trades"), table(s, d, "last_price"), table(s, d, "upsides"))
-    return rb.holdings_metrics(pos, table(s, d, "bars"), table(s, d, "upsides")).withColumns({"value": F.round("value", 2), "expected_return": F.round("expected_return", 4)})
+    return rb.holdings_metrics(pos, table(s, d, "bars"), table(s, d, "upsides")).withColumns({"value": F.round("value", 2), "expected_return": F.round(F.col("expected_return").cast("decimal(28,9)"), 4).cast("double")})
 
 
 def _blends(s, d):
-    return rb.blend_candidates(_hold(s, d), table(s, d, "ideal"), 10)
+    return rb.blend_candidates(_hold(s, d), table(s, d, "ideal"))
+
+
+def rb2(s, d):
+    """All blends of every portfolio, each summed up in one row."""
+    g = _blends(s, d).groupBy("portfolio_id", "blend").agg(F.count("*").alias("n"), F.sum("weight").alias("total"), F.sum(F.col("weight") * F.col("weight")).alias("hhi"), F.max("weight").alias("top"))
+    return r6(g, "total", "hhi", "top")
 
 
 def _candidates(s, d):
@@ -112,7 +127,7 @@ def _outcomes(s, d):
 
 def hc3(s, d):
     ids = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.concat(F.lit("S"), (F.col("run_id") * 7 + i * 13) % 25))
-    return hc.set_stability(table(s, d, "history").withColumn("symbols", F.when(F.col("run_id") % 6 > 0, ids)), ["portfolio_id"]).select("portfolio_id", "run_id", F.round("jaccard", 4).alias("jaccard"))
+    return r4(hc.set_stability(table(s, d, "history").withColumn("symbols", F.when(F.col("run_id") % 6 > 0, ids)), ["portfolio_id"]).select("portfolio_id", "run_id", "jaccard"), "jaccard")
 
 
 def _variants(s, d):
@@ -138,12 +153,13 @@ def hc5(s, d, regime=False):
 
 BLEND = """ids AS (SELECT DISTINCT portfolio_id FROM hold_w), goal AS (SELECT portfolio_id, symbol, weight AS w2 FROM ids CROSS JOIN ideal),
 bo AS (SELECT coalesce(h.portfolio_id, g.portfolio_id) AS portfolio_id, coalesce(h.symbol, g.symbol) AS symbol, coalesce(h.weight, 0) AS w1, coalesce(g.w2, 0) AS w2 FROM hold_w h FULL JOIN goal g ON h.portfolio_id = g.portfolio_id AND h.symbol = g.symbol),
-bl AS (SELECT * FROM (SELECT portfolio_id, blend, symbol, w / sum(w) OVER (PARTITION BY portfolio_id, blend) AS weight FROM (SELECT portfolio_id, symbol, CAST(k AS DOUBLE) / 10 AS blend, w1 * (1 - CAST(k AS DOUBLE) / 10) + w2 * CAST(k AS DOUBLE) / 10 AS w FROM bo CROSS JOIN range(11) AS r(k))) WHERE weight > 0.001)"""
+bt AS (SELECT portfolio_id, sum(w1) AS t1, sum(w2) AS t2 FROM bo GROUP BY 1), br AS (SELECT CAST(k AS DOUBLE) / 100 AS blend FROM range(101) AS r(k)),
+bl AS (SELECT * FROM (SELECT bo.portfolio_id, blend, symbol, (w1 * (1 - blend) + w2 * blend) / (t1 * (1 - blend) + t2 * blend) AS weight FROM bo JOIN bt ON bo.portfolio_id = bt.portfolio_id CROSS JOIN br) WHERE weight > 0.001)"""
 CAND = "ca AS (SELECT b.portfolio_id, b.blend, sum(b.weight * u.upside) * 100 AS er, sum(b.weight * u.sharpe) AS sh, sum(b.weight * u.momentum) AS mo FROM bl b JOIN upsides u ON b.symbol = u.symbol GROUP BY 1, 2)"
 SCORE = "sco AS (SELECT *, 0.4 * CASE WHEN er IS NULL THEN 0 WHEN er > 0 THEN ln(1 + er / 100) / 0.693 ELSE er / 100 / 0.2 END + 0.4 * CASE WHEN sh IS NULL THEN 0 WHEN sh > 0 THEN ln(1 + sh) / 1.386 ELSE sh END + 0.2 * CASE WHEN mo IS NULL THEN 0 WHEN mo > 0 THEN ln(1 + mo) / 1.098 ELSE mo END AS score FROM ca)"
 TRADE = """tgt AS (SELECT portfolio_id, symbol, weight FROM (SELECT DISTINCT portfolio_id FROM hold_w) i CROSS JOIN ideal), tot AS (SELECT portfolio_id, sum(value) AS pv FROM hold_w GROUP BY 1),
 tr0 AS (SELECT coalesce(h.portfolio_id, t.portfolio_id) AS portfolio_id, coalesce(h.symbol, t.symbol) AS symbol, coalesce(h.weight, 0) AS cw, coalesce(t.weight, 0) AS tw FROM hold_w h FULL JOIN tgt t ON h.portfolio_id = t.portfolio_id AND h.symbol = t.symbol),
-tr AS (SELECT a.portfolio_id, a.symbol, cw, tw, tw - cw AS dw, p.price, greatest(1, floor(abs(tw - cw) * pv / p.price)) AS shares, greatest(1, floor(abs(tw - cw) * pv / p.price)) * p.price AS tv, pv FROM tr0 a JOIN tot ON a.portfolio_id = tot.portfolio_id JOIN last_price p ON a.symbol = p.symbol WHERE abs(tw - cw) >= 0.001)"""
+tr AS (SELECT a.portfolio_id, a.symbol, cw, tw, tw - cw AS dw, p.price, greatest(1, floor(round(abs(tw - cw) * pv / p.price, 6))) AS shares, greatest(1, floor(round(abs(tw - cw) * pv / p.price, 6))) * p.price AS tv, pv FROM tr0 a JOIN tot ON a.portfolio_id = tot.portfolio_id JOIN last_price p ON a.symbol = p.symbol WHERE abs(tw - cw) >= 0.001)"""
 ADJ = QUALITY + """,
 aq AS (SELECT *, s * c2 + (1 - s) * b2 - 5 * (1 - s) AS adjusted_pct FROM (SELECT *, CAST(CASE WHEN quality_bucket = 'reject' THEN 0 ELSE quality_score END AS DOUBLE) AS s, CAST(least(greatest(coalesce(raw_upside_pct, 0), -80), 150) AS DOUBLE) AS c2, CAST(CASE WHEN quality_bucket = 'reject' THEN 0 ELSE 4 END AS DOUBLE) AS b2 FROM quality))"""
 CONTRIB = "co AS (SELECT h.portfolio_id, h.symbol, h.weight, q.source, q.quality_bucket, q.quality_score, h.weight * coalesce(q.raw_upside_pct, 0) AS rc, h.weight * coalesce(q.adjusted_pct, 0) AS ac, row_number() OVER (PARTITION BY h.portfolio_id ORDER BY round(abs(h.weight * coalesce(q.raw_upside_pct, 0)), 10) DESC, h.symbol) AS rank FROM hold_w h JOIN aq q ON h.symbol = q.symbol)"
@@ -180,11 +196,11 @@ def _calibration(regime: bool) -> str:
 QUERIES = {
     "rb1_holdings_metrics": (rb1, """SELECT h.portfolio_id, round(sum(h.value), 2) AS value, count(*) AS n, round(sum(h.value * coalesce(CASE WHEN u.target_price > 0 THEN u.target_price / h.price - 1 END, c.ret, 0)) / sum(h.value) * 100, 4) AS expected_return FROM hold_w h LEFT JOIN upsides u ON h.symbol = u.symbol
         LEFT JOIN (SELECT symbol, b / coalesce(a, o) - 1 AS ret FROM (SELECT b.symbol, arg_max(close, date) AS b, arg_max(close, date) FILTER (WHERE date <= last - 365) AS a, arg_min(close, date) AS o FROM bars b JOIN (SELECT symbol, max(date) AS last FROM bars GROUP BY symbol) m ON b.symbol = m.symbol GROUP BY b.symbol)) c ON h.symbol = c.symbol GROUP BY 1"""),
-    "rb2_blend_candidates": (lambda s, d: r6(_blends(s, d), "weight"), f"WITH {BLEND} SELECT portfolio_id, blend, symbol, round(weight, 6) AS weight FROM bl"),
+    "rb2_blend_candidates": (rb2, f"WITH {BLEND} SELECT portfolio_id, blend, count(*) AS n, round(sum(weight), 6) AS total, round(sum(weight * weight), 6) AS hhi, round(max(weight), 6) AS top FROM bl GROUP BY 1, 2"),
     "rb3_transition_trades": (lambda s, d: r4(_trades(s, d).drop("portfolio_value", "current_weight", "target_weight", "price"), "weight_change", "trade_value", "cost"), f"WITH {TRADE} SELECT portfolio_id, symbol, CASE WHEN dw > 0 THEN 'BUY' ELSE 'SELL' END AS action, round(dw, 4) AS weight_change, CAST(shares AS BIGINT) AS shares, round(tv, 4) AS trade_value, round(tv * 0.3 / 100, 4) AS cost FROM tr"),
     "rb3_trade_summary": (lambda s, d: r4(rb.trade_summary(_trades(s, d)), "bought", "sold", "cost", "turnover_pct"), f"WITH {TRADE} SELECT portfolio_id, count(*) AS n, round(sum(CASE WHEN dw > 0 THEN tv ELSE 0 END), 4) AS bought, round(sum(CASE WHEN dw > 0 THEN 0 ELSE tv END), 4) AS sold, round(sum(tv * 0.3 / 100), 4) AS cost, round(sum(tv) / max(pv) * 100, 4) AS turnover_pct FROM tr GROUP BY 1"),
     "rb4_best_candidate": (lambda s, d: r6(rb.best_candidate(_candidates(s, d)), "score"), f"WITH {BLEND}, {CAND}, {SCORE} SELECT portfolio_id, blend, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY portfolio_id ORDER BY round(score, 10) DESC, blend) AS n FROM sco) WHERE n = 1"),
-    "rb5_discretize": (lambda s, d: r4(rb.discretize(_hold(s, d).select("portfolio_id", "symbol", "weight"), 10_000.0, table(s, d, "last_price")).drop("weight", "price"), "value", "new_weight"), """WITH x AS (SELECT h.portfolio_id, h.symbol, greatest(1, floor(weight * 10000 / p.price)) AS shares, greatest(1, floor(weight * 10000 / p.price)) * p.price AS value FROM hold_w h JOIN last_price p ON h.symbol = p.symbol)
+    "rb5_discretize": (lambda s, d: r4(rb.discretize(_hold(s, d).select("portfolio_id", "symbol", "weight", (F.col("portfolio_id").cast("int") % 50 * 1000.0 + 5000).alias("capital")), "capital", table(s, d, "last_price")).drop("weight", "price", "capital"), "value", "new_weight"), """WITH x AS (SELECT h.portfolio_id, h.symbol, greatest(1, floor(weight * (CAST(portfolio_id AS INT) % 50 * 1000.0::DOUBLE + 5000) / p.price)) AS shares, greatest(1, floor(weight * (CAST(portfolio_id AS INT) % 50 * 1000.0::DOUBLE + 5000) / p.price)) * p.price AS value FROM hold_w h JOIN last_price p ON h.symbol = p.symbol)
         SELECT portfolio_id, symbol, CAST(shares AS BIGINT) AS shares, round(value, 4) AS value, round(value / sum(value) OVER (PARTITION BY portfolio_id), 4) AS new_weight FROM x"""),
     "rb6_return_contributors": (lambda s, d: r4(_contributors(s, d).select("portfolio_id", "symbol", "rank", "raw_contribution", "adjusted_contribution"), "raw_contribution", "adjusted_contribution"), f"WITH {ADJ}, {CONTRIB} SELECT portfolio_id, symbol, CAST(rank AS INTEGER) AS rank, round(rc, 4) AS raw_contribution, round(ac, 4) AS adjusted_contribution FROM co"),
     "rb6_return_concentration": (lambda s, d: r4(rb.return_concentration(_contributors(s, d)), "top1", "top2", "top5"), f"WITH {ADJ}, {CONTRIB} SELECT portfolio_id, " + ", ".join(f"round(sum(CASE WHEN rank <= {k} THEN abs(rc) ELSE 0 END) / nullif(sum(abs(rc)), 0) * 100, 4) AS top{k}" for k in (1, 2, 5)) + " FROM co GROUP BY 1"),
@@ -195,7 +211,18 @@ QUERIES = {
     "rb10_execution_plan": (lambda s, d: r4(rb.execution_plan(_trades(s, d), _gate(s, d)), "value"), None),
     "rb11_sector_drift": (lambda s, d: r4(rb.sector_drift(_hold(s, d), _target(s, d), table(s, d, "instruments")), "current", "target", "drift"), f"""WITH {TRADE}, a AS (SELECT portfolio_id, sector, sum(weight) * 100 AS c FROM hold_w h JOIN instruments i ON h.symbol = i.symbol GROUP BY 1, 2), b AS (SELECT portfolio_id, sector, sum(weight) * 100 AS t FROM tgt JOIN instruments i ON tgt.symbol = i.symbol GROUP BY 1, 2)
         SELECT coalesce(a.portfolio_id, b.portfolio_id) AS portfolio_id, coalesce(a.sector, b.sector) AS sector, round(coalesce(c, 0), 4) AS current, round(coalesce(t, 0), 4) AS target, round(coalesce(t, 0) - coalesce(c, 0), 4) AS drift, abs(coalesce(t, 0) - coalesce(c, 0)) >= 3 AS outside FROM a FULL JOIN b ON a.portfolio_id = b.portfolio_id AND a.sector = b.sector"""),
-    "rb12_stable_frontier": (rb12, None),
+    "rb12_stable_frontier": (rb12, f"""WITH {BLEND}, {CAND}, {SCORE}, {ADJ}, tot AS (SELECT portfolio_id, sum(value) AS pv FROM hold_w GROUP BY 1),
+        b0 AS (SELECT h.portfolio_id, h.symbol, br.blend, h.weight AS cw FROM hold_w h CROSS JOIN br),
+        t0 AS (SELECT coalesce(b0.portfolio_id, bl.portfolio_id) AS portfolio_id, coalesce(b0.symbol, bl.symbol) AS symbol, coalesce(b0.blend, bl.blend) AS blend, coalesce(bl.weight, 0) - coalesce(b0.cw, 0) AS dw FROM b0 FULL JOIN bl ON b0.portfolio_id = bl.portfolio_id AND b0.symbol = bl.symbol AND b0.blend = bl.blend),
+        tu AS (SELECT t0.portfolio_id, blend, sum(greatest(1, floor(round(abs(dw) * pv / p.price, 6))) * p.price) / max(pv) * 100 AS turnover_pct FROM t0 JOIN tot ON t0.portfolio_id = tot.portfolio_id JOIN last_price p ON t0.symbol = p.symbol WHERE abs(dw) >= 0.001 GROUP BY 1, 2),
+        c0 AS (SELECT bl.*, q.quality_bucket IN ('low', 'reject') AS poor, q.quality_score AS qs, weight * coalesce(q.raw_upside_pct, 0) AS rc, weight * coalesce(q.adjusted_pct, 0) AS ac FROM bl LEFT JOIN aq q ON bl.symbol = q.symbol),
+        c1 AS (SELECT *, row_number() OVER (PARTITION BY portfolio_id, blend ORDER BY abs(round(rc, 10)) DESC, symbol) AS k FROM c0),
+        m AS (SELECT portfolio_id, blend, sum(ac) AS adjusted, sum(CASE WHEN qs IS NOT NULL THEN weight * qs END) / nullif(sum(CASE WHEN qs IS NOT NULL THEN weight END), 0) AS quality, sum(CASE WHEN poor THEN greatest(rc, 0) ELSE 0 END) / nullif(sum(greatest(rc, 0)), 0) * 100 AS suspicious, sum(CASE WHEN k <= 2 THEN abs(rc) ELSE 0 END) / nullif(sum(abs(rc)), 0) * 100 AS top2 FROM c1 GROUP BY 1, 2),
+        ba AS (SELECT portfolio_id, sum(h.weight * coalesce(q.adjusted_pct, 0)) AS base FROM hold_w h LEFT JOIN aq q ON h.symbol = q.symbol GROUP BY 1),
+        s AS (SELECT m.*, coalesce(turnover_pct, 0) AS turnover, sco.score, adjusted - base - 0.05 * coalesce(turnover_pct, 0) - 0.10 * greatest(coalesce(turnover_pct, 0) - 35, 0) - 4 * (1 - coalesce(quality, 0)) - 0.03 * greatest(coalesce(top2, 0) - 50, 0) - 0.05 * coalesce(suspicious, 0) AS stable
+            FROM m JOIN ba ON m.portfolio_id = ba.portfolio_id JOIN sco ON m.portfolio_id = sco.portfolio_id AND m.blend = sco.blend LEFT JOIN tu ON m.portfolio_id = tu.portfolio_id AND m.blend = tu.blend),
+        z AS (SELECT *, first_value(blend) OVER (PARTITION BY portfolio_id ORDER BY round(stable, 8) DESC, blend) AS best, first_value(turnover) OVER (PARTITION BY portfolio_id ORDER BY round(stable, 8) DESC, blend) AS tb, first_value(turnover) OVER (PARTITION BY portfolio_id ORDER BY round(score, 10) DESC, blend) AS official FROM s)
+        SELECT portfolio_id, blend, round(adjusted, 4) AS adjusted, round(turnover, 4) AS turnover_pct, round(stable, 4) AS stable_score, blend = best AS selected, round(official - tb, 4) AS turnover_saved FROM z"""),
     "rb13_balanced_universe": (rb13, f"""WITH {ADJ}, hm AS (SELECT symbol, count(*) AS n, avg(CASE WHEN pos <= 21 THEN close * volume END) AS tv FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS pos FROM bars) GROUP BY 1),
         dd AS (SELECT symbol, max(d) AS dd FROM (SELECT symbol, 1 - close / max(close) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING) AS d FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS pos FROM bars) WHERE pos <= 126) GROUP BY 1),
         x AS (SELECT q.*, c.score AS cs, hm.n, hm.tv, dd.dd, least(greatest(adjusted_pct, -40), 40) * 0.35 * 0.75 + least(greatest(coalesce(q.annual_mean, 0) * 100, -30), 30) * 0.25 + least(greatest(coalesce(q.momentum, 0) * 100, -30), 30) * 0.15 + CASE WHEN q.forward_pe > 0 AND q.sector_pe > 0 THEN least(greatest((q.sector_pe / q.forward_pe - 1) * 10, -30), 30) ELSE 0 END * 0.15
@@ -225,3 +252,5 @@ QUERIES = {
     "hc6_nearest_match": (lambda s, d: r6(hc.nearest_match(table(s, d, "history").where("decision = 'REBALANCE'"), table(s, d, "history").where("decision = 'WATCH'"), ["portfolio_id"]), "seconds"), """WITH m AS (SELECT a.portfolio_id, a.run_id AS left_run, b.run_id AS right_run, abs(epoch_us(a.timestamp) - epoch_us(b.timestamp)) AS g FROM history a JOIN history b ON a.portfolio_id = b.portfolio_id AND a.decision = 'REBALANCE' AND b.decision = 'WATCH')
         SELECT portfolio_id, left_run, right_run, round(g / 1000000, 6) AS seconds FROM (SELECT *, row_number() OVER (PARTITION BY left_run ORDER BY g, right_run) AS n FROM m WHERE g < 1800000000) WHERE n = 1"""),
 }
+
+QUERIES = {name: (f, decimal_rounds(sql)) for name, (f, sql) in QUERIES.items()}

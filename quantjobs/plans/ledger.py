@@ -91,12 +91,12 @@ def r2(df, *cols):
 
 
 def lg11(s, d):
-    rows = lg.cost_basis(table(s, d, "trades"))
-    return r2(rows.groupBy("portfolio_id", "symbol").agg(F.max_by("qty", "date").alias("qty"), F.max_by("basis", "date").alias("basis")), "basis")
+    rows = lg.cost_basis(_ledger(s, d))
+    return r2(rows.groupBy("portfolio_id", "symbol").agg(F.max_by("qty", "date").alias("qty"), F.max_by("basis", "date").alias("basis")).withColumn("basis", F.col("basis").cast("decimal(28,9)")), "basis").withColumn("basis", F.col("basis").cast("double"))
 
 
 def _history(s, d):
-    return lg.holdings_history(table(s, d, "trades"), table(s, d, "bars"), END)
+    return lg.holdings_history(_ledger(s, d), table(s, d, "bars"), END)
 
 
 def lg14(s, d):
@@ -157,10 +157,10 @@ QUERIES = {
         sum(CASE WHEN side = 'BUY' THEN CAST(gross_value AS DOUBLE) END) / sum(CASE WHEN side = 'BUY' THEN quantity END) AS avg_price FROM trades GROUP BY 1, 2) SELECT n.portfolio_id, n.symbol, net_qty, round(net_invested, 2) AS net_invested, round(avg_price, 4) AS avg_price, p.price, round(net_qty * p.price, 2) AS value FROM n JOIN last_price p ON n.symbol = p.symbol WHERE net_qty > 0"""),
     "lg10_position_totals": (lambda s, d: r2(lg.position_totals(_positions(s, d)), "invested", "value", "pnl").withColumn("target_value", F.round("target_value", 5)), """SELECT portfolio_id, count(*) AS n, round(sum(invested), 2) AS invested, round(sum(qty * p.price), 2) AS value, round(sum(qty * coalesce(u.target_price, p.price)), 5) AS target_value, round(sum(qty * p.price - invested), 2) AS pnl
         FROM net n JOIN last_price p ON n.symbol = p.symbol JOIN upsides u ON n.symbol = u.symbol WHERE qty > 0 GROUP BY 1"""),
-    "lg11_cost_basis": (lg11, """WITH g AS (SELECT portfolio_id, symbol, list({'sell': side = 'SELL', 'q': quantity, 'c': CAST(gross_value AS DOUBLE), 'qty': CAST(0 AS DOUBLE), 'basis': CAST(0 AS DOUBLE)} ORDER BY trade_date, document, seq) AS ts FROM trades GROUP BY 1, 2),
-        f AS (SELECT portfolio_id, symbol, list_reduce(ts, lambda a, t: {'sell': t.sell, 'q': t.q, 'c': t.c, 'qty': CASE WHEN t.sell THEN a.qty - t.q ELSE a.qty + t.q END,
-        'basis': CASE WHEN t.sell THEN a.basis - CASE WHEN a.qty > 0 THEN a.basis / a.qty * least(t.q, a.qty) ELSE 0 END ELSE a.basis + t.c END}, {'sell': false, 'q': CAST(0 AS DOUBLE), 'c': CAST(0 AS DOUBLE), 'qty': CAST(0 AS DOUBLE), 'basis': CAST(0 AS DOUBLE)}) AS s FROM g)
-        SELECT portfolio_id, symbol, s.qty AS qty, round(s.basis, 2) AS basis FROM f"""),
+    "lg11_cost_basis": (lg11, f"""WITH {ALLOC}, g AS (SELECT portfolio_id, symbol, list({{'sell': side = 'SELL', 'q': quantity, 'c': CAST(total_cost AS DOUBLE), 'qty': CAST(0 AS DOUBLE), 'basis': CAST(0 AS DOUBLE)}} ORDER BY trade_date, document, seq) AS ts FROM led GROUP BY 1, 2),
+        f AS (SELECT portfolio_id, symbol, list_reduce(ts, lambda a, t: {{'sell': t.sell, 'q': t.q, 'c': t.c, 'qty': CASE WHEN t.sell THEN a.qty - t.q ELSE a.qty + t.q END,
+        'basis': CASE WHEN t.sell THEN a.basis - CASE WHEN a.qty > 0 THEN a.basis / a.qty * t.q ELSE 0 END ELSE a.basis + t.c END}}, {{'sell': false, 'q': CAST(0 AS DOUBLE), 'c': CAST(0 AS DOUBLE), 'qty': CAST(0 AS DOUBLE), 'basis': CAST(0 AS DOUBLE)}}) AS s FROM g)
+        SELECT portfolio_id, symbol, s.qty AS qty, CAST(round(CAST(s.basis AS DECIMAL(28, 9)), 2) AS DOUBLE) AS basis FROM f"""),
     "lg12_holdings_history": (lambda s, d: r6(_history(s, d).drop("cost_basis"), "value"), f"WITH {HIST} SELECT portfolio_id, date, symbol, qty, price, round(value, 6) AS value FROM hist"),
     "lg12_holdings_totals": (lambda s, d: r2(lg.holdings_totals(_history(s, d)), "market_value").select("portfolio_id", "date", "market_value"), f"WITH {HIST} SELECT portfolio_id, date, round(sum(value), 2) AS market_value FROM hist GROUP BY 1, 2"),
     "lg13_transaction_cost_pct": (lambda s, d: lg.transaction_cost_pct(_ledger(s, d), "2001-06-30").withColumn("cost_pct", F.round("cost_pct", 4)), f"""WITH {ALLOC}, x AS (SELECT *, row_number() OVER (PARTITION BY portfolio_id ORDER BY trade_date DESC, document DESC, seq DESC) AS n FROM led),

@@ -11,6 +11,23 @@ from quantjobs.sources import tables as io
 R = 6
 
 
+def decimal_rounds(sql):
+    """SQL whose ``round(x, 4)`` and ``round(x, 6)`` round from a decimal of nine places."""
+    for digits in (4, 6):
+        at = 0
+        while sql and (end := sql.find(f", {digits})", at)) >= 0:
+            at, depth, start = end + 1, 1, end
+            while start > 0 and depth:
+                start -= 1
+                depth += {")": 1, "(": -1}.get(sql[start], 0)
+            if sql[max(0, start - 5) : start] == "round":
+                x = sql[start + 1 : end]
+                new = f"CAST(round(CAST({x} AS DECIMAL(28, 9)), {digits}) AS DOUBLE)"
+                sql = sql[: start - 5] + new + sql[end + len(f", {digits})") :]
+                at = start - 5 + len(new)
+    return sql
+
+
 def r6(df, *cols):
     """``df`` with the given columns rounded to six places."""
     return df.withColumns({c: F.round(c, R) for c in cols})

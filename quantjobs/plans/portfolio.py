@@ -79,7 +79,7 @@ def ps9(s, d):
 
 
 def ps10(s, d):
-    out = ps.project_allocation(table(s, d, "weights"), 10_000.0, table(s, d, "last_price"), table(s, d, "upsides"))
+    out = ps.project_allocation(table(s, d, "weights").withColumn("capital", F.lit(10_000.0)), "capital", table(s, d, "last_price"), table(s, d, "upsides"))
     return r6(out, "allocation", "invested", "target_value").select("symbol", "allocation", "shares", "invested", "target_value")
 
 

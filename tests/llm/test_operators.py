@@ -6,6 +6,7 @@ import os
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -51,15 +52,20 @@ def test_packing(docs):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    pieces = packing.tokenise(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
-    ids = {}
-    for r in pieces.collect():
-        ids.setdefault(r["doc_id"], {})[r["piece"]] = np.frombuffer(r["ids"], "<u4").tolist()
-    for r in docs.collect():
-        assert sum((ids[r["doc_id"]][k] for k in sorted(ids[r["doc_id"]])), []) == [*t.encode(r["text"] or "", add_special_tokens=False).ids, 0]
     rows = packing.pack_documents(docs).collect()
-    assert len(rows) == pieces.count()
+    texts, copies = {r["doc_id"]: r["text"] or "" for r in docs.collect()}, Counter(r["doc_id"] for r in docs.collect())
+    assert 50256 in t.encode(next(x for x in texts.values() if "<|endoftext|>" in x), add_special_tokens=False).ids
+    for i, text in texts.items():
+        want = [*t.encode(text, add_special_tokens=False).ids, 0]
+        own = sorted((r for r in rows if r["doc_id"] == i), key=lambda r: r["piece"])
+        assert len(own) % copies[i] == 0
+        own = own[:: copies[i]]
+        assert sum((r["ids"] for r in own), []) == want
+        at = 0
+        for k, r in enumerate(own):
+            assert (r["piece"], r["start"], r["length"]) == (k, at, len(r["ids"])) and (len(want) <= 2048) <= (len(own) == 1)
+            assert r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes()) and (r["length"] == 2048 or k == 0)
+            at += r["length"]
     for _, g in itertools.groupby(sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])), key=lambda r: r["sequence_id"]):
         at = 0
         for r in g:
@@ -67,7 +73,40 @@ def test_packing(docs):
             at += r["length"]
         assert at <= 2048
     assert len({r["sequence_id"] for r in rows}) <= -(-sum(r["length"] for r in rows) // 2048) + 1
-    assert packing.pack_documents(docs.limit(0)).count() == 0
+    assert packing.pack_documents(docs.limit(0)).count() == 0 and packing.pack_documents(docs, with_ids=False).columns == packing.pack_documents(docs).columns[:-1]
+
+
+def triplets(n, capacity, rng):
+    """Three pieces for each of n full bins: best fit in decreasing order misses most of them."""
+    out = []
+    for _ in range(n):
+        a = int(rng.integers(capacity * 38 // 100, capacity * 49 // 100))
+        b = int(rng.integers((capacity - a) // 2 - capacity * 6 // 100, (capacity - a) // 2))
+        out += [a, b, capacity - a - b]
+    return np.sort(np.array(out, dtype=np.int64))[::-1]
+
+
+def test_packing_beats_best_fit(spark):
+    rng = np.random.default_rng(4)
+    sizes = triplets(100, 1000, rng)
+    plain = packing.pack_once(sizes, np.argsort(-sizes, kind="stable"), 1000)
+    child = packing.cross(plain, packing.pack_once(sizes, rng.permutation(len(sizes)), 1000), sizes, 1000, rng)
+    assert np.bincount(child, weights=sizes).max() <= 1000 and len(child) == len(sizes) and child.min() == 0
+    best = packing.evolve(sizes, [], 1, 1000, 16, 100)[0]
+    assert np.bincount(best, weights=sizes).max() <= 1000
+    assert packing.lower_bound(sizes, 1000) == 100 <= best.max() + 1 < plain.max() + 1
+    assert packing.lower_bound(np.array([600, 600, 600, 500, 500, 300]), 1000) == 4
+    df = spark.createDataFrame([(k, 0, int(x)) for k, x in enumerate(sizes)], "doc_id long, piece int, length long")
+    rows = packing.pack(df, capacity=1000).collect()
+    bins = {r["sequence_id"] for r in rows}
+    assert len(rows) == 300 and len(bins) < plain.max() + 1
+    # Remainders of small shards are packed anew.
+    many = spark.createDataFrame([(k, 0, int(x)) for k, x in enumerate(rng.integers(100, 400, 3000))], "doc_id long, piece int, length long")
+    rows = packing.pack(many, capacity=1000, shard_items=100).collect()
+    fill = Counter()
+    for r in rows:
+        fill[r["sequence_id"]] += r["length"]
+    assert len(rows) == 3000 and max(fill.values()) <= 1000 and len(fill) <= sum(fill.values()) / 1000 * 1.01
 
 
 def shingles(text):

@@ -2,8 +2,10 @@
 
 Channel: a character of a text stands for itself, for a letter it imitates (``LEET``), for a repetition
 of the letter before it, or for a separator thrown in. The lattice of what each character may stand for
-is decoded by Viterbi under a character trigram model counted over all documents; the best few readings
-are kept. Runs of spaced single characters are joined first.
+is decoded by Viterbi, without a beam, under a character trigram model counted over all documents; the best
+few readings are kept. Runs of spaced single characters are joined first. A chunk of letters none of which
+follows its like has one path through its lattice, so it is taken as it is. Separators inside a word are
+undone, words spaced out in groups of letters ("id iot") are not.
 
 Classifier: word n-grams get the lower confidence bound of their log odds between toxic and clean
 labelled documents; a document's score is a logistic function of its strongest word and of whether
@@ -12,12 +14,13 @@ another word is strong. Labels of held-out rows are never read, nor are doc_id,
 
 from __future__ import annotations
 
-import heapq
 import math
 import re
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
+from itertools import chain, product, repeat
 
 import numpy as np
 import pandas as pd
@@ -33,9 +36,9 @@ SEPARATORS = set(" .,-_*~'\"/\\:;#%&^=<>[]{})?`´’") | set("!|+(@$")
 PUNCTUATION = "".join(SEPARATORS - set("@$")) + "@$“”„«»…–—¿¡§°"
 SPACED = re.compile(r"(?<!\S)\S(?:[ ._*~-]{1,3}\S){2,}(?!\S)")
 JUNK = re.compile(r"([^\w\s])\1\1+")
-TRIPLE = re.compile(r"(.)\1\1")
+DOUBLE = re.compile(r"((.)\2+)")
 #: Costs (negative log probabilities) of an imitation, a separator and a repetition.
-IMITATES, SEPARATES, REPEATS = 2.0, 3.0, 1.5
+IMITATES, SEPARATES, REPEATS = 2.0, 3.0, 4.0
 #: Labelled documents to train on, at most; readings kept of each lattice; n-gram lengths.
 TRAIN_ROWS, READINGS, GRAMS = 20_000, 4, (4, 5, 6)
 #: Weights below LEAST are noise; Z is the width of the confidence bound.
@@ -85,55 +88,118 @@ def trigram_costs(counts: np.ndarray) -> np.ndarray:
     return -np.log(p3)
 
 
+@lru_cache(65536)
+def _options(o: str) -> tuple[tuple[tuple[str, int, float], ...], float | None, str]:
+    """(letter, symbol, cost) of what a character may stand for, the cost to drop it if it may be, what it may repeat."""
+    stands = [(c, IMITATES) for c in LEET.get(o, "")]
+    if o.isalpha():
+        stands.append((o, 0.0))
+    drop = SEPARATES if o in SEPARATORS or not stands else None
+    return tuple((c, ord(c) - 96 if "a" <= c <= "z" else 27, v) for c, v in stands), drop, o + LEET.get(o, "")
+
+
 def restore(noisy: str, costs: list, readings: int = READINGS) -> list[str]:
     """The likeliest readings of a lower-case string under the channel and the trigram costs.
 
-    A state is the last two symbols and the last character read; each keeps its best paths.
+    ``costs`` has a row for each two symbols. A state is the last two symbols and the last character read; it
+    keeps its two best paths as back pointers, so that time and memory are linear in the string.
     """
-    states: dict[tuple[int, int, str], list[tuple[float, str]]] = {(0, 0, ""): [(0.0, "")]}
+    states: dict[tuple[int, str], list] = {(0, ""): [(0.0, None)]}
     for o in noisy:
-        step: dict[tuple[int, int, str], list[tuple[float, str]]] = {}
-        stands = [(c, IMITATES) for c in LEET.get(o, "")]
-        if o.isalpha():
-            stands.append((o, 0.0))
-        for (x, y, last), paths in states.items():
-            for c, extra in stands:
-                z = ord(c) - 96 if "a" <= c <= "z" else 27
-                more = extra + costs[x][y][z]
-                step.setdefault((y, z, c), []).extend((v + more, w + c) for v, w in paths)
-            if o in SEPARATORS or not stands:
-                step.setdefault((x, y, last), []).extend((v + SEPARATES, w) for v, w in paths)
-            if last and (o == last or last in LEET.get(o, "")):
-                step.setdefault((x, y, last), []).extend((v + REPEATS, w) for v, w in paths)
-        states = {k: heapq.nsmallest(2, set(v)) for k, v in step.items()}
-        if len(states) > 24:
-            best = heapq.nsmallest(24, states, key=lambda k: states[k][0][0])
-            states = {k: states[k] for k in best}
-    ends = {}
-    for (x, y, _), paths in states.items():
-        for v, w in paths:
-            ends[w] = min(ends.get(w, math.inf), v + costs[x][y][0])
-    return [w for w in heapq.nsmallest(readings, ends, key=ends.get) if w]
+        stands, drop, repeats = _options(o)
+        step: dict[tuple[int, str], list] = {}
+
+        def put(key, v, node):
+            kept = step.get(key)
+            if kept is None:
+                step[key] = [(v, node)]
+            elif len(kept) < 2:
+                kept.append((v, node))
+            else:
+                worst = 0 if kept[0][0] > kept[1][0] else 1
+                if v < kept[worst][0]:
+                    kept[worst] = (v, node)
+
+        for (xy, last), paths in states.items():
+            row, y = costs[xy], xy % SIZE * SIZE
+            for c, z, extra in stands:
+                more = extra + row[z]
+                for v, node in paths:
+                    put((y + z, c), v + more, (node, c))
+            stay = REPEATS if last and last in repeats else drop
+            if stay is not None:
+                for v, node in paths:
+                    put((xy, last), v + stay, node)
+        states = step
+    ends = sorted(((v + costs[xy][0], node) for (xy, _), paths in states.items() for v, node in paths), key=lambda e: e[0])
+    out: list[str] = []
+    for _, node in ends[: 4 * readings]:
+        letters = []
+        while node:
+            node, c = node
+            letters.append(c)
+        word = "".join(reversed(letters))
+        if word and word not in out:
+            out.append(word)
+        if len(out) == readings:
+            break
+    return out
+
+
+def spellings(word: str, costs: list) -> set[str] | None:
+    """A word of letters and what is likelier than it once repeated letters are dropped; None if there are many such paths.
+
+    These are all paths through the lattice of such a word, so this gives what ``restore`` would.
+    """
+    parts = DOUBLE.split(word) if len(word) < 100 else [word] * 99
+    if len(parts) == 1:
+        return {word}
+    if len(parts) > 10:  # four runs or more
+        return None
+    runs = parts[1::3]
+    if math.prod(map(len, runs)) > 16:
+        return None
+
+    def cost(w: str) -> float:
+        xy, total = 0, 0.0
+        for c in w:
+            z = ord(c) - 96 if "a" <= c <= "z" else 27
+            total += costs[xy][z]
+            xy = xy % SIZE * SIZE + z
+        return total + costs[xy][0]
+
+    own, out = cost(word), {word}
+    for keep in product(*[range(1, len(r) + 1) for r in runs]):
+        w = "".join(x for k, r, rest in zip(keep, runs, parts[3::3], strict=True) for x in (r[:k], rest))
+        w = parts[0] + w
+        if cost(w) + REPEATS * (len(word) - len(w)) < own:
+            out.add(w)
+    return out
 
 
 def words_of(chunk: str, costs: list) -> set[str]:
     """Lower-case words that a chunk without white space may stand for."""
     low = JUNK.sub("", chunk.lower())
     bare = low.strip(PUNCTUATION)
-    if bare.isalpha() and not TRIPLE.search(bare) and not any(c in LEET for c in low):
-        return {bare}
+    plain = bare.isalpha() and not any(c in LEET for c in low)
+    if plain and (few := spellings(bare, costs)) is not None:
+        return few
     out = {p for p in re.split(r"[\W\d_]+", low) if len(p) > 1}
     if any(c.isalpha() for c in low):
         noisy = "".join(c for c in low if c.isalpha() or c in LEET or c in SEPARATORS)
-        out.update(restore(noisy, costs))
+        found = restore(noisy, costs)
+        if plain and bare in found:  # plain letters: only readings that are likelier than the word itself
+            found = found[: found.index(bare) + 1]
+        out.update(found)
     return out
 
 
-def grams(word: str) -> list[int]:
-    """Hashes of a word and of its character n-grams, its ends marked."""
-    w = f"^{word}$"
-    parts = {w} | {w[i : i + n] for n in GRAMS for i in range(len(w) - n + 1)}
-    return [zlib.crc32(p.encode("utf-8", "surrogatepass")) for p in parts]
+def grams(word: str) -> Iterable[int]:
+    """Hashes of a word and of its character n-grams, its ends marked; one by one for long words."""
+    w = f"^{word}$".encode("utf-32-le", "surrogatepass")
+    spots = [(i, i + 4 * n) for n in GRAMS for i in range(0, len(w) - 4 * n + 1, 4)] if len(w) < 4000 else ((i, i + 4 * n) for n in GRAMS for i in range(0, len(w) - 4 * n + 1, 4))
+    hashes = (zlib.crc32(w[a:b]) for a, b in spots)
+    return chain((zlib.crc32(w),), hashes) if len(w) >= 4000 else [zlib.crc32(w), *hashes]
 
 
 def chunks_of(text: str) -> set[str]:
@@ -145,8 +211,8 @@ def chunks_of(text: str) -> set[str]:
 
 def _gram_counts(costs: np.ndarray):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = costs.tolist()
-        memo = Memo(lambda c: np.array([g for w in words_of(c, table) for g in grams(w)], dtype=np.int64))
+        table = costs.reshape(SIZE * SIZE, SIZE).tolist()
+        memo = Memo(lambda c: np.unique(np.fromiter((g for w in words_of(c, table) for g in grams(w)), dtype=np.int64)))
         for pdf in batches:
             for y in (0, 1):
                 seen = [np.unique(np.concatenate([memo[c] for c in chunks_of(t)] or [np.zeros(0, np.int64)])) for t in pdf["text"][pdf["y"] == y]]
@@ -159,10 +225,10 @@ def _gram_counts(costs: np.ndarray):
 
 def _evidence(costs: np.ndarray, weights: dict[int, float]):
     """text -> (strongest word's weight, half the number of strong words up to two)."""
-    table = costs.tolist()
+    table = costs.reshape(SIZE * SIZE, SIZE).tolist()
 
     def value(chunk: str) -> float:
-        return max((weights.get(g, 0.0) for w in words_of(chunk, table) for g in grams(w)), default=0.0)
+        return max((max(map(weights.get, grams(w), repeat(0.0))) for w in words_of(chunk, table)), default=0.0)
 
     memo = Memo(value)
 

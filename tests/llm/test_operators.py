@@ -5,6 +5,7 @@ import itertools
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -325,12 +326,42 @@ def test_toxicity(spark):
     got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
     held = [(got[k], y) for k, _, y in rows if zlib.crc32(str(k).encode()) % 3 == 1]
     assert np.mean([(s >= 0.7) == y for s, y in held]) > 0.95 and got[9000] == got[9001] < 0.5
-    table = model.costs.tolist()
+    table = model.costs.reshape(28 * 28, 28).tolist()
     assert "idiot" in toxicity.words_of("1d10t!", table) and "moron" in toxicity.words_of("mooooron", table)
+    assert all("idiot" in toxicity.words_of(x, table) for x in ("idiioot", "iidiot", "i.d.i.o.t", "iiddiioott"))
+    rows = [(1, "x" * 1_000_000), (2, "you total idiot " + "q1w2" * 250_000), (3, "you total idiot"), (3, "you total idiot")]
+    began = time.time()
+    long = toxicity.score(spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, score string"), model).collect()
+    assert time.time() - began < 120 and len(long) == 4 and len({r["score"] for r in long if r["doc_id"] == 3}) == 1
+    assert min(r["score"] for r in long if r["doc_id"] > 1) > 0.5
     empty = toxicity.train(docs, labels.limit(0))
     assert toxicity.score(docs.limit(3), empty).count() == 3 and toxicity.score(docs.limit(0), empty).count() == 0
 
 
+def test_lattice_against_all_paths():
+    """The best reading is that of the cheapest of all paths through small lattices."""
+    rng = np.random.default_rng(8)
+    costs = toxicity.trigram_costs(rng.integers(1, 50, 28**3).astype(float))
+    table = costs.reshape(28 * 28, 28).tolist()
+
+    def paths(noisy, cost, xy, last, word):
+        if not noisy:
+            yield cost + table[xy][0], word
+            return
+        stands, drop, repeats = toxicity._options(noisy[0])
+        for c, z, extra in stands:
+            yield from paths(noisy[1:], cost + extra + table[xy][z], xy % 28 * 28 + z, c, word + c)
+        for stay in {toxicity.REPEATS if last and last in repeats else drop, drop} - {None}:
+            yield from paths(noisy[1:], cost + stay, xy, last, word)
+
+    for noisy in ("1d10t", "iidd", "m0r.0n", "a!!b", "$1l1y", "sttuup1d"):
+        best = min(p for p in paths(noisy, 0.0, 0, "", "") if p[1])
+        assert toxicity.restore(noisy, table)[0] == best[1]
+    for word in ("iidd", "letter", "bookkeeper", "aaabbb", "idiioot", "abc"):
+        found = toxicity.restore(word, table, 99)
+        assert toxicity.spellings(word, table) >= set(found[: found.index(word) + 1] if word in found else found)
+
+
 def test_url_filter(spark):
     urls = [None, "no scheme", "https://WWW.Example.org/es/x?q", "http://a.example.org/en/123", "http://example.org/en/2", "http://x.com/de/1", "http://x.com", "http://cheap-pills.shop.net/en/1#z", "http://notorg/", "http://org/"]
     df = spark.createDataFrame([(k, u, "<p>cheap pills word word</p>", "x") for k, u in enumerate(urls)] + [(20, urls[2], None, "y")], "page_id int, url string, html string, host string")

@@ -1,15 +1,18 @@
 """Personal data: base patterns, and a character-level bidirectional LSTM with CRF transitions in numpy.
 
 The tagger is trained on windows whose spans the base patterns label, from a bounded sample of
-documents. At decoding every window of a text counts; as a tagged span must hold a digit or an ``@``,
-windows without one are all outside by rule and are not computed. Windows overlap by half; each
-character takes its tag from the window in which it lies closest to the middle, and spans are then read
-from the tags of the whole text, so that a span may cross windows.
+documents, as they stand and spelled anew: "at" for "@", "[.]" for ".", other separators of digits. So it
+learns to find what the patterns miss. At decoding every window of every text is computed. Windows overlap;
+each character takes its tag from the window in which it lies closest to the middle, and spans are then read
+from the tags of the whole text, so that a span may cross windows. A tagged span counts if it holds a valid
+item of its kind once it is spelled as usual: an address, four numbers up to 255, a number that passes Luhn,
+9 to 15 digits.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,11 +31,19 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 MARK = re.compile(r"[0-9@]")
-#: Characters of a window and between windows; documents and windows to train on, at most.
-WINDOW, STRIDE, TRAIN_DOCS, TRAIN_WINDOWS, EPOCHS = 64, 32, 20_000, 2_000, 6
-HIDDEN, EMBED, TAGS, LEAST_STEPS = 16, 8, 9, 300
-SIGNS = "@.-+() \n_%:/,;='\"\t"
-CLASSES = 7 + len(SIGNS)
+#: Characters of a window and between windows, in decoding and in training; documents and windows to train on, at most.
+WINDOW, STRIDE, TRAIN_WINDOW, TRAIN_DOCS, TRAIN_WINDOWS, EPOCHS = 256, 224, 64, 20_000, 4_000, 8
+HIDDEN, EMBED, TAGS, LEAST_STEPS = 10, 8, 9, 600
+#: One in so many texts gives a window without a span to train on; texts with spans are spelled anew so many times.
+PLAIN, VARIANTS = 8, 3
+SIGNS = "@.-+() \n_%:/,;='\"\t[]"
+CLASSES = 5 + len(SIGNS) + 26
+# Usual ways to write around "@", "." and the separators of digits.
+SPELLED_AT, SPELLED_DOT = (" at ", " (at) ", "[at]", " [at] ", " @ "), (" dot ", "(dot)", "[dot]", " [.] ", "[.]")
+ENDINGS = ("com", "org", "net", "edu", "io", "de", "co.uk")
+SPELLED_SEPARATOR = (".", " . ", "/", "_", "--", "  ")
+AT, DOT = re.compile(r"\s*[\[(]\s*at\s*[\])]\s*|\s+at\s+|\s+@\s+", re.I), re.compile(r"\s*[\[(]\s*(?:dot|\.)\s*[\])]\s*|\s+dot\s+|\s+\.\s+", re.I)
+ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -50,7 +61,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
             out.append((m.start(), 1, m.end()))
     for m in CARD.finditer(text):
         digits = [int(c) for c in m[0] if c not in " -"]
-        if 12 <= len(digits) <= 19 and sum(d if k % 2 == 0 else d * 2 - 9 * (d > 4) for k, d in enumerate(reversed(digits))) % 10 == 0:
+        if 12 <= len(digits) <= 19 and luhn(digits):
             out.append((m.start(), 2, m.end()))
     for m in PHONE.finditer(text):
         if 9 <= sum(c.isdigit() for c in m[0]) <= 15:
@@ -58,25 +69,72 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def luhn(digits: list[int]) -> bool:
+    return sum(d if k % 2 == 0 else d * 2 - 9 * (d > 4) for k, d in enumerate(reversed(digits))) % 10 == 0
+
+
+def valid(kind: int, text: str) -> bool:
+    """Whether a tagged span holds an item of its kind once it is spelled as usual."""
+    if kind == 0:
+        return len(text) < 400 and ADDRESS.fullmatch(AT.sub("@", DOT.sub(".", text))) is not None
+    digits = [int(c) for c in text if c in "0123456789"]
+    if kind == 1:
+        parts = DOT.sub(".", text).split(".")
+        return len(parts) == 4 and all(x.isascii() and x.isdigit() and len(x) <= 3 and int(x) <= 255 for x in parts)
+    if any(c.isalpha() for c in text):
+        return False
+    return 12 <= len(digits) <= 19 and luhn(digits) if kind == 2 else 9 <= len(digits) <= 15 and text.lstrip("(")[0] in "+0"
+
+
+def respelled(text: str, spans: list[tuple[int, int, int]], rng) -> tuple[str, list[tuple[int, int, int]]]:
+    """A text whose spans are written another way, and where they are now; of overlapping spans the first stays."""
+    out, at, size, found = [], 0, 0, []
+    for start, kind, end in sorted(spans):
+        if start < at:
+            continue
+        x = text[start:end]
+        if kind == 0:
+            name, _, host = x.partition("@")
+            if rng.random() < 0.5:  # other names and hosts than the tables' own
+                draw = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 10)))
+                name, host = draw(), f"{draw()}.{ENDINGS[rng.integers(len(ENDINGS))]}"
+            dot = SPELLED_DOT[rng.integers(len(SPELLED_DOT))] if rng.random() < 0.7 else "."
+            x = name + SPELLED_AT[rng.integers(len(SPELLED_AT))] + host.replace(".", dot)
+        elif kind == 1:
+            x = x.replace(".", SPELLED_DOT[rng.integers(len(SPELLED_DOT))])
+        else:
+            digits = "".join(c for c in x if c.isdigit())
+            own = SPELLED_SEPARATOR[rng.integers(len(SPELLED_SEPARATOR))]
+            sizes = [4] * (len(digits) // 4) + [len(digits) % 4] * (len(digits) % 4 > 0) if kind == 2 else [max(1, len(digits) - 10), 3, 3, 4]
+            cuts = np.cumsum([0, *sizes])
+            groups = [digits[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+            x = own.join(groups) if kind == 2 else "00" + own.join(groups)
+        out += [text[at:start], x]
+        size += start - at
+        found.append((size, kind, size + len(x)))
+        at, size = end, size + len(x)
+    return "".join([*out, text[at:]]), found
+
+
 def char_classes(text: str) -> np.ndarray:
-    """A small class number for each character; 0 is padding."""
+    """A small class number for each character, letters without case; 0 is padding."""
     table = np.full(128, 1, dtype=np.int8)
-    table[48:58], table[65:91], table[97:123] = 2, 3, 4
+    table[48:58] = 2
     for k, c in enumerate(SIGNS):
-        table[ord(c)] = 7 + k
+        table[ord(c)] = 5 + k
+    table[65:91] = table[97:123] = 5 + len(SIGNS) + np.arange(26)
     cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    return np.where(cp < 128, table[np.minimum(cp, 127)], np.where(cp < 592, 5, 6)).astype(np.int8)
+    return np.where(cp < 128, table[np.minimum(cp, 127)], np.where(cp < 592, 3, 4)).astype(np.int8)
 
 
-def window_starts(classes: np.ndarray) -> np.ndarray:
-    """Starts of the windows that hold a digit or an ``@``."""
-    at = np.flatnonzero((classes == 2) | (classes == 7)) // STRIDE
-    return np.unique(np.concatenate([at, at - 1])[np.concatenate([at, at - 1]) >= 0]) * STRIDE if len(at) else at
+def window_starts(n: int) -> np.ndarray:
+    """Starts of the windows that cover n characters."""
+    return np.arange(0, max(n - (WINDOW - STRIDE), 1), STRIDE)
 
 
-def cut(classes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    padded = np.concatenate([classes, np.zeros(WINDOW, dtype=np.int8)])
-    return padded[starts[:, None] + np.arange(WINDOW)]
+def cut(classes: np.ndarray, starts: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    padded = np.concatenate([classes, np.zeros(window, dtype=np.int8)])
+    return padded[starts[:, None] + np.arange(window)]
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -193,10 +251,58 @@ class Tagger:
                     self.p[k] -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
         return self
 
+    def states(self, windows: np.ndarray, side: str) -> np.ndarray:
+        """Hidden states (T, H, B), doubled, of one direction; the inputs' share of the gates is looked up by class.
+
+        As sigmoid(z) is (tanh(z / 2) + 1) / 2, one tanh serves all gates; gates lie in rows, so that each is contiguous.
+        """
+        p = self.p
+        table, wh = p["emb"] @ p[f"wx{side}"] + p[f"b{side}"], 0.5 * p[f"wh{side}"].T  # states are doubled
+        table[:, : 3 * HIDDEN] *= 0.5
+        wh[: 3 * HIDDEN] *= 0.5
+        table, n = np.ascontiguousarray(table.T), len(windows)
+        steps = np.ascontiguousarray(windows.T).astype(np.intp)
+        c = np.zeros((HIDDEN, n), np.float32)
+        out = np.empty((len(steps), HIDDEN, n), np.float32)
+        z, x, ig, h = np.empty((4 * HIDDEN, n), np.float32), np.empty((4 * HIDDEN, n), np.float32), np.empty_like(c), np.zeros_like(c)
+        i, f, o, g = (z[k * HIDDEN : (k + 1) * HIDDEN] for k in range(4))
+        for t in range(len(steps)) if side == "f" else range(len(steps) - 1, -1, -1):
+            np.matmul(wh, h, out=z)
+            np.take(table, steps[t], axis=1, out=x, mode="clip")
+            z += x
+            np.tanh(z, out=z)
+            np.multiply(i, g, out=ig)
+            ig += g
+            f += 1
+            c *= f
+            c += ig
+            c *= 0.5
+            h = out[t]
+            np.tanh(c, out=h)
+            o += 1
+            h *= o
+        return out
+
     def decode(self, windows: np.ndarray) -> np.ndarray:
-        """Best tags (B, T) by Viterbi."""
-        e, _ = self.emissions(windows)
-        trans, (t_max, n, _) = self.p["trans"] + allowed(), e.shape
+        """Best tags (B, T) by Viterbi. Windows in which no way in and out of a span can pay are all outside."""
+        p = self.p
+        e = np.matmul(0.5 * p["out"][:HIDDEN].T, self.states(windows, "f"))
+        e += np.matmul(0.5 * p["out"][HIDDEN:].T, self.states(windows, "b"))
+        e += p["bias"][:, None]  # (T, tags, B)
+        trans = p["trans"] + allowed()
+        inside = max(0.0, float(trans[1:, 1:].max() - trans[0, 0]))
+        ends = max(0.0, float(trans[0, 1:].max() - trans[0, 0])) + max(0.0, float(trans[1:, 0].max() - trans[0, 0]))
+        total = np.cumsum(e[:, 1:].max(1) - e[:, 0] + np.float32(inside), axis=0)
+        before = np.minimum.accumulate(np.concatenate([np.zeros_like(total[:1]), total[:-1]]), axis=0)
+        open_ = np.flatnonzero((total - before).max(0) + ends >= -1e-3)
+        out = np.zeros(windows.shape, dtype=np.int8)
+        if len(open_):
+            out[open_] = self.viterbi(np.ascontiguousarray(e[:, :, open_].transpose(0, 2, 1)), trans)
+        return out
+
+    @staticmethod
+    def viterbi(e: np.ndarray, trans: np.ndarray) -> np.ndarray:
+        t_max, n, _ = e.shape
         best = e[0].copy()
         back = np.empty(e.shape, dtype=np.int8)
         for t in range(1, t_max):
@@ -220,16 +326,20 @@ def tags_of(n: int, spans: list[tuple[int, int, int]]) -> np.ndarray:
     return out
 
 
-def spans_of(tags: np.ndarray, classes: np.ndarray) -> list[tuple[int, int, int]]:
-    """Spans of a whole text's reconciled tags; a span holds a digit or an ``@`` and no white space at its ends."""
+def spans_of(tags: np.ndarray, text: str) -> list[tuple[int, int, int]]:
+    """Valid spans of a whole text's reconciled tags, without white space and closing marks at their ends."""
+    if not tags.any():
+        return []
     kind = (tags.astype(np.int32) + 1) // 2
     edges = np.flatnonzero(np.r_[True, (kind[1:] != kind[:-1]) | ((tags[1:] % 2 == 1) & (tags[1:] > 0))])
     out = []
-    for a, b in zip(edges, np.r_[edges[1:], len(tags)], strict=True):
+    for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(tags)], strict=True):
         if kind[a]:
-            inner = np.flatnonzero(~np.isin(classes[a:b], [7 + SIGNS.index(c) for c in " \n\t"]))
-            if len(inner) and np.isin(classes[a:b], (2, 7)).any():
-                out.append((int(a + inner[0]), int(kind[a]) - 1, int(a + inner[-1] + 1)))
+            x = text[a:b]
+            start = a + len(x) - len(x.lstrip())
+            end = start + len(x.strip().rstrip(".,;:!?\"'"))
+            if end > start and valid(int(kind[a]) - 1, text[start:end]):
+                out.append((start, int(kind[a]) - 1, end))
     return out
 
 
@@ -248,6 +358,8 @@ def reconciled(n: int, starts: np.ndarray, decoded: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, text: str = "text", train_docs: int = TRAIN_DOCS, train_windows: int = TRAIN_WINDOWS) -> Tagger:
     """A tagger fitted on at most ``train_windows`` windows of a hash sample of about ``train_docs`` texts.
 
+    Windows begin shortly before a span, of the text as it is and spelled anew; some hold no span.
+
     Without any window the tagger tags nothing that its initial weights don't, and is not fitted.
     """
     small_batches(docs.sparkSession)
@@ -258,11 +370,13 @@ def train(docs: DataFrame, text: str = "text", train_docs: int = TRAIN_DOCS, tra
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for t in pdf["text"]:
-                if MARK.search(t):
-                    c = char_classes(t)
-                    starts = window_starts(c)
-                    tags = tags_of(len(t), base_spans(t))
-                    x, y = cut(c, starts), cut(tags, starts)
+                rng = np.random.default_rng(zlib.crc32(t.encode("utf-8", "surrogatepass")))
+                spans = base_spans(t) if MARK.search(t) else []
+                for text, own in [(t, spans), *[respelled(t, spans, rng) for _ in range(VARIANTS)]] if spans else [(t, [])] * (rng.random() < 1 / PLAIN):
+                    c, tags = char_classes(text), tags_of(len(text), own)
+                    at = [max(0, a - int(rng.integers(0, TRAIN_WINDOW // 2))) for a, _, _ in own] or [int(rng.integers(0, max(1, len(text) - TRAIN_WINDOW)))]
+                    starts = np.unique(np.array(at))
+                    x, y = cut(c, starts, TRAIN_WINDOW), cut(tags, starts, TRAIN_WINDOW)
                     yield pd.DataFrame({"x": [r.tobytes() for r in x], "y": [r.tobytes() for r in y]})
 
     rows = sample.mapInPandas(run, "x binary, y binary").distinct()
@@ -286,28 +400,30 @@ def find(docs: DataFrame, tagger: Tagger, out: str = "spans", text: str = "text"
     at = docs.columns.index(text)
     kind = pa.list_(pa.struct([("start", pa.int32()), ("rank", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
 
-    def tagged(model: Tagger, classes: list[np.ndarray]) -> list[list[tuple[int, int, int]]]:
-        starts = [window_starts(c) for c in classes]
-        rows = np.concatenate([cut(c, s) for c, s in zip(classes, starts, strict=True)]).astype(np.int64)
-        decoded = np.concatenate([model.decode(rows[i : i + 512]) for i in range(0, len(rows), 512)])
+    def tagged(model: Tagger, texts: list[str]) -> Iterator[list[tuple[int, int, int]]]:
+        """Spans of each text; windows are decoded 1024 at a time, whatever texts they belong to."""
+        classes = [char_classes(t) for t in texts]
+        starts = [window_starts(len(t)) for t in texts]
+        rows = np.concatenate([cut(c, s) for c, s in zip(classes, starts, strict=True)])
+        decoded = np.concatenate([model.decode(rows[i : i + 1024]) for i in range(0, len(rows), 1024)])
         ends = np.cumsum([len(s) for s in starts])
-        return [spans_of(reconciled(len(c), s, decoded[e - len(s) : e]), c) for c, s, e in zip(classes, starts, ends, strict=True)]
+        for t, s, e in zip(texts, starts, ends, strict=True):
+            own = decoded[e - len(s) : e]
+            yield spans_of(reconciled(len(t), s, own), t) if own.any() else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shipped.value
         for batch in batches:
             texts = batch.column(at).to_pylist()
             spans: list[list[dict]] = [[] for _ in texts]
-            held = [i for i, t in enumerate(texts) if t and MARK.search(t)]
-            if held:
-                found = tagged(model, [char_classes(texts[i]) for i in held])
-                for i, more in zip(held, found, strict=True):
-                    base = base_spans(texts[i])
-                    taken = np.zeros(len(texts[i]), dtype=bool)
-                    for a, _, b in base:
-                        taken[a:b] = True
-                    spans[i] = [{"start": a, "rank": k, "end": b, "base": True} for a, k, b in base]
-                    spans[i] += [{"start": a, "rank": k, "end": b, "base": False} for a, k, b in more if not taken[a:b].any()]
+            held = [i for i, t in enumerate(texts) if t]
+            for i, more in zip(held, tagged(model, [texts[i] for i in held]) if held else (), strict=True):
+                base = base_spans(texts[i]) if MARK.search(texts[i]) else []
+                taken = np.zeros(len(texts[i]) if more else 0, dtype=bool)
+                for a, _, b in base if more else ():
+                    taken[a:b] = True
+                spans[i] = [{"start": a, "rank": k, "end": b, "base": True} for a, k, b in base]
+                spans[i] += [{"start": a, "rank": k, "end": b, "base": False} for a, k, b in more if not taken[a:b].any()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, kind)], names=[*batch.schema.names, out])
 
     return docs.mapInArrow(run, schema)

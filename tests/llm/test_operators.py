@@ -296,6 +296,58 @@ def test_personal_data(docs):
     assert pii.find(docs.limit(0), tagger).count() == 0
 
 
+def luhn_number(rng, n=16):
+    digits = [rng.randrange(10) for _ in range(n - 1)]
+    return "".join(map(str, next([*digits, c] for c in range(10) if pii.luhn([*digits, c]))))
+
+
+def test_added_spans_are_right_on_planted_spellings(spark, tmp_path):
+    """Whole texts with items as usual to learn from, held-out texts with items spelled anew and with numbers that are none."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randint(2, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    address = lambda: f"{word()}.{digits(2)}@{word()}.example.com"
+    ip = lambda: ".".join(str(rng.randrange(256)) for _ in range(4))
+    rows = []
+    for k in range(600):
+        item = [address(), ip(), luhn_number(rng), f"+1 ({digits(3)}) {digits(3)}-{digits(4)}"][k % 4]
+        rows.append((k, f"{prose(rng.randint(3, 60))} {item if k % 5 else 'v2 of 3 at home, 1999'} {prose(20)}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    tagger = pii.train(docs)
+    planted, clean = [], []
+    for k in range(200):
+        number = luhn_number(rng)
+        item = [f"{word()}.{digits(2)} at {word()} dot example dot com", f"{word()}.{digits(2)}[at]{word()}[dot]example[dot]org", ip().replace(".", "[.]"), "/".join(number[i : i + 4] for i in range(0, 16, 4))][k % 4]
+        before = prose(rng.randint(3, 300))
+        planted.append((k, f"{before} {item} {prose(15)}", len(before) + 1, len(before) + 1 + len(item)))
+        wrong = number[:-1] + str((int(number[-1]) + 1) % 10)
+        clean.append((1000 + k, f"{prose(30)} at home dot dot 2024-01-{digits(2)} {wrong} v1.2.3 {prose(20)} 300.1.2.3 {digits(5)}"))
+    held = spark.createDataFrame([r[:2] for r in planted] + clean, "doc_id long, text string")
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"] if not s["base"]] for r in pii.find(held, tagger).collect()}
+    hit = sum(any(a < end and start < b for a, b in got[k]) for k, _, start, end in planted)
+    extra = sum(not any(a < end and start < b for start, end in [(r[2], r[3])]) for r in planted for a, b in got[r[0]]) + sum(len(got[k]) for k, _ in clean)
+    assert hit >= 160 and extra <= 0.1 * hit
+    assert pii.respelled("a b@c.de f", [(2, 0, 8)], np.random.default_rng(0))[0].startswith("a b")
+
+
+def test_every_window_counts(spark):
+    model = pii.Tagger()
+    windows = np.random.default_rng(3).integers(1, pii.CLASSES, (20, pii.WINDOW)).astype(np.int8)
+    e, _ = model.emissions(windows.astype(np.int64))
+    assert (model.viterbi(e, model.p["trans"] + pii.allowed()) == model.decode(windows)).mean() > 0.999
+    n = 3 * pii.STRIDE + 7
+    starts = pii.window_starts(n)
+    assert set(np.concatenate([np.arange(s, s + pii.WINDOW) for s in starts])) >= set(range(n)) and list(pii.window_starts(1)) == [0]
+    card, phone = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+    rng = random.Random(8)
+    for _ in range(300):
+        t = "".join(rng.choice("0123456789 -+().@ab") for _ in range(60)) + luhn_number(rng) + " +1 (555) 123-4567" * (rng.random() < 0.5)
+        want = [(m.start(), 2, m.end()) for m in card.finditer(t) if 12 <= len(re.sub("[^0-9]", "", m[0])) <= 19 and pii.luhn([int(c) for c in m[0] if c.isdigit()])]
+        want += [(m.start(), 3, m.end()) for m in phone.finditer(t) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+        assert sorted(x for x in pii.base_spans(t) if x[1] > 1) == sorted(want)
+
+
 def test_tagger_learns_held_out_spans():
     rng = random.Random(2)
 
@@ -308,7 +360,7 @@ def test_tagger_learns_held_out_spans():
         for _ in range(n):
             t, _ = sample()
             c = pii.char_classes(t)
-            x.append(pii.cut(c, np.array([0]))[0]), y.append(pii.cut(pii.tags_of(len(t), pii.base_spans(t)), np.array([0]))[0])
+            x.append(pii.cut(c, np.array([0]), 64)[0]), y.append(pii.cut(pii.tags_of(len(t), pii.base_spans(t)), np.array([0]), 64)[0])
         return np.array(x, dtype=np.int64), np.array(y, dtype=np.int64)
 
     model = pii.Tagger().fit(*windows(200))

@@ -1,10 +1,12 @@
 """Exact top-k search by distributed histogram selection.
 
-Every query is scored against every candidate in blocks. Each pass counts the scores of a query in the
-bins of its current interval, locates the bin of the k-th highest score, and makes that bin the next
-interval, until it is one value wide. A last pass emits the scores above that value, and as many ties,
-by ascending id, as are still wanted. A block drops only counts below its own k-th score, which cannot
-hold the global one.
+Queries go to the candidates in groups of a bounded size, so that candidates never move: each pass scores a
+group against all blocks of candidates where they lie. A pass counts the scores of a query in the bins of
+its current interval, locates the bin of the k-th highest score, and makes that bin the next interval, until
+it is one value wide. A last pass emits the scores above that value, and as many ties, by ascending id, as
+are still wanted. A task sends only counts from its own k-th score upwards, as lower ones cannot hold the
+global one. Candidates are read once a pass and group, which is the least that an exact search of stated
+queries against all rows can do with bounded memory.
 """
 
 from __future__ import annotations
@@ -16,9 +18,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quantjobs.llm.common import load, saved
+from quantjobs.llm.common import load, saved, spread
 
-QUERY_BLOCK, BLOCK, BINS = 256, 2048, 4096
+BLOCK, BINS = 2048, 4096
+#: Bytes and number of query vectors in a group, which pass through the driver and are held by each Python worker.
+GROUP_BYTES, GROUP_ROWS = 32 << 20, 50_000
 
 
 def integer_vectors(df: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
@@ -29,16 +33,18 @@ def integer_vectors(df: DataFrame, id_col: str, vec_col: str, scale: int) -> Dat
 
 
 def blocked(vectors: DataFrame, rows: int) -> DataFrame:
-    """(dim, ids, m): vectors of one length packed to blocks of at most ``rows``; m is a row-major matrix."""
+    """(dim, size, ids, m): vectors of one length packed to blocks of at most ``rows``; m is a row-major matrix of 4 or 8 byte integers."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for dim, own in pdf.groupby(pdf["v"].map(len)):
                 for at in range(0, len(own), rows):
                     part = own.iloc[at : at + rows]
-                    yield pd.DataFrame([{"dim": dim, "ids": part["id"].to_numpy(dtype=np.int64), "m": np.stack(part["v"].to_numpy()).astype(np.int64).tobytes()}])
+                    m = np.stack(part["v"].to_numpy()).astype(np.int64)
+                    size = 4 if np.abs(m).max() < 2**31 else 8
+                    yield pd.DataFrame([{"dim": dim, "size": size, "ids": part["id"].to_numpy(dtype=np.int64), "m": m.astype(f"<i{size}").tobytes()}])
 
-    return vectors.mapInPandas(run, "dim int, ids array<bigint>, m binary")
+    return vectors.mapInPandas(run, "dim int, size int, ids array<bigint>, m binary")
 
 
 def scores(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -49,87 +55,103 @@ def scores(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return queries @ rows.T
 
 
-def unpacked(block: bytes, dim: int) -> np.ndarray:
-    return np.frombuffer(block, dtype=np.int64).reshape(-1, dim) if dim else np.zeros((0, 0), np.int64)
+def unpacked(block: bytes, dim: int, size: int) -> np.ndarray:
+    return np.frombuffer(block, dtype=f"<i{size}").astype(np.int64).reshape(-1, dim)
 
 
-def top_k(df: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 256, bins: int = BINS) -> DataFrame:
+def top_k(df: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 256, bins: int = BINS, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """(query_id, rank, id, score): the k highest scores of each query row against all rows but its own.
 
     ``is_query`` is a condition on the column id. Ties go to the smaller id; with fewer than k candidates
     all are returned. Vectors of another length than the query's are no candidates of it; empty vectors
-    score nothing and are left out. Rows that repeat an id are each a candidate of other ids.
+    score nothing and are left out. Rows that repeat an id are each a candidate of other ids, and a query once.
     """
     vectors = saved(integer_vectors(df, id_col, vec_col, scale).where(F.size("v") > 0), "vectors")
-    rows = saved(blocked(vectors, BLOCK), "blocks")
-    asked = saved(blocked(vectors.where(is_query).dropDuplicates(["id"]), QUERY_BLOCK).withColumn("block", F.monotonically_increasing_id()), "queries")
-    # Bounds of each query's scores from the largest length of a row, block by block.
+    rows = saved(blocked(spread(vectors), BLOCK), "blocks")
+    asked = vectors.where(is_query).dropDuplicates(["id"])
+    facts = asked.agg(F.sum(F.size("v") * 8), F.count("*")).first()
+    # Bounds of each query's scores from the largest length of a row.
     longest = vectors.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double")))).first()[0]
-    if longest is None:
+    if not facts[1]:
         return df.sparkSession.createDataFrame([], "query_id bigint, rank int, id bigint, score bigint")
-    names = asked.select("block", "dim")
-    pairs = rows.join(names, "dim")  # of blocks: each candidate block meets each block of the stated queries
-
-    def bounds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                norm = np.sqrt((unpacked(r.m, r.dim).astype(np.float64) ** 2).sum(1) * longest)
-                reach = np.minimum(np.ceil(norm * (1 + 1e-9)) + 1, 2.0**62).astype(np.int64)
-                yield pd.DataFrame({"q": r.ids, "low": -reach, "width": 2 * reach + 1})
-
-    limits = saved(asked.mapInPandas(bounds, "q bigint, low bigint, width bigint"), "limits")
-
-    def with_limits(limits: DataFrame) -> DataFrame:
-        """Pairs of blocks, the query block with its queries' current intervals."""
-        each = asked.select("block", F.posexplode("ids").alias("at", "q")).join(limits, "q").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("at", "low", "width"))).alias("l"))
-        q = asked.select("block", F.col("ids").alias("q_ids"), F.col("m").alias("q_m")).join(each, "block").select("block", "q_ids", "q_m", F.col("l.low").alias("low"), F.col("l.width").alias("width"))
-        return pairs.join(q, "block")
-
-    def scored(r):
-        """(scores, own, low, width) of a pair of blocks; a query's own row is marked."""
-        s = scores(unpacked(r.q_m, r.dim), unpacked(r.m, r.dim))
-        return s, np.asarray(r.q_ids)[:, None] == np.asarray(r.ids)[None, :], np.asarray(r.low), np.asarray(r.width)
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                s, own, low, width = scored(r)
-                step = -(-width // bins)
-                b = (s - low[:, None]) // step[:, None]
-                b = np.where(own | (b < 0), -1, np.minimum(b, bins))  # above the interval: counted as its own bin
-                kth = min(k, b.shape[1])
-                least = np.partition(b, b.shape[1] - kth, axis=1)[:, b.shape[1] - kth]
-                i, j = np.nonzero((b >= least[:, None]) & (b >= 0))
-                pair, n = np.unique(i * np.int64(bins + 1) + b[i, j], return_counts=True)
-                yield pd.DataFrame({"q": np.asarray(r.q_ids)[pair // (bins + 1)], "b": (pair % (bins + 1)).astype(np.int32), "n": n})
-
-    while True:
-        widest = limits.agg(F.max("width")).first()[0]
-        if widest is None or widest <= 1:
-            break
-        counts = with_limits(limits).mapInPandas(count, "q bigint, b int, n bigint").groupBy("q", "b").agg(F.sum("n").alias("n"))
-        above = F.sum("n").over(Window.partitionBy("q").orderBy(F.desc("b")))  # at most bins + 1 rows a query
-        hit = counts.withColumn("above", above).join(limits, "q").where(F.col("above") >= k).groupBy("q", "low", "width").agg(F.max("b").alias("b"))
-        step = F.expr(f"(width + {bins - 1}) div {bins}")
-        narrowed = hit.select("q", (F.col("low") + F.col("b") * step).alias("low"), step.alias("width"))
-        few = limits.join(hit.select("q"), "q", "left_anti").select("q", "low", F.lit(1).cast("bigint").alias("width"))  # fewer than k candidates: all
-        limits = saved(narrowed.unionByName(few), "limits")
-
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                s, own, low, _ = scored(r)
-                ids = np.asarray(r.ids)
-                i, j = np.nonzero((s >= low[:, None]) & ~own)
-                order = np.lexsort((ids[j], -s[i, j], i))
-                i, j = i[order], j[order]
-                nth = np.arange(len(i)) - np.searchsorted(i, i)  # place among the block's candidates of the query
-                i, j = i[nth < k], j[nth < k]
-                yield pd.DataFrame({"query_id": np.asarray(r.q_ids)[i], "id": ids[j], "score": s[i, j]})
-
-    best = with_limits(limits).mapInPandas(emit, "query_id bigint, id bigint, score bigint")
+    groups = max(-(-facts[0] // group_bytes), -(-facts[1] // GROUP_ROWS))
+    asked = saved(asked.withColumn("group", F.pmod(F.xxhash64("id"), F.lit(groups))), "queries")
+    found = None
+    for group in range(groups):
+        best = _of_group(rows, asked.where(F.col("group") == group), longest, k, bins)
+        if best is not None:
+            found = best if found is None else found.unionByName(best)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return best.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+
+
+def _of_group(rows: DataFrame, asked: DataFrame, longest: float, k: int, bins: int) -> DataFrame | None:
+    """(query_id, id, score): for one group of queries, all that may be among the k highest."""
+    own = asked.select("id", "v").toPandas()  # GROUP_BYTES or little more
+    if not len(own):
+        return None
+    queries = {dim: (part["id"].to_numpy(dtype=np.int64), np.stack(part["v"].to_numpy()).astype(np.int64)) for dim, part in own.groupby(own["v"].map(len))}
+    reach = {dim: np.minimum(np.ceil(np.sqrt((m.astype(np.float64) ** 2).sum(1) * longest) * (1 + 1e-9)) + 1, 2.0**62).astype(np.int64) for dim, (_, m) in queries.items()}
+    limits = {int(q): (-int(r), 2 * int(r) + 1) for dim, (ids, _) in queries.items() for q, r in zip(ids, reach[dim], strict=True)}
+    context = rows.sparkSession.sparkContext
+    shipped = context.broadcast(queries)
+
+    def scored(r, limits):
+        """(query ids, scores, own, low, width) of a block of candidates; a query's own row is marked."""
+        ids, m = shipped.value[r.dim]
+        now = np.array([limits[int(q)] for q in ids], dtype=np.int64)
+        s = scores(m, unpacked(r.m, r.dim, r.size))
+        return ids, s, ids[:, None] == np.asarray(r.ids)[None, :], now[:, 0], now[:, 1]
+
+    def counts(sent):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            for pdf in batches:
+                for r in pdf.itertuples(index=False):
+                    if r.dim not in shipped.value:
+                        continue
+                    _, s, own, low, width = scored(r, sent.value)
+                    step = -(-width // bins)
+                    b = (s - low[:, None]) // step[:, None]
+                    b = np.where(own | (b < 0), -1, np.minimum(b, bins))  # above the interval: counted as its own bin
+                    kth = min(k, b.shape[1])
+                    least = np.partition(b, b.shape[1] - kth, axis=1)[:, b.shape[1] - kth]
+                    i, j = np.nonzero((b >= least[:, None]) & (b >= 0))
+                    pair, n = np.unique(i * np.int64(bins + 1) + b[i, j], return_counts=True)
+                    if r.dim in total:
+                        pair, at = np.unique(np.r_[total[r.dim][0], pair], return_inverse=True)
+                        n = np.bincount(at, weights=np.r_[total[r.dim][1], n]).astype(np.int64)
+                    total[r.dim] = pair, n
+            for dim, (pair, n) in total.items():
+                yield pd.DataFrame({"q": shipped.value[dim][0][pair // (bins + 1)], "b": (pair % (bins + 1)).astype(np.int32), "n": n})
+
+        return run
+
+    def emit(sent):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for r in pdf.itertuples(index=False):
+                    if r.dim not in shipped.value:
+                        continue
+                    names, s, own, low, _ = scored(r, sent.value)
+                    ids = np.asarray(r.ids)
+                    i, j = np.nonzero((s >= low[:, None]) & ~own)
+                    order = np.lexsort((ids[j], -s[i, j], i))
+                    i, j = i[order], j[order]
+                    nth = np.arange(len(i)) - np.searchsorted(i, i)  # place among the block's candidates of the query
+                    i, j = i[nth < k], j[nth < k]
+                    yield pd.DataFrame({"query_id": names[i], "id": ids[j], "score": s[i, j]})
+
+        return run
+
+    while max(w for _, w in limits.values()) > 1:
+        seen = rows.mapInPandas(counts(context.broadcast(limits)), "q bigint, b int, n bigint").groupBy("q", "b").agg(F.sum("n").alias("n"))
+        above = F.sum("n").over(Window.partitionBy("q").orderBy(F.desc("b")))  # at most bins + 1 rows a query
+        hit = seen.withColumn("above", above).where(F.col("above") >= k).groupBy("q").agg(F.max("b").alias("b")).collect()
+        found = {r["q"]: r["b"] for r in hit}
+        # Fewer than k candidates: all of them count.
+        limits = {q: (low + found[q] * -(-width // bins), -(-width // bins)) if q in found else (low, 1) for q, (low, width) in limits.items()}
+    return saved(rows.mapInPandas(emit(context.broadcast(limits)), "query_id bigint, id bigint, score bigint"), "best")
 
 
 def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

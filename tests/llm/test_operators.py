@@ -146,6 +146,15 @@ def test_top_k(spark):
             best = sorted((-int(v @ w), i) for i, w in ok if i != q)[:5]
             want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
     assert got == want
+    wide = df.selectExpr("vec_id", "embedding", "vec_id AS id", "'x' AS score", "0 AS rank").unionByName(df.where("vec_id IN (50, 203)").selectExpr("vec_id", "embedding", "vec_id AS id", "'x' AS score", "0 AS rank"))
+    again = topk.top_k(wide, F.col("id") % 50 == 0, bins=64, group_bytes=50).orderBy("query_id", "rank", "score").collect()
+    ok += [(i, v) for i, v in ok if i in (50, 203)]  # repeated rows are candidates of other ids; small groups of queries
+    want = []
+    for q, v in {i: v for i, v in ok}.items():
+        if q % 50 == 0:
+            best = sorted((-int(v @ w), i) for i, w in ok if i != q)[:5]
+            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert [(r["query_id"], r["rank"], r["id"], r["score"]) for r in again] == sorted(want)
     assert topk.top_k(df.limit(0), F.col("id") % 50 == 0).count() == 0
     assert topk.top_k(df.where("vec_id < 2"), F.col("id") % 50 == 0).count() == 1
 

@@ -18,7 +18,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     now, mark = saved(ok, "edges"), None
     while True:
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = saved(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")  # so that a star's edges may be split
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         least = down.groupBy("u").agg(F.min("v").alias("m"))

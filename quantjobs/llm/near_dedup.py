@@ -11,6 +11,10 @@ component that it shares most buckets with, so that a hot group costs one pair a
 all pairs. What those links leave apart in a bucket is then compared across components, all of it. A
 pair reaches the exact comparison only if at least half of its 32 minhashes agree (a pair at 0.8 fails
 that with probability below 1e-4).
+
+Shingle sets are computed once more, and kept, for those documents only that share a bucket. Tables that a
+hot key may skew are joined with materialised small sides, so that Spark may split its partitions; a
+centre's set is copied once for so many members, and a large bucket is compared in pairs of blocks.
 """
 
 from __future__ import annotations
@@ -26,8 +30,8 @@ from pyspark.sql import functions as F
 from quantjobs.llm.common import load, saved, small_batches
 from quantjobs.llm.graph import components
 
-#: Largest number of ids (8 bytes each) that is broadcast instead of shuffling texts.
-BROADCAST_IDS = 2_000_000
+#: Members of a centre that one copy of its set serves; documents of a bucket's block in the last comparison.
+MEMBERS, BLOCK = 2000, 500
 #: One-bit minhashes of the documents that are compared across components.
 BITS = 2048
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -119,17 +123,23 @@ def close_bits(times: tuple[int, int]) -> Column:
     return F.aggregate(F.zip_with("ba", "bb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x) <= most
 
 
-def chosen(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text) of the documents with the given ids (column id)."""
-    ids = saved(ids, "wanted")
-    if ids.count() <= BROADCAST_IDS:  # else both sides are shuffled
-        ids = F.broadcast(ids)
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
+def shingle_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(id, s): the whole shingle sets of the documents with the given ids (column id), each set of an id once."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(x, words).view(np.int64) for x in batch.column(1).to_pylist()]
+            names = [xxhash.xxh3_128_hexdigest(x.tobytes()) for x in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(sets, pa.list_(pa.int64()))], names=["id", "name", "s"])
+
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null").join(ids, "id", "left_semi")
+    return saved(texts.mapInArrow(run, f"id {kind}, name string, s array<bigint>").dropDuplicates(["id", "name"]).select("id", "s"), "sets")
 
 
-def bit_sketches(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id, bits): BITS one-bit minhashes of the documents with the given ids."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def bit_sketches(sets: DataFrame) -> DataFrame:
+    """(id, bits): BITS one-bit minhashes of shingle sets."""
+    kind = sets.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(20_24)
@@ -137,32 +147,44 @@ def bit_sketches(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, wo
         odd = rng.integers(0, 2**63, BITS, dtype=np.uint64) | np.uint64(1)
         for batch in batches:
             out = []
-            for x in batch.column(1).to_pylist():
+            for x in batch.column(1):
+                shingles = x.values.to_numpy(zero_copy_only=False).view(np.uint64)
                 found = np.full(BITS, 2**64 - 1, dtype=np.uint64)
-                shingles = shingle_set(x, words)
                 for at in range(0, len(shingles), 64):
                     np.minimum(found, ((shingles[at : at + 64, None] ^ flip) * odd).min(0), out=found)
                 out.append(np.packbits(((mixed(found) >> np.uint64(40)) & np.uint64(1)).astype(np.uint8)).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], names=["id", "bits"])
 
-    return saved(chosen(docs, ids, id_col, text_col).mapInArrow(run, f"id {kind}, bits array<bigint>"), "bits")
+    return saved(sets.mapInArrow(run, f"id {kind}, bits array<bigint>"), "bits")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, times: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) whose whole sets satisfy ``times[0] * intersection >= times[1] * union``."""
+def confirmed(pairs: DataFrame, sets: DataFrame, times: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) of distinct (member, centre) whose whole sets satisfy ``times[0] * intersection >= times[1] * union``.
+
+    A member's set moves with its pair, a centre's set once for MEMBERS of them.
+    """
     pairs = saved(pairs, "pairs")
-    texts = chosen(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), id_col, text_col)
-    kind = docs.schema[id_col].dataType.simpleString()
+    copies = pairs.groupBy("centre").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("n"))
+    copies = saved(copies, "copies")
+    dealt = pairs.join(copies, "centre").withColumn("salt", F.pmod(F.xxhash64("member"), F.col("n")).cast("int")).select("member", "centre", "salt")
+    centres = copies.join(sets.withColumnRenamed("id", "centre"), "centre").select("centre", F.col("s").alias("sc"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("salt"))
+    both = dealt.join(sets.select(F.col("id").alias("member"), F.col("s").alias("sm")), "member").join(centres, ["centre", "salt"])
+    common = F.size(F.array_intersect("sm", "sc"))
+    near = both.select("member", "centre", common.alias("i"), (F.size("sm") + F.size("sc") - common).alias("u")).where(F.col("i") * times[0] >= F.col("u") * times[1])
+    return saved(near.select(F.least("member", "centre").alias("a"), F.greatest("member", "centre").alias("b")), "links")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(x, words).view(np.int64) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "s"])
 
-    sets = saved(texts.mapInArrow(run, f"id {kind}, s array<bigint>"), "sets")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return saved(both.select("a", "b", common.alias("i"), (F.size("sa") + F.size("sb") - common).alias("u")).where(F.col("i") * times[0] >= F.col("u") * times[1]).select("a", "b").distinct(), "links")
+def in_blocks(rows: DataFrame, side: str) -> DataFrame:
+    """Rows of one side of a comparison within buckets: bi and bj name a pair of blocks of the bucket, bi <= bj.
+
+    ``n`` is the bucket's size. As side "a" a row of block x goes to all (x, j), as side "b" to all (i, x).
+    """
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
+    d = rows.withColumns({"_own": own, "_n": blocks})
+    if side == "a":
+        return d.withColumn("bi", F.col("_own")).withColumn("bj", F.explode(F.sequence(F.col("_own"), F.col("_n") - 1))).drop("_own", "_n")
+    return d.withColumn("bj", F.col("_own")).withColumn("bi", F.explode(F.sequence(F.lit(0), F.col("_own")))).drop("_own", "_n")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, times: tuple[int, int] = (100, 85), halves: int = 8, rows: int = 2, rounds: int = 2) -> DataFrame:
@@ -171,7 +193,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Two documents are linked if ``times[0] * intersection >= times[1] * union`` of their shingle sets;
     component_id is the smallest id reachable. Documents without words have no shingles and no links.
     A row whose id is null has a null component and is kept. Rows that repeat an id are one document and
-    get one component. ``docs`` is read two or three times and should be a table.
+    get one component. ``docs`` is read twice and should be a table.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -180,7 +202,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = full.groupBy("set_hash").agg(F.min("id").alias("rep"), F.first(F.struct("n_shingles", "sig", "tuples", "keys")).alias("f"))
     nodes = saved(classes.select("set_hash", "rep", "f.*"), "nodes")
     posts = nodes.select("rep", F.posexplode("keys").alias("t", "key"))
-    sizes = posts.groupBy("key").agg(F.count("*").alias("mates")).where("mates > 1")
+    sizes = saved(posts.groupBy("key").agg(F.count("*").alias("mates")).where("mates > 1"), "sizes")
     posts = saved(posts.join(sizes, "key"), "posts")
     facts = nodes.select("rep", "n_shingles", "sig")
 
@@ -191,32 +213,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         shorter, longer = F.least(f"n{p}", f"n{q}"), F.greatest(f"n{p}", f"n{q}")
         return (shorter * times[0] >= longer * times[1]) & (agreeing(F.col(f"s{p}"), F.col(f"s{q}")) >= halves * rows)
 
-    mass = posts.groupBy("rep").agg(F.sum("mates").alias("mass"))
+    mass = saved(posts.groupBy("rep").agg(F.sum("mates").alias("mass")), "mass")
+    sets = shingle_sets(docs, mass.select(F.col("rep").alias("id")).distinct(), id_col, text_col, words)
     dense = saved(posts.join(mass, "rep").select("key", "t", "rep", "mass"), "dense")
     links = tried = None
     parts = dense.withColumn("part", F.col("rep"))
     for _ in range(rounds):
-        centres = parts.groupBy("key").agg(F.max_by(F.struct("rep", "part"), F.struct("mass", -F.col("rep"))).alias("c"))
+        centres = saved(parts.groupBy("key").agg(F.max_by(F.struct("rep", "part"), F.struct("mass", -F.col("rep"))).alias("c")), "centres")
         apart = parts.join(centres, "key").where(F.col("part") != F.col("c.part")).groupBy("rep", F.col("c.rep").alias("centre")).agg(F.count("*").alias("shared"))
         if tried is not None:
             apart = apart.join(tried, ["rep", "centre"], "left_anti")
         best = saved(apart.groupBy("rep").agg(F.max_by("centre", F.struct("shared", -F.col("centre"))).alias("centre")), "best")
         tried = best if tried is None else tried.unionAll(best)
-        pairs = best.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
-        new = confirmed(pairs.join(side("a"), "a").join(side("b"), "b").where(likely("a", "b")).select("a", "b"), docs, id_col, text_col, words, times)
+        pairs = best.select(F.col("rep").alias("a"), F.col("centre").alias("b")).join(side("a"), "a").join(side("b"), "b").where(likely("a", "b"))
+        new = confirmed(pairs.select(F.col("a").alias("member"), F.col("b").alias("centre")).distinct(), sets, times)
         links = new if links is None else links.unionAll(new)
         found = components(links)
         label = found.select(F.col("node").alias("rep"), "component")
         parts = saved(dense.join(label, "rep", "left").select("key", "t", "rep", "mass", F.coalesce("component", "rep").alias("part")), "parts")
 
     # What is still apart in a bucket is compared across components.
-    mixed_keys = parts.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("key")
-    left = saved(parts.join(mixed_keys, "key", "left_semi").select("key", "t", "rep", "part"), "apart")
-    bits = bit_sketches(docs, left.select(F.col("rep").alias("id")).distinct(), id_col, text_col, words)
+    mixed_keys = parts.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("n")).where("p <> q").select("key", "n")
+    left = saved(parts.join(saved(mixed_keys, "mixed"), "key").select("key", "t", "rep", "part", "n"), "apart")
+    bits = bit_sketches(sets.join(left.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"))
     left = left.join(nodes.select("rep", "n_shingles", "sig", "tuples").join(bits.withColumnRenamed("id", "rep"), "rep"), "rep")
-    named = [left.select("key", "t", *[F.col(c).alias(f"{n}{x}") for c, n in (("rep", "r"), ("part", "p"), ("n_shingles", "n"), ("sig", "s"), ("tuples", "w"), ("bits", "b"))]) for x in "ab"]
-    across = named[0].join(named[1], ["key", "t"]).where((F.col("pa") < F.col("pb")) & likely("a", "b") & first_table(halves) & close_bits(times))
-    more = confirmed(across.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), docs, id_col, text_col, words, times)
+    named = [in_blocks(left, x).select("key", "t", "bi", "bj", *[F.col(c).alias(f"{n}{x}") for c, n in (("rep", "r"), ("part", "p"), ("n_shingles", "n"), ("sig", "s"), ("tuples", "w"), ("bits", "b"))]) for x in "ab"]
+    once = (F.col("bi") < F.col("bj")) | (F.col("ra") < F.col("rb"))
+    across = named[0].join(named[1], ["key", "t", "bi", "bj"]).where((F.col("pa") != F.col("pb")) & once & likely("a", "b") & first_table(halves) & close_bits(times))
+    more = confirmed(across.select(F.least("ra", "rb").alias("member"), F.greatest("ra", "rb").alias("centre")).distinct(), sets, times)
     found = components(links.unionAll(more))
     label = nodes.select("set_hash", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_hash", F.coalesce("component", "rep").alias("label"))
     own = rows_.select("id", "n_shingles", "set_hash").join(label, "set_hash", "left")

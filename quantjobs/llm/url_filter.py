@@ -1,10 +1,13 @@
 """URL filters: rules by host and path, and naive Bayes over words segmented from hosts and paths.
 
 Concatenated names are split by Viterbi under a unigram model of words: the counts of all words of the
-pages' own texts and of the labelled words. Candidate pieces are looked up by a join, so that no
-vocabulary is broadcast. The tokens of hosts and paths then feed a multinomial naive Bayes model. It
-learns path tokens from the pages on which a rule has decided, and host tokens from words that stand
-for junk or for plain hosts; it decides where no rule does.
+pages' own texts and of the seed words. Candidate pieces are looked up by a join, so that no vocabulary is
+broadcast. Runs of digits are tokens of their own.
+
+The tokens of hosts and paths then feed a multinomial naive Bayes model, which decides where no rule does. As
+pages carry no labels, it starts from seed words: hosts that hold a word of junk hosts are block pages, all
+others are allow pages, and seed words count as so many pages. What the model then blocks are the block pages
+of the next round. The rules' verdicts teach it nothing: they speak of places, not of words.
 """
 
 from __future__ import annotations
@@ -22,11 +25,11 @@ from quantjobs.llm.common import load, saved, small_batches, without
 
 #: (verdict, rule) of the contract.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-# Words that stand for junk hosts and for plain ones.
-JUNK_WORDS = "spam farm cheap pills casino poker viagra porn adult xxx escort loan payday replica warez torrent crack keygen clickbait malware phishing bet betting lottery jackpot pharma discount".split()
-PLAIN_WORDS = "blog news docs wiki library school science history article guide research journal university museum archive forum support help learn education".split()
-#: Weight of such a word against one page; longest piece that is looked up; salts of frequent tokens.
-WORD_WEIGHT, LONGEST, SALTS = 20, 24, 16
+# Words that stand for junk hosts and for plain ones; a plural counts as its singular.
+JUNK_WORDS = "spam farm cheap pill casino poker viagra porn adult xxx escort loan payday replica warez torrent crack keygen clickbait malware phishing bet betting lottery jackpot pharma discount ad adserver tracker track popup".split()
+PLAIN_WORDS = "blog news doc wiki library school science history article guide research journal university museum archive forum support help learn education".split()
+#: Pages that a seed word stands for; longest piece that is looked up, that of a host's label; salts of frequent tokens; rounds.
+WORD_WEIGHT, LONGEST, SALTS, ROUNDS = 20, 63, 16, 2
 TAG, WORD = re.compile(r"<[^>]*>"), re.compile(r"[a-z]{2,}")
 
 
@@ -102,43 +105,73 @@ def segmented(names: DataFrame, counts: DataFrame) -> DataFrame:
     return names.join(known, "name", "left").mapInPandas(run, "name string, words array<string>")
 
 
-def token_rows(pages: DataFrame, counts: DataFrame) -> DataFrame:
-    """(key, token): the segmented tokens of each distinct host and path; a token is marked by its side."""
-    whole = pages.select("host", "path").distinct()
-    raw = lambda c: F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda x: x != "")
-    rows = whole.select("host", "path", F.explode(F.concat(F.transform(raw("host"), lambda x: F.struct(F.lit("h").alias("side"), x.alias("name"))), F.transform(raw("path"), lambda x: F.struct(F.lit("p").alias("side"), x.alias("name"))))).alias("e")).select("host", "path", "e.*")
-    letters = rows.where(F.col("name").rlike("^[a-z]{2,}$"))
-    split = segmented(letters.select("name").distinct(), counts)
-    out = letters.join(split, "name").select("host", "path", "side", F.explode("words").alias("w"))
-    other = rows.where(~F.col("name").rlike("^[a-z]{2,}$")).select("host", "path", "side", F.when(F.col("name").rlike("^[0-9]+$"), F.concat(F.lit("#"), F.length("name"))).otherwise(F.col("name")).alias("w"))
-    return out.unionByName(other).select("host", "path", F.concat("side", F.lit(":"), "w").alias("token"))
+def token_rows(urls: DataFrame, counts: DataFrame) -> DataFrame:
+    """(host, path, pages, token): the segmented tokens of each distinct host and path; a token is marked by its side."""
+    runs = lambda c, side: F.transform(F.regexp_extract_all(F.lower(c), F.lit("([a-z]+|[0-9]+)"), F.lit(1)), lambda x: F.struct(F.lit(side).alias("side"), x.alias("name")))
+    rows = urls.select("host", "path", "pages", F.explode(F.concat(runs(F.col("host"), "h"), runs(F.col("path"), "p"))).alias("e")).select("host", "path", "pages", "e.*")
+    word = F.col("name").rlike("^[a-z]{2,}$")
+    split = segmented(rows.where(word).select("name").distinct(), counts)
+    out = rows.where(word).join(split, "name").select("host", "path", "pages", "side", F.explode("words").alias("w"))
+    other = rows.where(~word).select("host", "path", "pages", "side", F.when(F.col("name").rlike("^[0-9]+$"), F.concat(F.lit("#"), F.length("name"))).otherwise(F.col("name")).alias("w"))
+    return out.unionByName(other).select("host", "path", "pages", F.concat("side", F.lit(":"), "w").alias("token"))
+
+
+def singular(token: Column) -> Column:
+    """A token without its plural ending, of four letters and more."""
+    return F.when(F.endswith(token, F.lit("s")) & ~F.endswith(token, F.lit("ss")) & (F.length(token) > 5), F.substring(token, F.lit(1), F.length(token) - 1)).otherwise(token)
 
 
-def judge(pages: DataFrame, url: str = "url", html: str = "html", rules=RULES) -> DataFrame:
+def evidence_of(tokens: DataFrame, weights: DataFrame) -> DataFrame:
+    """(host, path, w): the sum of the token weights, of urls that hold a weighted token. Frequent tokens are salted."""
+    spread_ = weights.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = tokens.withColumn("salt", F.pmod(F.xxhash64("host", "path"), F.lit(SALTS)).cast("int"))
+    return salted.join(spread_, ["token", "salt"]).groupBy("host", "path").agg(F.sum("w").alias("w"))
+
+
+def learn(tokens: DataFrame, urls: DataFrame, junk: list[str], plain: list[str], rounds: int = ROUNDS) -> tuple[DataFrame, int]:
+    """(token, w), log odds of block in millionths, and the prior's, after some rounds of naive Bayes from the seed words."""
+    spark = tokens.sparkSession
+    seeds = F.broadcast(spark.createDataFrame([(f"h:{w}", y) for ws, y in ((junk, 1), (plain, 0)) for w in dict.fromkeys(ws)], "stem string, junk int"))
+    total = saved(tokens.groupBy("token").agg(F.sum("pages").alias("n")), "totals")
+    facts = total.withColumn("stem", singular(F.col("token"))).join(seeds, "stem", "left").select("token", "n", "junk")
+    absent = seeds.withColumnRenamed("stem", "token").join(total, "token", "left_anti").select("token", F.lit(0).cast("bigint").alias("n"), "junk")
+    facts = saved(facts.unionByName(absent), "facts")
+    size = float(facts.count() or 1)
+    pages = urls.agg(F.sum("pages")).first()[0] or 0
+    held = facts.where("junk = 1").select("token", F.lit(1).cast("bigint").alias("w"))
+    weights = prior = None
+    for _ in range(max(1, rounds)):
+        blocked = saved(evidence_of(tokens, held if weights is None else weights).where(F.col("w") + (prior or 0) > 0).select("host", "path"), "blocked")
+        own = tokens.join(blocked, ["host", "path"], "left_semi").groupBy("token").agg(F.sum("pages").alias("b"))
+        n = urls.join(blocked, ["host", "path"], "left_semi").agg(F.sum("pages")).first()[0] or 0
+        seed = lambda y: F.when(F.col("junk") == y, WORD_WEIGHT).otherwise(0)
+        b = F.coalesce("b", F.lit(0)) + seed(1)
+        table = facts.join(own, "token", "left").select("token", b.alias("block"), (F.col("n") - F.coalesce("b", F.lit(0)) + seed(0)).alias("allow"))
+        table = saved(table, "learnt")
+        sums = table.agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")).first()
+        odds = F.log((F.col("block") + 1.0) / F.lit((sums["block"] or 0) + size)) - F.log((F.col("allow") + 1.0) / F.lit((sums["allow"] or 0) + size))
+        weights = table.select("token", F.round(odds * 1e6).cast("bigint").alias("w"))
+        prior = round(1e6 * math.log((n + 1) / (pages - n + 1)))
+    return weights, prior
+
+
+def judge(pages: DataFrame, url: str = "url", html: str = "html", rules=RULES, junk: list[str] = JUNK_WORDS, plain: list[str] = PLAIN_WORDS) -> DataFrame:
     """Adds host, path, rule, verdict and evidence (log odds of block, in millionths) to every page.
 
     Null urls and urls without ``://`` have an empty host and path and are allowed unless a rule fits.
     Repeated pages count as often as they occur; other columns are kept, those of the new names replaced.
+    Evidence of 0 allows.
     """
     pages = without(pages, "host", "path", "rule", "verdict", "evidence")
     host, path = parts(url)
     urls = saved(pages.select(host.alias("host"), path.alias("path")).groupBy("host", "path").agg(F.count("*").alias("pages")), "urls")
-    seeds = pages.sparkSession.createDataFrame([(w, WORD_WEIGHT, y) for ws, y in ((JUNK_WORDS, "block"), (PLAIN_WORDS, "allow")) for w in ws], "word string, n bigint, verdict string")
-    counts = saved(word_counts(pages, html).unionByName(seeds.select("word", "n")).groupBy("word").agg(F.sum("n").alias("n")), "words")
+    seeds = pages.sparkSession.createDataFrame([(w, WORD_WEIGHT) for w in dict.fromkeys([*junk, *plain])], "word string, n bigint")
+    counts = saved(word_counts(pages, html).unionByName(seeds).groupBy("word").agg(F.sum("n").alias("n")), "words")
     tokens = saved(token_rows(urls, counts), "tokens")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    ruled = urls.withColumn("verdict", verdict).where("verdict is not null")
-    learnt = tokens.where(F.startswith("token", F.lit("p:"))).join(ruled, ["host", "path"]).groupBy("token", "verdict").agg(F.sum("pages").alias("n"))
-    learnt = learnt.unionByName(seeds.select(F.concat(F.lit("h:"), "word").alias("token"), "verdict", "n"))
-    table = saved(learnt.groupBy("token").agg(*[F.sum(F.when(F.col("verdict") == v, F.col("n")).otherwise(0)).alias(v) for v in ("allow", "block")]), "learnt")
-    sums = table.agg(F.sum("allow").alias("allow"), F.sum("block").alias("block"), F.count("*").alias("size")).first()
-    size = float(sums["size"] or 1)
-    odds = F.log((F.col("block") + 1.0) / F.lit((sums["block"] or 0) + size)) - F.log((F.col("allow") + 1.0) / F.lit((sums["allow"] or 0) + size))
-    weights = table.select("token", F.round(odds * 1e6).cast("bigint").alias("w"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = tokens.withColumn("salt", F.pmod(F.xxhash64("host", "path"), F.lit(SALTS)).cast("int"))
-    evidence = salted.join(weights, ["token", "salt"]).groupBy("host", "path").agg(F.sum("w").alias("evidence"))
-    judged = urls.join(evidence, ["host", "path"], "left").select("host", "path", F.coalesce("evidence", F.lit(0)).cast("bigint").alias("evidence"), rule.alias("rule"), verdict.alias("said"))
-    out = judged.select("host", "path", "evidence", "rule", F.coalesce("said", F.when(F.col("evidence") > 0, "block").otherwise("allow")).alias("verdict"))
+    weights, prior = learn(tokens, urls, junk, plain)
+    judged = urls.join(evidence_of(tokens, weights), ["host", "path"], "left").select("host", "path", (F.coalesce("w", F.lit(0)) + prior).cast("bigint").alias("evidence"), rule.alias("rule"), verdict.alias("said"))
+    out = judged.select("host", "path", "evidence", "rule", F.coalesce("said", F.when((F.col("evidence") > 0) & (F.col("host") != ""), "block").otherwise("allow")).alias("verdict"))
     return pages.withColumns({"host": host, "path": path}).join(out, ["host", "path"]).select(*pages.columns, "host", "path", "rule", "verdict", "evidence")
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import os
 import random
 import re
@@ -453,16 +454,38 @@ def test_lattice_against_all_paths():
 
 def test_url_filter(spark):
     urls = [None, "no scheme", "https://WWW.Example.org/es/x?q", "http://a.example.org/en/123", "http://example.org/en/2", "http://x.com/de/1", "http://x.com", "http://cheap-pills.shop.net/en/1#z", "http://notorg/", "http://org/"]
-    df = spark.createDataFrame([(k, u, "<p>cheap pills word word</p>", "x") for k, u in enumerate(urls)] + [(20, urls[2], None, "y")], "page_id int, url string, html string, host string")
-    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge(df).collect()}
-    assert got[0][:3] == got[1][:3] == ("", "", None)
-    assert got[2] == got[20] == ("www.example.org", "/es/x", "example.org/es/", "block")
+    urls += [f"http://{h}/en/{k}" for k in range(12) for h in ("www.plainhost.net", "blog.words.net", "m.other.net")]
+    urls += [f"http://{h}/xx/{k}" for k in range(4) for h in ("www.casino24win.net", "freebets.net", "casinowin.org.net")]
+    urls += ["http://winner.net/a", "http://bigwin7.net/es/1", "http://un.example.net/es/1", "ftp://" + "longlabel" * 200 + ".net/" + "path/" * 500]
+    df = spark.createDataFrame([(k, u, "<p>cheap pills word words free win casino bets plain host other big</p>" * 20, "x") for k, u in enumerate(urls)] + [(900, urls[2], None, "y")], "page_id int, url string, html string, host string")
+    rows = url_filter.judge(df).collect()
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in rows}
+    proof = {r["url"]: r["evidence"] for r in rows}
+    assert len(rows) == df.count()
+    assert got[0] == got[1] == ("", "", None, "allow")
+    assert got[2] == got[900] == ("www.example.org", "/es/x", "example.org/es/", "block")
     assert got[3][2:] == ("example.org/en/1", "block") and got[4][2:] == ("org/", "allow") and got[5][2:] == ("com/de/", "block")
     assert got[6][2] is None and got[7][2:] == (None, "block") and got[8][2] is None and got[9][2:] == ("org/", "allow")
+    by_url = {u: got[k][3] for k, u in enumerate(urls)}
+    assert all(v == "block" for u, v in by_url.items() if u and ("casino" in u or "bets" in u) and "org/" not in u)
+    assert all(by_url[u] == "allow" for u in urls if u and ("plainhost" in u or "blog." in u or "m.other" in u))
+    assert by_url["http://un.example.net/es/1"] == "allow"  # a rule about another host's /es/ teaches nothing
+    assert proof["http://bigwin7.net/es/1"] > proof["http://un.example.net/es/1"]  # "win" was learnt beside "casino"
     assert url_filter.viterbi("cheappills", {"cheap": 50, "pills": 50, "pill": 5}, 1000.0) == ["cheap", "pills"]
     assert url_filter.judge(df.limit(0)).count() == 0
 
 
+def all_splits(name):
+    return [[name]] + [[name[:k], *rest] for k in range(1, len(name)) for rest in all_splits(name[k:])]
+
+
+def test_segmentation_is_the_likeliest_of_all():
+    counts = {"a": 5, "ab": 9, "abc": 2, "bc": 7, "c": 1, "cab": 3, "b": 2}
+    cost = lambda words: -sum(math.log(counts[w] / 50 if w in counts else 10.0 / (50 * 10 ** len(w))) for w in words)
+    for name in ("abcab", "cabbc", "xabx", "aaaa", "bcbcab"):
+        assert abs(cost(url_filter.viterbi(name, counts, 50.0)) - min(map(cost, all_splits(name)))) < 1e-9
+
+
 def test_digest_columns(spark):
     df = spark.createDataFrame([([(5, 1, 9), (5, 0, 7), (1, 1, 2)],)], "s array<struct<start:int,rank:int,end:int>>")
     from quantjobs.llm.common import span_string

@@ -16,9 +16,11 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a local one only where it is unset."""
+    """The folder the cluster names in spark.checkpoint.dir. Where it is unset, one of its own in local mode, else an error."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not place:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         place = tempfile.mkdtemp(prefix="quantjobs-")
         spark.sparkContext.setCheckpointDir(place)
     return place
@@ -33,8 +35,13 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Keeps Arrow batches of whole texts small, so that Python workers need little memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Keeps Arrow batches of whole texts small, so that Python workers need little memory. A smaller setting stays.
+
+    The results of the operators are lazy, so the session's setting can't be put back behind them.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, str(rows))
 
 
 def whole_text(col: str = "text") -> Column:

@@ -11,7 +11,7 @@ import pytest
 from quantjobs.plans import registry
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["io2_read_instruments", "io3_read_history", "io7_missing_dates", "ts1_daily_returns", "ts3_momentum", "ts7_risk_return", "ts15_asof_price", "sc2_upside", "sc9_target_quality", "sc14_correlation_pairs", "ps7_composition", "pf4_relative_risk", "pf7_window_performance", "lg2_note_trades", "lg3_statement_movements", "lg6_allocate_fees", "lg11_cost_basis", "lg14_real_daily", "rb3_transition_trades", "rb9_rebalance_gate", "hc2_forward_outcomes", "hc3_set_stability", "hc6_nearest_match"]
+NAMES = sorted(registry.oracle_sql())
 
 
 def plain(v):

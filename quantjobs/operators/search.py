@@ -175,7 +175,7 @@ def refine(results: DataFrame, mean: DataFrame, cov: DataFrame, sectors: DataFra
     return top.unionByName(again).groupBy("combo").agg(F.max_by("weights", F.struct("sharpe", "weights")).alias("weights"), F.max("sharpe").alias("sharpe"))
 
 
-def evolutionary_search(islands: DataFrame, mean: DataFrame, cov: DataFrame, sectors: DataFrame, population: int = 24, generations: int = 15, mutation: float = 0.2, crossover: float = 0.8, elite: int = 2, patience: int = 5, p: SearchParams = SearchParams(least=60, most=60)) -> DataFrame:
+def evolutionary_search(islands: DataFrame, mean: DataFrame, cov: DataFrame, sectors: DataFrame, population: int = 60, generations: int = 40, mutation: float = 0.2, crossover: float = 0.8, elite: int = 2, patience: int = 5, p: SearchParams = SearchParams()) -> DataFrame:
     """(k, seed, generation, best, combo, weights): each (k, seed) island evolves combinations on its own."""
     stats = islands.sparkSession.sparkContext.broadcast(_arrays(mean, cov, sectors))
 

@@ -60,6 +60,7 @@ VIEWS = {
         CASE WHEN momentum IS NULL THEN 0 WHEN m2 = m1 OR m1 IS NULL THEN 0.5 ELSE (momentum - m1) / (m2 - m1) END AS momentum_norm
         FROM upsides u CROSS JOIN (SELECT min(sharpe) AS s1, max(sharpe) AS s2, min(upside) AS u1, max(upside) AS u2, min(momentum) AS m1, max(momentum) AS m2 FROM upsides) x""",
     "composite": "SELECT n.*, 0.4 * sharpe_norm + 0.35 * upside_norm + 0.25 * momentum_norm AS score FROM normed n",
+    "best": "SELECT symbol, sector, pos FROM (SELECT symbol, sector, row_number() OVER (ORDER BY score DESC, symbol) AS pos FROM composite) t WHERE pos <= 50",
     # Five equal weights over the symbols traded most often, and five over the next ones.
     "ranked": "SELECT symbol, row_number() OVER (ORDER BY n DESC, symbol) AS pos FROM (SELECT symbol, COUNT(*) AS n FROM bars GROUP BY symbol) t",
     "weights": "SELECT symbol, CAST(0.2 AS DOUBLE) AS weight FROM ranked WHERE pos <= 5",

@@ -13,13 +13,19 @@ from quantjobs.plans.scoring import PADRET
 
 
 def _pool(s, d):
-    return table(s, d, "ranked").where("pos <= 10").join(table(s, d, "instruments"), "symbol").select("symbol", "sector")
+    """The 50 symbols of the best composite score."""
+    return table(s, d, "best").select("symbol", "sector")
 
 
 def _stats(s, d):
     return ps.panel_stats(ts.padded(table(s, d, "bars")), _pool(s, d))
 
 
+def _traded(s, d):
+    """The ten symbols traded most often, which hold the two portfolios of PS3."""
+    return table(s, d, "ranked").where("pos <= 10").join(table(s, d, "instruments"), "symbol").select("symbol", "sector")
+
+
 def _two(s, d):
     w, i = table(s, d, "weights"), table(s, d, "ideal")
     return w.select(F.lit("p1").alias("portfolio_id"), "symbol", "weight").unionByName(i.select(F.lit("p2").alias("portfolio_id"), "symbol", "weight"))
@@ -35,14 +41,14 @@ def ps2(s, d):
 
 
 def ps3(s, d):
-    mean, cov = _stats(s, d)
+    mean, cov = ps.panel_stats(ts.padded(table(s, d, "bars")), _traded(s, d))
     return r6(ps.portfolio_metrics(_two(s, d), mean, cov, table(s, d, "instruments"), 0.01, 0.3, 0.5), "ret", "vol", "hhi", "sector_hhi", "sharpe").select("portfolio_id", "ret", "vol", "hhi", "sector_hhi", "sharpe")
 
 
 def _searched(s, d):
     mean, cov = _stats(s, d)
     pool = _pool(s, d)
-    return ps.random_weight_search(ps.combinations(pool, 4, 2), mean, cov, pool), mean, cov, pool
+    return ps.random_weight_search(ps.combinations(pool, 3, 2), mean, cov, pool), mean, cov, pool
 
 
 def ps4(s, d):
@@ -56,7 +62,7 @@ def ps5(s, d):
 
 def ps6(s, d):
     mean, cov = _stats(s, d)
-    islands = s.range(3).select((F.col("id") + 3).cast("int").alias("k")).crossJoin(s.range(2).select(F.col("id").cast("int").alias("seed")))
+    islands = s.range(16).select((F.col("id") + 5).cast("int").alias("k")).crossJoin(s.range(2).select(F.col("id").cast("int").alias("seed")))
     return ps.evolutionary_search(islands, mean, cov, _pool(s, d))
 
 
@@ -119,6 +125,7 @@ PANEL = PADRET.split(",\npr AS")[0] + """, pool AS (SELECT k.symbol, i.sector FR
 own AS (SELECT p.* FROM pad p JOIN pool o ON p.symbol = o.symbol), ful AS (SELECT date FROM own GROUP BY date HAVING count(*) = 10),
 pp AS (SELECT * FROM (SELECT symbol, own.date, close / lag(close) OVER (PARTITION BY symbol ORDER BY own.date) - 1 AS ret FROM own JOIN ful ON own.date = ful.date) WHERE ret IS NOT NULL),
 mean AS (SELECT symbol, avg(ret) * 252 AS mean FROM pp GROUP BY symbol), cov AS (SELECT a.symbol AS a, b.symbol AS b, covar_samp(a.ret, b.ret) * 252 AS cov FROM pp a JOIN pp b ON a.date = b.date GROUP BY 1, 2)"""
+BEST = PANEL.replace("SELECT k.symbol, i.sector FROM ranked k JOIN instruments i ON k.symbol = i.symbol WHERE k.pos <= 10", "SELECT symbol, sector FROM best").replace("count(*) = 10", "count(*) = (SELECT count(*) FROM pool)")
 TWO = "two AS (SELECT 'p1' AS portfolio_id, symbol, weight FROM weights UNION ALL SELECT 'p2', symbol, weight FROM ideal)"
 AN = "CASE WHEN {t} > -1 THEN pow(1 + {t}, 252.0 / {n}) - 1 ELSE -1 END"
 DAILY = "dl AS (SELECT r.symbol, r.date, r.ret, b.ret AS bench, CAST(0.0004 AS DOUBLE) AS rf FROM ret r JOIN bench_ret b ON r.date = b.date)"
@@ -126,8 +133,8 @@ WIN = """en AS (SELECT symbol, max(date) AS e FROM dl GROUP BY symbol), wn AS (S
 UNION ALL SELECT symbol, CAST(m AS VARCHAR) || 'M', CAST(e - to_months(CAST(m AS INTEGER)) AS DATE) FROM en, (VALUES (3), (6), (12), (24)) AS v(m))"""
 
 QUERIES = {
-    "ps1_panel_stats": (ps1, f"WITH {PANEL} SELECT c.a, c.b, round(cov, 6) AS cov, round(mean, 6) AS mean FROM cov c JOIN mean m ON c.a = m.symbol"),
-    "ps2_combinations": (ps2, """WITH p AS (SELECT k.symbol, i.sector FROM ranked k JOIN instruments i ON k.symbol = i.symbol WHERE k.pos <= 10)
+    "ps1_panel_stats": (ps1, f"WITH {BEST} SELECT c.a, c.b, round(cov, 6) AS cov, round(mean, 6) AS mean FROM cov c JOIN mean m ON c.a = m.symbol"),
+    "ps2_combinations": (ps2, """WITH p AS (SELECT symbol, sector FROM best)
         SELECT a.symbol || ',' || b.symbol || ',' || c.symbol AS combo FROM p a JOIN p b ON a.symbol < b.symbol JOIN p c ON b.symbol < c.symbol WHERE NOT (a.sector = b.sector AND b.sector = c.sector)"""),
     "ps3_portfolio_metrics": (ps3, f"""WITH {PANEL}, {TWO}, r AS (SELECT portfolio_id, sum(weight * mean) AS ret FROM two JOIN mean ON two.symbol = mean.symbol GROUP BY 1),
         v AS (SELECT a.portfolio_id, sqrt(sum(a.weight * b.weight * cov)) AS vol FROM two a JOIN two b ON a.portfolio_id = b.portfolio_id JOIN cov ON cov.a = a.symbol AND cov.b = b.symbol GROUP BY 1),

@@ -8,6 +8,7 @@ alphabet and length class, is no secret. For the others the likelihood under a f
 text, over that of the uniform draw, bounds the p-value against ordinary text (by Markov's inequality,
 as the ratio's inverse has mean 1 at most under the model), whatever the size of the table. In each
 length class the Benjamini-Hochberg procedure then bounds the share of false discoveries.
+Numbers of ordinary text are uniform draws themselves, so a run of decimal digits gives no evidence.
 """
 
 from __future__ import annotations
@@ -191,7 +192,7 @@ def _combine(f: Column) -> Column:
         limits = F.when(k == size, F.array(*map(F.lit, row))).otherwise(limits)
     gain = text_cost(f["r"]) / 100 - n * F.log(k) - math.log(len(ALPHABETS))  # the alphabet was chosen among so many
     bin = F.least(F.greatest(F.floor(gain * 10), F.lit(0)), F.lit(BINS)).cast("int")
-    return F.struct(n.cast("int").alias("n"), F.when(total <= F.element_at(limits, length_class(n) + 1), bin).otherwise(0).alias("bin"))
+    return F.struct(n.cast("int").alias("n"), F.when((total <= F.element_at(limits, length_class(n) + 1)) & (k != len(DIGITS)), bin).otherwise(0).alias("bin"))
 
 
 def length_class(n: Column) -> Column:

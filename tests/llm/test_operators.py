@@ -276,6 +276,20 @@ def test_one_secret_is_found_in_tables_of_any_size(spark):
             assert sorted(r["text"] for r in secret_scan.redact(df).collect()) == sorted(["[SECRET]", *others])
 
 
+def test_planted_keys_are_found_and_numbers_are_not(spark):
+    rng = random.Random(14)
+    draw = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    lower = "abcdefghijklmnopqrstuvwxyz"
+    kinds = [lower + lower.upper() + "0123456789", lower + "0123456789", lower.upper() + "234567", lower + lower.upper() + "0123456789+/"]
+    parts = "data reports public library internal reader writer portfolio history config service account".split()
+    keys = [draw(rng.randint(24, 60), kinds[k % 4]) for k in range(80)]
+    plain = [draw(16, "0123456789") for _ in range(200)] + ["/".join(rng.choice(parts) for _ in range(4)) for _ in range(200)] + [draw(20, "0123456789") for _ in range(50)]
+    df = spark.createDataFrame([(k, 1) for k in keys] + [(p, 0) for p in plain], "text string, secret int").withColumn("was", F.col("text"))
+    out = secret_scan.redact(df).collect()
+    found = [r["secret"] for r in out if r["text"] != r["was"]]
+    assert sum(found) >= 76 and sum(found) / len(found) >= 0.95
+
+
 def test_licences(docs, spark):
     known = ["Licensed under the Apache License, Version 2.0.", "LICENSED under the   apache licence version 2.0!", "words\nAll rights reserved.\nmore", "Copyright (c) 2020 X\nAll rights reserved.", None, ""]
     df = spark.createDataFrame([(k, t, "x") for k, t in enumerate(known)], "doc_id int, text string, licenses string")

@@ -90,22 +90,33 @@ LETTERS = """
     6aas6zbx8vbkbdf39iak9w9y6s8k8369gz9q6k6ba9f19tg7esen
     4cc7cfcj4bfed3cs5hepdgcxar8m7td1fxcgcfb383fp9ign7har
 """.split()
+#: Matches that are placed in one array before it is joined to the others.
+MATCHES = 256
 SPANS = "array<struct<start:int,rank:int,end:int>>"
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """Array of (start, end, m) of all non-overlapping matches, in code points, left to right."""
+    """Array of (start, end, m) of all non-overlapping matches, in code points, left to right.
+
+    Matches are placed MATCHES at a time, so that arrays are not copied for each one of a text with very many.
+    """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,m:string>>").alias("out"))
+    kind = "array<struct<start:int,end:int,m:string>>"
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
         end = start + F.length(x["m"])
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("m")))).alias("out"))
 
+    def some(acc: Column, chunk: Column) -> Column:
+        placed = F.aggregate(chunk, F.struct(acc["at"].alias("at"), F.array().cast(kind).alias("out")), step)
+        return F.element_at(F.transform(F.array(placed), lambda x: F.struct(x["at"].alias("at"), F.concat(acc["out"], F.array(x["out"])).alias("out"))), 1)
+
     pairs = F.arrays_zip(F.slice(between, F.lit(1), F.size(found)).alias("gap"), found.alias("m"))
-    return F.when(F.size(found) > 0, F.aggregate(pairs, zero, step, lambda acc: acc["out"])).otherwise(zero["out"])
+    chunks = F.element_at(F.transform(F.array(pairs), lambda p: F.transform(F.sequence(F.lit(1), F.size(p), F.lit(MATCHES)), lambda i: F.slice(p, i, F.lit(MATCHES)))), 1)
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+    return F.when(F.size(found) > 0, F.aggregate(chunks, zero, some, lambda acc: F.flatten(acc["out"]))).otherwise(F.array().cast(kind))
 
 
 def ranked(found: Column, rank: int) -> Column:

@@ -252,6 +252,16 @@ def test_secrets(spark, docs):
     assert secret_scan.redact(docs.limit(0)).count() == 0
 
 
+def test_texts_with_very_many_matches(spark):
+    texts = [" é ".join(["0a" * 12] * n) + " end" for n in (1, 255, 256, 257, 30_000)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string")
+    began = time.time()
+    rows = df.select("k", secret_scan.matches(F.col("text"), secret_scan.HEX).alias("m")).collect()
+    assert time.time() - began < 60
+    for r in rows:
+        assert [(x["start"], x["end"], x["m"]) for x in r["m"]] == [(m.start(), m.end(), m[0]) for m in re.finditer("[0-9a-f]{24,}", texts[r["k"]])]
+
+
 def test_random_strings_stand_out(spark):
     rng = random.Random(9)
     words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(16, 19))) for _ in range(3000)]

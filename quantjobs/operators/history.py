@@ -28,9 +28,13 @@ def forward_outcomes(signals: DataFrame, daily: DataFrame, ks: tuple[int, ...] =
     """
     rows = daily.withColumn("idx", F.row_number().over(Window.orderBy("date")))  # trading days
     dates = signals.select("date").distinct()
-    first = dates.join(F.broadcast(rows.select(F.col("date").alias("d"), "idx")), F.col("d") > F.col("date")).groupBy("date").agg(F.min("idx").alias("i"))
+    # The next trading row of each date: one window over both, later rows first; no more rows than days.
+    later = Window.orderBy(F.desc("date"), F.col("idx").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
+    both = dates.withColumn("idx", F.lit(None).cast("int")).unionByName(rows.select("date", "idx"))
+    first = both.withColumn("i", F.min("idx").over(later)).where("idx is null and i is not null").select("date", "i")
     spans = first.select("date", "i", F.explode(F.array(*[F.lit(k) for k in ks])).alias("k"))
-    inside = spans.join(F.broadcast(rows.select("idx", "ret", F.col("bench").alias("b"))), (F.col("idx") >= F.col("i")) & (F.col("idx") < F.col("i") + F.col("k")))
+    wanted = spans.select("date", "k", F.explode(F.sequence(F.col("i"), F.col("i") + F.col("k") - 1)).alias("idx"))
+    inside = wanted.join(rows.select("idx", "ret", F.col("bench").alias("b")), "idx")
     w = Window.partitionBy("date", "k").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
     x = inside.withColumn("v", F.product(1 + F.col("ret")).over(w)).withColumn("dd", 1 - F.col("v") / F.greatest(F.max("v").over(w), F.lit(1.0)))
     g = x.groupBy("date", "k").agg(F.count("*").alias("n"), (F.product(1 + F.col("ret")) - 1).alias("port"), (F.product(1 + F.col("b")) - 1).alias("bench"), (F.stddev_samp("ret") * F.sqrt(F.lit(YEAR))).alias("vol"), F.max("dd").alias("drawdown")).where("n = k")

@@ -115,7 +115,7 @@ def resolve_symbols(df: DataFrame, instruments: DataFrame, name: str = "raw_name
     """
     names = df.select(name).distinct().withColumn("_n", plain(F.col(name))).withColumn("_m", F.trim(F.regexp_replace(F.regexp_replace("_n", MODIFIERS, " "), r"\s+", " ")))
     dim = instruments.withColumn("_k", plain(F.col("broker_name"))).where("_k <> ''")
-    keyed = lambda key, out: F.broadcast(dim.groupBy(key.alias("_key")).agg(F.min("symbol").alias(out)))
+    keyed = lambda key, out: dim.groupBy(key.alias("_key")).agg(F.min("symbol").alias(out))
     words = lambda c, k: F.array_join(F.slice(F.split(c, " "), 1, k), " ")
     steps = [("s1", F.col("_k"), F.col("_n")), ("s2", F.trim(F.regexp_replace(F.regexp_replace("_k", MODIFIERS, " "), r"\s+", " ")), F.col("_m")), ("s3", words(F.col("_k"), 2), words(F.col("_m"), 2)), ("s4", words(F.col("_k"), 1), words(F.col("_m"), 1))]
     out = names
@@ -227,7 +227,7 @@ def real_daily(history: DataFrame, ledger: DataFrame, movements: DataFrame, benc
     ops = movements.groupBy(*keys).pivot("operation", ["APORTE", "SAQUE", "DIVIDENDO", "BOLSA", "APLICACAO_FUNDO", "RESGATE_FUNDO"]).agg(F.sum("value")).na.fill(0.0)
     ops = ops.select(*keys, (F.col("APORTE") - F.col("SAQUE")).alias("external"), F.col("DIVIDENDO").alias("dividends"), (F.col("APORTE") - F.col("SAQUE") + F.col("DIVIDENDO") + F.col("BOLSA") - F.col("APLICACAO_FUNDO") + F.col("RESGATE_FUNDO")).alias("cash"), (F.col("APLICACAO_FUNDO") - F.col("RESGATE_FUNDO")).alias("into_fund"))
     days = eq.select(*keys).unionByName(ops.select(*keys)).unionByName(flows.select(*keys)).distinct()
-    d = days.join(eq, keys, "left").join(flows, keys, "left").join(ops, keys, "left").join(F.broadcast(bench.select("date", F.col("ret").alias("benchmark_return"))), "date", "left").join(F.broadcast(fund.select("date", "fund_return")), "date", "left").na.fill(0.0, ["cash_flow", "external", "dividends", "cash", "into_fund"])
+    d = days.join(eq, keys, "left").join(flows, keys, "left").join(ops, keys, "left").join(bench.select("date", F.col("ret").alias("benchmark_return")), "date", "left").join(fund.select("date", "fund_return"), "date", "left").na.fill(0.0, ["cash_flow", "external", "dividends", "cash", "into_fund"])
     w = Window.partitionBy("portfolio_id").orderBy("date")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     # A fund return of -1 wipes out what was there: growth is counted anew from that day on.

@@ -22,7 +22,7 @@ def annual(total: Column, n: Column) -> Column:
 
 def portfolio_series(bars: DataFrame, weights: DataFrame, initial: float = 1000.0) -> DataFrame:
     """(date, ret, value) of fixed weights; a constituent without a return counts as 0 that day."""
-    r = ts.daily_returns(bars).join(F.broadcast(weights), "symbol")
+    r = ts.daily_returns(bars).join(weights, "symbol")
     daily = r.groupBy("date").agg(F.sum(F.col("weight") * F.coalesce("ret", F.lit(0.0))).alias("ret"))
     return ts.growth_index(daily, initial).withColumnRenamed("index", "value")  # one row a trading day
 
@@ -30,16 +30,16 @@ def portfolio_series(bars: DataFrame, weights: DataFrame, initial: float = 1000.
 def sector_attribution(returns: DataFrame, weights: DataFrame, instruments: DataFrame, bench: DataFrame) -> DataFrame:
     """One row of effects (per cent) over the trailing twelve months against the equally weighted universe."""
     last = F.broadcast(returns.agg(F.add_months(F.max("date"), -12).alias("_from")))  # one row
-    r = returns.join(last, F.col("date") >= F.col("_from")).drop("_from").join(F.broadcast(instruments.select("symbol", "sector")), "symbol")
+    r = returns.join(last, F.col("date") >= F.col("_from")).drop("_from").join(instruments.select("symbol", "sector"), "symbol")
     days = F.broadcast(r.agg(F.count_distinct("date").alias("_days")))
     own = weights.join(instruments.select("symbol", "sector"), "symbol")
     total = own.groupBy("sector").agg(F.sum("weight").alias("wp"))
-    part = r.join(F.broadcast(own.select("symbol", "weight")), "symbol").groupBy("sector").agg(F.sum(F.col("weight") * F.coalesce("ret", F.lit(0.0))).alias("s"))
+    part = r.join(own.select("symbol", "weight"), "symbol").groupBy("sector").agg(F.sum(F.col("weight") * F.coalesce("ret", F.lit(0.0))).alias("s"))
     p = total.join(part, "sector", "left").join(days, F.lit(True)).select("sector", "wp", (F.coalesce("s", F.lit(0.0)) / F.col("wp") / F.col("_days") * YEAR).alias("rp"))
     size = F.broadcast(returns.select("symbol").distinct().agg(F.count("*").alias("_n")))
     universe = returns.select("symbol").distinct().join(instruments.select("symbol", "sector"), "symbol").groupBy("sector").agg(F.count("*").alias("k")).join(size, F.lit(True)).select("sector", (F.col("k") / F.col("_n")).alias("wb"))
     rb = r.where("ret is not null").groupBy("sector", "date").agg(F.avg("ret").alias("m")).groupBy("sector").agg((F.avg("m") * YEAR).alias("rb"))
-    day = r.join(F.broadcast(weights), "symbol").groupBy("date").agg(F.sum(F.col("weight") * F.coalesce("ret", F.lit(0.0))).alias("x")).agg((F.avg("x") * YEAR).alias("p_total"))
+    day = r.join(weights, "symbol").groupBy("date").agg(F.sum(F.col("weight") * F.coalesce("ret", F.lit(0.0))).alias("x")).agg((F.avg("x") * YEAR).alias("p_total"))
     b = bench.join(last, F.col("date") >= F.col("_from")).agg((F.avg("ret") * YEAR).alias("b_total"))
     z = p.join(universe, "sector", "full_outer").join(rb, "sector", "left").na.fill(0.0, ["wp", "rp", "wb", "rb"]).join(F.broadcast(b), F.lit(True))
     e = z.agg(*[(F.sum(x) * 100).alias(n) for n, x in (("allocation", (F.col("wp") - F.col("wb")) * (F.col("rb") - F.col("b_total"))), ("selection", F.col("wb") * (F.col("rp") - F.col("rb"))), ("interaction", (F.col("wp") - F.col("wb")) * (F.col("rp") - F.col("rb"))))])
@@ -50,7 +50,7 @@ def sector_attribution(returns: DataFrame, weights: DataFrame, instruments: Data
 
 def asset_attribution(returns: DataFrame, weights: DataFrame) -> DataFrame:
     """Per holding: contribution, volatility, realised return and observations."""
-    r = returns.where("ret is not null").join(F.broadcast(weights), "symbol")
+    r = returns.where("ret is not null").join(weights, "symbol")
     return r.groupBy("symbol", "weight").agg(F.sum(F.col("ret") * F.col("weight")).alias("contribution"), F.coalesce(F.stddev_samp("ret") * F.sqrt(F.lit(YEAR)), F.lit(0.0)).alias("volatility"), chained(F.col("ret")).alias("realised"), F.count("*").alias("n"))
 
 

@@ -45,7 +45,7 @@ def transition_trades(holdings: DataFrame, target: DataFrame, prices: DataFrame,
     own = holdings.select("portfolio_id", "symbol", F.col("weight").alias("current_weight"))
     if "blend" in keys:
         own = own.join(target.select("portfolio_id", "blend").distinct(), "portfolio_id")
-    d = own.join(target.select(*keys, "symbol", F.col("weight").alias("target_weight")), [*keys, "symbol"], "full_outer").na.fill(0.0, ["current_weight", "target_weight"]).join(value, "portfolio_id").join(F.broadcast(prices.select("symbol", "price")), "symbol", "left")  # one price a symbol
+    d = own.join(target.select(*keys, "symbol", F.col("weight").alias("target_weight")), [*keys, "symbol"], "full_outer").na.fill(0.0, ["current_weight", "target_weight"]).join(value, "portfolio_id").join(prices.select("symbol", "price"), "symbol", "left")  # one price a symbol
     if isinstance(cost_pct, DataFrame):
         d = d.join(cost_pct.select("portfolio_id", F.col("cost_pct").alias("_cost")), "portfolio_id", "left").na.fill(0.0, ["_cost"])
     else:
@@ -102,7 +102,7 @@ def discretize(weights: DataFrame, value: float | str, prices: DataFrame) -> Dat
 
 def return_contributors(weights: DataFrame, quality: DataFrame) -> DataFrame:
     """Per holding: raw and shrunk contribution (weight times return, per cent) and rank by its size."""
-    d = weights.join(F.broadcast(quality.select("symbol", "source", "quality_bucket", "quality_score", "raw_upside_pct", "adjusted_pct")), "symbol", "left")  # one row a symbol
+    d = weights.join(quality.select("symbol", "source", "quality_bucket", "quality_score", "raw_upside_pct", "adjusted_pct"), "symbol", "left")  # one row a symbol
     d = d.withColumns({"raw_contribution": F.col("weight") * F.coalesce("raw_upside_pct", F.lit(0.0)), "adjusted_contribution": F.col("weight") * F.coalesce("adjusted_pct", F.lit(0.0))})
     keys = [c for c in ("portfolio_id", "blend") if c in weights.columns]
     return d.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(F.abs(F.round("raw_contribution", 10))), "symbol")))
@@ -199,7 +199,7 @@ def execution_plan(trades: DataFrame, gate: DataFrame, band: float = 1.0, least:
 
 def sector_drift(holdings: DataFrame, target: DataFrame, instruments: DataFrame, band: float = 3.0) -> DataFrame:
     """Per portfolio and sector: current and target weight (per cent), drift, and whether it leaves the band."""
-    named = lambda d, c: d.join(F.broadcast(instruments.select("symbol", "sector")), "symbol", "left").groupBy("portfolio_id", F.coalesce("sector", F.lit("Unknown")).alias("sector")).agg((F.sum("weight") * 100).alias(c))
+    named = lambda d, c: d.join(instruments.select("symbol", "sector"), "symbol", "left").groupBy("portfolio_id", F.coalesce("sector", F.lit("Unknown")).alias("sector")).agg((F.sum("weight") * 100).alias(c))
     d = named(holdings, "current").join(named(target, "target"), ["portfolio_id", "sector"], "full_outer").na.fill(0.0)
     return d.withColumn("drift", F.col("target") - F.col("current")).withColumn("outside", F.abs("drift") >= band)
 
@@ -312,7 +312,7 @@ def capped_weights(selected: DataFrame, max_sector: float = 0.30, max_low: float
 
 def constraint_violations(weights: DataFrame, meta: DataFrame, asset: float = 12.0, sector: float = 30.0, low: float = 8.0, top5: float = 50.0, hhi: float = 0.12, least: int = 8, most: int = 20, tolerance: float = 0.0) -> DataFrame:
     """(portfolio_id, code, actual, threshold) of every limit that a portfolio breaks."""
-    d = weights.join(F.broadcast(meta.select("symbol", "sector", "quality_bucket")), "symbol", "left").withColumn("_p", F.row_number().over(Window.partitionBy("portfolio_id").orderBy(F.desc("weight"), "symbol")))
+    d = weights.join(meta.select("symbol", "sector", "quality_bucket"), "symbol", "left").withColumn("_p", F.row_number().over(Window.partitionBy("portfolio_id").orderBy(F.desc("weight"), "symbol")))
     s = d.groupBy("portfolio_id", "sector").agg(F.sum("weight").alias("w")).groupBy("portfolio_id").agg((F.max("w") * 100).alias("sector"))
     g = d.groupBy("portfolio_id").agg((F.max("weight") * 100).alias("asset"), (F.sum(F.when(F.col("quality_bucket") == "low", F.col("weight")).otherwise(0.0)) * 100).alias("low"), (F.sum(F.when(F.col("_p") <= 5, F.col("weight")).otherwise(0.0)) * 100).alias("top5"), F.sum(F.col("weight") * F.col("weight")).alias("hhi"), F.count_if(F.col("weight") > 0).cast("double").alias("n")).join(s, "portfolio_id")
     c = F.col

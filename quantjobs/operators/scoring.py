@@ -217,7 +217,7 @@ def blended_returns(hist: DataFrame, signals: DataFrame, hist_weight: float = 0.
 
 def correlation_pairs(returns: DataFrame, symbols: DataFrame) -> DataFrame:
     """(a, b, corr, n) of the chosen symbols, pairwise complete, both triangles and the diagonal."""
-    own = returns.where("ret is not null").join(F.broadcast(symbols.select("symbol").distinct()), "symbol", "left_semi").select("symbol", "date", "ret")
+    own = returns.where("ret is not null").join(symbols.select("symbol").distinct(), "symbol", "left_semi").select("symbol", "date", "ret")
     a, b = own.select("date", F.col("symbol").alias("a"), F.col("ret").alias("x")), own.select("date", F.col("symbol").alias("b"), F.col("ret").alias("y"))
     half = a.join(b, "date").where("a <= b").groupBy("a", "b").agg(F.corr("x", "y").alias("corr"), F.count("*").alias("n"))
     return half.unionByName(half.where("a < b").select(F.col("b").alias("a"), F.col("a").alias("b"), "corr", "n"))
@@ -226,7 +226,7 @@ def correlation_pairs(returns: DataFrame, symbols: DataFrame) -> DataFrame:
 def correlation_groups(bars: DataFrame, holdings: DataFrame, model: DataFrame, n: int = 252) -> DataFrame:
     """Correlations of held and model symbols over the last n dates on which all have a padded return, with groups."""
     sides = holdings.select("symbol", F.lit("holdings").alias("g")).unionByName(model.select("symbol", F.lit("model").alias("g"))).groupBy("symbol").agg(F.when(F.count_distinct("g") == 2, "both").otherwise(F.min("g")).alias("group"))
-    r = ts.daily_returns_padded(bars.join(F.broadcast(sides.select("symbol")), "symbol", "left_semi")).where("ret is not null")
+    r = ts.daily_returns_padded(bars.join(sides.select("symbol"), "symbol", "left_semi")).where("ret is not null")
     size = F.broadcast(r.agg(F.count_distinct("symbol").alias("_k")))  # one row
     full = r.groupBy("date").agg(F.count("*").alias("c")).join(size, F.col("c") == F.col("_k")).orderBy(F.desc("date")).limit(n).select("date")
     pairs = correlation_pairs(r.join(F.broadcast(full), "date", "left_semi"), sides)

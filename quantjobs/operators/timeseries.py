@@ -64,7 +64,7 @@ def recent(bars: DataFrame, col: str = "date") -> DataFrame:
 
 def portfolio_momentum(bars: DataFrame, weights: DataFrame, n: int = YEAR) -> DataFrame:
     """Weighted mean over the holdings of latest over n-th latest own close, of those with n closes."""
-    own = recent(bars.where("close is not null").join(F.broadcast(weights.select("symbol")), "symbol", "left_semi"))
+    own = recent(bars.where("close is not null").join(weights.select("symbol"), "symbol", "left_semi"))
     ends = own.where(F.col("pos").isin(1, n)).groupBy("symbol").agg(F.max(F.when(F.col("pos") == 1, F.col("close"))).alias("b"), F.max(F.when(F.col("pos") == n, F.col("close"))).alias("a"))
     got = ends.where("a > 0").join(weights, "symbol")
     return got.agg((F.sum(F.col("weight") * (F.col("b") / F.col("a") - 1)) / F.sum("weight")).alias("momentum"))

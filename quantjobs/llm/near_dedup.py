@@ -226,7 +226,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         best = saved(apart.groupBy("rep").agg(F.max_by("centre", F.struct("shared", -F.col("centre"))).alias("centre")), "best")
         tried = best if tried is None else tried.unionAll(best)
         pairs = best.select(F.col("rep").alias("a"), F.col("centre").alias("b")).join(side("a"), "a").join(side("b"), "b").where(likely("a", "b"))
-        new = confirmed(pairs.select(F.col("a").alias("member"), F.col("b").alias("centre")).distinct(), sets, times)
+        new = confirmed(pairs.select(F.col("a").alias("member"), F.col("b").alias("centre")), sets, times)  # one centre a member
         links = new if links is None else links.unionAll(new)
         found = components(links)
         label = found.select(F.col("node").alias("rep"), "component")

@@ -137,8 +137,19 @@ def cut(classes: np.ndarray, starts: np.ndarray, window: int = WINDOW) -> np.nda
     return padded[starts[:, None] + np.arange(window)]
 
 
+def squash(x: np.ndarray, spare: np.ndarray | None = None) -> np.ndarray:
+    """x (27 + x x) / (27 + 9 x x) between -3 and 3, within 0.024 of tanh and in half its time; writes over x."""
+    np.clip(x, np.float32(-3), np.float32(3), out=x)
+    s = np.multiply(x, x, out=spare)
+    s += 3
+    np.divide(np.float32(24 / 9), s, out=s)
+    s += np.float32(1 / 9)
+    x *= s
+    return x
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (np.tanh(0.5 * x) + 1)
+    return 0.5 * (squash(0.5 * x) + 1)
 
 
 def lstm(x: np.ndarray, wx: np.ndarray, wh: np.ndarray, b: np.ndarray, keep: bool = False):
@@ -150,9 +161,9 @@ def lstm(x: np.ndarray, wx: np.ndarray, wh: np.ndarray, b: np.ndarray, keep: boo
     for t in range(t_max):
         z = pre[t] + h @ wh
         gates = sigmoid(z[:, : 3 * h_dim])
-        i, f, o, g = gates[:, :h_dim], gates[:, h_dim : 2 * h_dim], gates[:, 2 * h_dim :], np.tanh(z[:, 3 * h_dim :])
+        i, f, o, g = gates[:, :h_dim], gates[:, h_dim : 2 * h_dim], gates[:, 2 * h_dim :], squash(z[:, 3 * h_dim :].copy())
         c_new = f * c + i * g
-        tc = np.tanh(c_new)
+        tc = squash(c_new.copy())
         if keep:
             cache.append((i, f, o, g, c, tc, h))
         c, h = c_new, o * tc
@@ -254,7 +265,7 @@ class Tagger:
     def states(self, windows: np.ndarray, side: str) -> np.ndarray:
         """Hidden states (T, H, B), doubled, of one direction; the inputs' share of the gates is looked up by class.
 
-        As sigmoid(z) is (tanh(z / 2) + 1) / 2, one tanh serves all gates; gates lie in rows, so that each is contiguous.
+        As sigmoid(z) is (tanh(z / 2) + 1) / 2, one pass serves all gates; gates lie in rows, so that each is contiguous.
         """
         p = self.p
         table, wh = p["emb"] @ p[f"wx{side}"] + p[f"b{side}"], 0.5 * p[f"wh{side}"].T  # states are doubled
@@ -270,7 +281,7 @@ class Tagger:
             np.matmul(wh, h, out=z)
             np.take(table, steps[t], axis=1, out=x, mode="clip")
             z += x
-            np.tanh(z, out=z)
+            squash(z, x)
             np.multiply(i, g, out=ig)
             ig += g
             f += 1
@@ -278,7 +289,8 @@ class Tagger:
             c += ig
             c *= 0.5
             h = out[t]
-            np.tanh(c, out=h)
+            h[:] = c
+            squash(h, ig)
             o += 1
             h *= o
         return out
@@ -290,11 +302,17 @@ class Tagger:
         e += np.matmul(0.5 * p["out"][HIDDEN:].T, self.states(windows, "b"))
         e += p["bias"][:, None]  # (T, tags, B)
         trans = p["trans"] + allowed()
-        inside = max(0.0, float(trans[1:, 1:].max() - trans[0, 0]))
-        ends = max(0.0, float(trans[0, 1:].max() - trans[0, 0])) + max(0.0, float(trans[1:, 0].max() - trans[0, 0]))
-        total = np.cumsum(e[:, 1:].max(1) - e[:, 0] + np.float32(inside), axis=0)
-        before = np.minimum.accumulate(np.concatenate([np.zeros_like(total[:1]), total[:-1]]), axis=0)
-        open_ = np.flatnonzero((total - before).max(0) + ends >= -1e-3)
+        # What a span gains over staying outside, at most: its tags, and the ways in, on and out; at a window's ends it needs no way in or out.
+        enter, on, leave = (np.float32(x.max() - trans[0, 0]) for x in (trans[0, 1:], trans[1:, 1:], trans[1:, 0]))
+        gain = e[:, 1:].max(1) - e[:, 0]
+        run = gain[0].copy()
+        most = run + leave
+        for step in gain[1:]:
+            run += on
+            np.maximum(run, enter, out=run)
+            run += step
+            np.maximum(most, run + leave, out=most)
+        open_ = np.flatnonzero(np.maximum(most, run) >= -1e-3)
         out = np.zeros(windows.shape, dtype=np.int8)
         if len(open_):
             out[open_] = self.viterbi(np.ascontiguousarray(e[:, :, open_].transpose(0, 2, 1)), trans)

@@ -18,6 +18,7 @@ MODULES = {
     "op8_byte_bpe": "byte_bpe",
     "op9_license_scan": "license_scan",
     "op10_pii": "pii",
+    "op11_hard_negatives": "hard_negatives",
     "op12_decontaminate": "decontamination",
     "op13_spelling_variants": "spelling",
 }
@@ -29,4 +30,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that SQL can express; the others are tested against brute force in tests/llm."""
-    return {name: import_module(f"quantjobs.llm.{MODULES[name]}").ORACLE_SQL for name in ("op4_exact_topk", "op9_license_scan", "op12_decontaminate", "op13_spelling_variants")}
+    return {name: import_module(f"quantjobs.llm.{MODULES[name]}").ORACLE_SQL for name in ("op4_exact_topk", "op9_license_scan", "op11_hard_negatives", "op12_decontaminate", "op13_spelling_variants")}

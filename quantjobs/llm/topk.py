@@ -23,6 +23,8 @@ from quantjobs.llm.common import load, saved, spread
 BLOCK, BINS = 2048, 4096
 #: Bytes and number of query vectors in a group, which pass through the driver and are held by each Python worker.
 GROUP_BYTES, GROUP_ROWS = 32 << 20, 50_000
+#: Queries scored at once against a block, which bounds a worker's score matrix to 8 * SLICE * BLOCK bytes (16 MB).
+SLICE = 1000
 
 
 def integer_vectors(df: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
@@ -85,77 +87,106 @@ def top_k(df: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_col:
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
+def sliced(queries: tuple, limits: tuple, r) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(places of queries, scores, own, low, width) of a block of candidates, ``SLICE`` queries at a time; a query's own row is marked."""
+    (names, m), (low, width) = queries, limits
+    rows, ids = unpacked(r.m, r.dim, r.size), np.asarray(r.ids)
+    for at in range(0, len(names), SLICE):
+        part = slice(at, at + SLICE)
+        yield np.arange(at, min(at + SLICE, len(names))), scores(m[part], rows), names[part, None] == ids[None, :], low[part], width[part]
+
+
+def highest(pair: np.ndarray, n: np.ndarray, bins: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts by (query, bin), sorted, without the bins that have k or more scores above them; at most k bins of a query stay."""
+    pair, n = pair[::-1], n[::-1]
+    query = pair // (bins + 1)
+    before = np.cumsum(n) - n
+    first = np.r_[True, query[1:] != query[:-1]]
+    keep = before - before[first][np.cumsum(first) - 1] < k
+    return pair[keep][::-1], n[keep][::-1]
+
+
+def counted(blocks: Iterator, queries: dict, limits: dict, bins: int, k: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By dim: (place of query * (bins + 1) + bin, count) of the scores that may be among the k highest."""
+    total: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for r in blocks:
+        if r.dim not in queries:
+            continue
+        new = [total[r.dim]] if r.dim in total else []
+        for place, s, own, low, width in sliced(queries[r.dim], limits[r.dim], r):
+            s -= low[:, None]
+            s //= (-(-width // bins))[:, None]
+            np.minimum(s, bins, out=s)  # above the interval: counted as its own bin
+            s[own | (s < 0)] = -1
+            kth = min(k, s.shape[1])
+            least = np.partition(s, s.shape[1] - kth, axis=1)[:, s.shape[1] - kth]
+            i, j = np.nonzero((s >= least[:, None]) & (s >= 0))
+            new.append(np.unique(place[i] * np.int64(bins + 1) + s[i, j], return_counts=True))
+        pair, at = np.unique(np.concatenate([x[0] for x in new]), return_inverse=True)
+        n = np.bincount(at, weights=np.concatenate([x[1] for x in new])).astype(np.int64)
+        total[r.dim] = highest(pair, n, bins, k)
+    return total
+
+
 def _of_group(rows: DataFrame, asked: DataFrame, longest: float, k: int, bins: int) -> DataFrame | None:
     """(query_id, id, score): for one group of queries, all that may be among the k highest."""
-    own = asked.select("id", "v").toPandas()  # GROUP_BYTES or little more
+    own = asked.select("id", "v").toPandas().sort_values("id")  # GROUP_BYTES or little more
     if not len(own):
         return None
     queries = {dim: (part["id"].to_numpy(dtype=np.int64), np.stack(part["v"].to_numpy()).astype(np.int64)) for dim, part in own.groupby(own["v"].map(len))}
     reach = {dim: np.minimum(np.ceil(np.sqrt((m.astype(np.float64) ** 2).sum(1) * longest) * (1 + 1e-9)) + 1, 2.0**62).astype(np.int64) for dim, (_, m) in queries.items()}
-    limits = {int(q): (-int(r), 2 * int(r) + 1) for dim, (ids, _) in queries.items() for q, r in zip(ids, reach[dim], strict=True)}
+    limits = {dim: (-r, 2 * r + 1) for dim, r in reach.items()}
     context = rows.sparkSession.sparkContext
     shipped = context.broadcast(queries)
 
-    def scored(r, limits):
-        """(query ids, scores, own, low, width) of a block of candidates; a query's own row is marked."""
-        ids, m = shipped.value[r.dim]
-        now = np.array([limits[int(q)] for q in ids], dtype=np.int64)
-        s = scores(m, unpacked(r.m, r.dim, r.size))
-        return ids, s, ids[:, None] == np.asarray(r.ids)[None, :], now[:, 0], now[:, 1]
+    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator:
+        for pdf in batches:
+            yield from pdf.itertuples(index=False)
 
     def counts(sent):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-            for pdf in batches:
-                for r in pdf.itertuples(index=False):
-                    if r.dim not in shipped.value:
-                        continue
-                    _, s, own, low, width = scored(r, sent.value)
-                    step = -(-width // bins)
-                    b = (s - low[:, None]) // step[:, None]
-                    b = np.where(own | (b < 0), -1, np.minimum(b, bins))  # above the interval: counted as its own bin
-                    kth = min(k, b.shape[1])
-                    least = np.partition(b, b.shape[1] - kth, axis=1)[:, b.shape[1] - kth]
-                    i, j = np.nonzero((b >= least[:, None]) & (b >= 0))
-                    pair, n = np.unique(i * np.int64(bins + 1) + b[i, j], return_counts=True)
-                    if r.dim in total:
-                        pair, at = np.unique(np.r_[total[r.dim][0], pair], return_inverse=True)
-                        n = np.bincount(at, weights=np.r_[total[r.dim][1], n]).astype(np.int64)
-                    total[r.dim] = pair, n
-            for dim, (pair, n) in total.items():
+            for dim, (pair, n) in counted(blocks(batches), shipped.value, sent.value, bins, k).items():
                 yield pd.DataFrame({"q": shipped.value[dim][0][pair // (bins + 1)], "b": (pair % (bins + 1)).astype(np.int32), "n": n})
 
         return run
 
     def emit(sent):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                for r in pdf.itertuples(index=False):
-                    if r.dim not in shipped.value:
-                        continue
-                    names, s, own, low, _ = scored(r, sent.value)
-                    ids = np.asarray(r.ids)
+            for r in blocks(batches):
+                if r.dim not in shipped.value:
+                    continue
+                names, ids = shipped.value[r.dim][0], np.asarray(r.ids)
+                for place, s, own, low, _ in sliced(shipped.value[r.dim], sent.value[r.dim], r):
                     i, j = np.nonzero((s >= low[:, None]) & ~own)
                     order = np.lexsort((ids[j], -s[i, j], i))
                     i, j = i[order], j[order]
                     nth = np.arange(len(i)) - np.searchsorted(i, i)  # place among the block's candidates of the query
                     i, j = i[nth < k], j[nth < k]
-                    yield pd.DataFrame({"query_id": names[i], "id": ids[j], "score": s[i, j]})
+                    yield pd.DataFrame({"query_id": names[place[i]], "id": ids[j], "score": s[i, j]})
 
         return run
 
-    while max(w for _, w in limits.values()) > 1:
+    while max(w.max() for _, w in limits.values()) > 1:
         seen = rows.mapInPandas(counts(context.broadcast(limits)), "q bigint, b int, n bigint").groupBy("q", "b").agg(F.sum("n").alias("n"))
         above = F.sum("n").over(Window.partitionBy("q").orderBy(F.desc("b")))  # at most bins + 1 rows a query
-        hit = seen.withColumn("above", above).where(F.col("above") >= k).groupBy("q").agg(F.max("b").alias("b")).collect()
-        found = {r["q"]: r["b"] for r in hit}
-        # Fewer than k candidates: all of them count.
-        limits = {q: (low + found[q] * -(-width // bins), -(-width // bins)) if q in found else (low, 1) for q, (low, width) in limits.items()}
+        hit = seen.withColumn("above", above).where(F.col("above") >= k).groupBy("q").agg(F.max("b").alias("b")).toPandas().sort_values("q")
+        found_q, found_b = hit["q"].to_numpy(dtype=np.int64), hit["b"].to_numpy(dtype=np.int64)
+        for dim, (low, width) in limits.items():
+            names = queries[dim][0]
+            at = np.minimum(np.searchsorted(found_q, names), max(0, len(found_q) - 1))
+            full = found_q[at] == names if len(found_q) else np.zeros(len(names), dtype=bool)
+            step = -(-width // bins)
+            # Fewer than k candidates: all of them count.
+            limits[dim] = np.where(full, low + (found_b[at] if len(found_b) else 0) * step, low), np.where(full, step, 1)
     return saved(rows.mapInPandas(emit(context.broadcast(limits)), "query_id bigint, id bigint, score bigint"), "best")
 
 
 def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contract of operator 4 over the whole embeddings table."""
+    """Contract of operator 4 over the whole embeddings table.
+
+    Vectors that are null, empty, or hold a null or non-finite component take no part; a query meets candidates of its
+    own length; fewer than five candidates are all returned, and an empty table gives no rows.
+    """
     found = top_k(load(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 

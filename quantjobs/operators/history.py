@@ -21,10 +21,49 @@ def return_history(h: DataFrame) -> DataFrame:
     return g.select("run_id", "r.*")
 
 
+def _day(ret: str, bench: str) -> Column:
+    """One day as a block: days, growth, highest and lowest value from a start of 1, deepest drawdown, sums of returns, benchmark."""
+    v, one = F.coalesce(1 + F.col(ret), F.lit(1.0)), F.lit(1.0)
+    high, low = F.greatest(v, one), F.least(v, one)
+    r = F.col(ret)
+    parts = {"n": F.lit(1), "g": v, "high": high, "low": low, "dd": 1 - low, "c": F.when(r.isNotNull(), 1).otherwise(0), "s": F.coalesce(r, F.lit(0.0)), "q": F.coalesce(r * r, F.lit(0.0)), "b": F.coalesce(1 + F.col(bench), one)}
+    return F.struct(*[x.alias(k) for k, x in parts.items()])
+
+
+def _after(x: Column, y: Column) -> Column:
+    """Block ``x`` followed by block ``y``."""
+    parts = {
+        "n": x["n"] + y["n"],
+        "g": x["g"] * y["g"],
+        "high": F.greatest(x["high"], x["g"] * y["high"]),
+        "low": F.least(x["low"], x["g"] * y["low"]),
+        "dd": F.greatest(x["dd"], y["dd"], 1 - x["g"] * y["low"] / x["high"]),
+        "c": x["c"] + y["c"],
+        "s": x["s"] + y["s"],
+        "q": x["q"] + y["q"],
+        "b": x["b"] * y["b"],
+    }
+    return F.struct(*[v.alias(k) for k, v in parts.items()])
+
+
+def range_blocks(daily: DataFrame, levels: int) -> DataFrame:
+    """(idx, level, block): every run of 2 ** level trading days from day idx on, made of two runs of half the length.
+
+    ``daily`` is (idx, ret, bench), a row a trading day; blocks that would reach beyond the last day are left out.
+    """
+    day = Window.orderBy("idx")  # trading days
+    out = daily.select("idx", _day("ret", "bench").alias("b0"))
+    for k in range(1, levels + 1):
+        out = out.withColumn("_next", F.lead(f"b{k - 1}", 1 << (k - 1)).over(day)).withColumn(f"b{k}", F.when(F.col("_next").isNotNull(), _after(F.col(f"b{k - 1}"), F.col("_next")))).drop("_next")
+    each = F.array(*[F.struct(F.lit(k).alias("level"), F.col(f"b{k}").alias("block")) for k in range(levels + 1)])
+    return out.select("idx", F.explode(each).alias("e")).select("idx", "e.level", "e.block").where("block is not null")
+
+
 def forward_outcomes(signals: DataFrame, daily: DataFrame, ks: tuple[int, ...] = (5, 21)) -> DataFrame:
     """(signal columns, k, port, bench, alpha, vol, drawdown) over the next k trading rows strictly after a signal's date.
 
-    Null outcomes if fewer rows follow. ``daily`` is (date, ret, bench), one row a trading day.
+    Null outcomes if fewer rows follow. ``daily`` is (date, ret, bench), one row a trading day. A window is put together
+    from runs of days whose lengths are powers of two, one for each bit of k, instead of from its days.
     """
     rows = daily.withColumn("idx", F.row_number().over(Window.orderBy("date")))  # trading days
     dates = signals.select("date").distinct()
@@ -32,14 +71,23 @@ def forward_outcomes(signals: DataFrame, daily: DataFrame, ks: tuple[int, ...] =
     later = Window.orderBy(F.desc("date"), F.col("idx").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
     both = dates.withColumn("idx", F.lit(None).cast("int")).unionByName(rows.select("date", "idx"))
     first = both.withColumn("i", F.min("idx").over(later)).where("idx is null and i is not null").select("date", "i")
-    spans = first.select("date", "i", F.explode(F.array(*[F.lit(k) for k in ks])).alias("k"))
-    wanted = spans.select("date", "k", F.explode(F.sequence(F.col("i"), F.col("i") + F.col("k") - 1)).alias("idx"))
-    inside = wanted.join(rows.select("idx", "ret", F.col("bench").alias("b")), "idx")
-    w = Window.partitionBy("date", "k").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    x = inside.withColumn("v", F.product(1 + F.col("ret")).over(w)).withColumn("dd", 1 - F.col("v") / F.greatest(F.max("v").over(w), F.lit(1.0)))
-    g = x.groupBy("date", "k").agg(F.count("*").alias("n"), (F.product(1 + F.col("ret")) - 1).alias("port"), (F.product(1 + F.col("b")) - 1).alias("bench"), (F.stddev_samp("ret") * F.sqrt(F.lit(YEAR))).alias("vol"), F.max("dd").alias("drawdown")).where("n = k")
+    pieces = []
+    for k in ks:
+        at = 0
+        for level in reversed(range(k.bit_length())):
+            if k >> level & 1:
+                pieces.append(F.struct(F.lit(k).alias("k"), F.lit(level).alias("level"), F.lit(at).alias("at")))
+                at += 1 << level
+    wanted = first.select("date", "i", F.explode(F.array(*pieces)).alias("p")).select("date", "p.k", "p.level", "p.at", (F.col("i") + F.col("p.at")).alias("idx"))
+    blocks = range_blocks(rows.select("idx", "ret", "bench"), max(ks).bit_length() - 1)
+    g = wanted.join(blocks, ["idx", "level"]).groupBy("date", "k").agg(F.array_sort(F.collect_list(F.struct("at", "block"))).alias("_p"))  # at most a block for each bit of k
+    w = F.aggregate(F.slice("_p", F.lit(2), F.size("_p")), F.col("_p")[0]["block"], lambda a, x: _after(a, x["block"]))
+    g = g.select("date", "k", w.alias("w")).where("w.n = k")
+    spread = F.greatest(F.col("w.q") - F.col("w.s") * F.col("w.s") / F.col("w.c"), F.lit(0.0))
+    vol = F.when(F.col("w.c") > 1, F.sqrt(spread / (F.col("w.c") - 1)) * F.sqrt(F.lit(YEAR)))
+    out = g.select("date", "k", (F.col("w.g") - 1).alias("port"), (F.col("w.b") - 1).alias("bench"), vol.alias("vol"), F.col("w.dd").alias("drawdown"))
     all_ = signals.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks])))
-    return all_.join(g.drop("n"), ["date", "k"], "left").withColumn("alpha", F.col("port") - F.col("bench"))
+    return all_.join(out, ["date", "k"], "left").withColumn("alpha", F.col("port") - F.col("bench"))
 
 
 def set_stability(h: DataFrame, keys: list[str], col: str = "symbols") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantjobs.functions.text import parse_amount, parse_date, plain
+from quantjobs.operators.scan import affine, composed, running
 from quantjobs.operators.timeseries import asof_price
 
 # Fee labels of notes and their canonical names; keywords of statement lines in the order of the rules.
@@ -111,7 +112,8 @@ def ledger_summary(ledger: DataFrame, keys: list[str]) -> DataFrame:
 def resolve_symbols(df: DataFrame, instruments: DataFrame, name: str = "raw_name") -> DataFrame:
     """Adds symbol by the broker's name: exact, without modifiers, the company's first two words or first, then prefix.
 
-    Distinct names are resolved once, against a broadcast dimension of instruments.
+    Distinct names are resolved once. Prefixes are looked up among all prefixes of the instruments' names, each with
+    its least symbol: every step is a join on a key.
     """
     names = df.select(name).distinct().withColumn("_n", plain(F.col(name))).withColumn("_m", F.trim(F.regexp_replace(F.regexp_replace("_n", MODIFIERS, " "), r"\s+", " ")))
     dim = instruments.withColumn("_k", plain(F.col("broker_name"))).where("_k <> ''")
@@ -121,22 +123,42 @@ def resolve_symbols(df: DataFrame, instruments: DataFrame, name: str = "raw_name
     out = names
     for label, key, probe in steps:
         out = out.withColumn("_key", probe).join(keyed(key, label), "_key", "left").drop("_key")
-    first = F.broadcast(dim.select("_k", F.col("symbol").alias("_s")))
-    prefix = out.where("coalesce(s1, s2, s3, s4) is null").join(first, F.startswith(F.col("_k"), F.col("_m")) & (F.col("_m") != "")).groupBy(name).agg(F.min("_s").alias("s5"))
+    prefixes = dim.select("symbol", "_k", F.explode(F.sequence(F.lit(1), F.length("_k"))).alias("_l")).groupBy(F.expr("left(_k, _l)").alias("_m")).agg(F.min("symbol").alias("s5"))
+    prefix = out.where("coalesce(s1, s2, s3, s4) is null").select(name, "_m").join(prefixes, "_m").select(name, "s5")
     found = out.join(prefix, name, "left").select(name, F.coalesce("s1", "s2", "s3", "s4", "s5").alias("symbol"))
     skipped = F.upper(name).rlike(r"\b(CDB|LCI|LCA|TESOURO|FUNDO)\b")
     return df.join(found, name, "left").withColumn("symbol", F.when(~skipped, F.col("symbol")))
 
 
-def suggest_symbols(names: DataFrame, instruments: DataFrame) -> DataFrame:
-    """(name, symbol, score, confidence): the instrument that shares most tokens of three letters or more."""
+#: Names that look up one token together; a token of more is split.
+TOGETHER = 10_000
+
+
+def suggest_symbols(names: DataFrame, instruments: DataFrame, together: int = TOGETHER) -> DataFrame:
+    """(name, symbol, score, confidence): the instrument that shares most tokens of three letters or more, ties by symbol.
+
+    A token's least symbol is all that a score of one needs. An instrument with a higher score shares two tokens, so,
+    both having their tokens in the order of rising frequency among the instruments, one of those is neither's last:
+    only these are looked up, and the token that all names have is not. A token of many names is dealt over tasks.
+    """
     tokens = lambda c: F.array_distinct(F.filter(F.split(plain(c), " "), lambda t: F.length(t) >= 3))
-    a = names.select("name").distinct().select("name", F.explode_outer(tokens(F.col("name"))).alias("t"))
-    b = instruments.select("symbol", F.explode(tokens(F.col("name"))).alias("t"))
-    score = a.join(b, "t").groupBy("name", "symbol").agg(F.count("*").alias("score"))
-    best = score.groupBy("name").agg(F.max("score").alias("score"), F.min_by("symbol", F.struct(-F.col("score"), F.col("symbol"))).alias("symbol"))
-    out = a.select("name").distinct().join(best, "name", "left").withColumn("score", F.coalesce("score", F.lit(0)))
-    return out.withColumn("confidence", F.when(F.col("score") >= 2, "review").when(F.col("score") == 1, "low").otherwise("missing"))
+    own = names.select("name").distinct().withColumn("ts", tokens(F.col("name")))
+    dim = instruments.select("symbol", F.explode(tokens(F.col("name"))).alias("t")).distinct()
+    known = dim.groupBy("t").agg(F.count("*").alias("f"), F.min("symbol").alias("least"))
+    a = own.select("name", F.explode("ts").alias("t")).join(known, "t")
+    single = a.groupBy("name").agg(F.min("least").alias("least"), F.array_sort(F.collect_list(F.struct("f", "t"))).alias("ft"))
+    sides = lambda df, key: df.select(key, F.col("ft.t").alias("ts"), F.explode(F.slice("ft", F.lit(1), F.size("ft") - 1)).alias("e"))
+    left = sides(single.where(F.size("ft") > 1), "name").select("name", F.col("ts").alias("ta"), "e.t")
+    b = dim.join(known.select("t", "f"), "t").groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("f", "t"))).alias("ft"))
+    right = sides(b.where(F.size("ft") > 1), "symbol").select("symbol", F.col("ts").alias("tb"), "e.t")
+    shares = left.groupBy("t").agg(F.ceil(F.count("*") / together).alias("n"))
+    left = left.join(shares, "t").withColumn("part", F.pmod(F.xxhash64("name"), "n"))
+    right = right.join(shares, "t").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
+    pairs = left.join(right.drop("n"), ["t", "part"]).select("name", "symbol", F.size(F.array_intersect("ta", "tb")).alias("score")).where("score > 1")
+    double = pairs.groupBy("name").agg(F.min(F.struct((-F.col("score")).alias("s"), "symbol")).alias("d"))
+    best = single.select("name", "least").join(double, "name", "left").select("name", F.coalesce("d.symbol", "least").alias("symbol"), F.coalesce(-F.col("d.s"), F.lit(1)).cast("bigint").alias("score"))
+    out = own.select("name").join(best, "name", "left").withColumn("score", F.coalesce("score", F.lit(0)))
+    return out.select("name", "score", "symbol", F.when(F.col("score") >= 2, "review").when(F.col("score") == 1, "low").otherwise("missing").alias("confidence"))
 
 
 def review_queue(ledger: DataFrame, instruments: DataFrame, previous: DataFrame) -> DataFrame:
@@ -166,20 +188,20 @@ def cost_basis(ledger: DataFrame, cost: str = "total_cost") -> DataFrame:
     The cost is that of the ledger, fees included. A sale of more than is held takes the average cost of all it
     sells, so that the basis turns negative with the quantity; a sale out of nothing held takes none.
 
-    An ordered fold over the trades of a portfolio and symbol, kept by Spark as one array a pair.
+    A segmented scan: the quantity held before a day is a running sum, so each trade is an affine map of the basis
+    (a buy adds, a sale scales). The maps of a day compose to one, and the days of a pair are scanned by months.
     """
-    trade = F.struct("trade_date", "document", "seq", (F.col("side") == "SELL").alias("sell"), F.col("quantity").cast("double").alias("q"), F.col(cost).cast("double").alias("c"))
-    g = ledger.groupBy("portfolio_id", "symbol").agg(F.array_sort(F.collect_list(trade)).alias("ts"))
-    zero = F.struct(F.lit(0.0).alias("qty"), F.lit(0.0).alias("basis"), F.array().cast("array<struct<date:date,qty:double,basis:double>>").alias("rows"))
-
-    def step(a: Column, t: Column) -> Column:
-        taken = F.when(a["qty"] > 0, a["basis"] / a["qty"] * t["q"]).otherwise(0.0)
-        qty = F.when(t["sell"], a["qty"] - t["q"]).otherwise(a["qty"] + t["q"])
-        basis = F.when(t["sell"], a["basis"] - taken).otherwise(a["basis"] + t["c"])
-        return F.struct(qty.alias("qty"), basis.alias("basis"), F.array_append(a["rows"], F.struct(t["trade_date"].alias("date"), qty.alias("qty"), basis.alias("basis"))).alias("rows"))
-
-    rows = g.select("portfolio_id", "symbol", F.posexplode(F.aggregate("ts", zero, step, lambda a: a["rows"])).alias("k", "r"))
-    return rows.groupBy("portfolio_id", "symbol", F.col("r.date").alias("date")).agg(F.max_by("r.qty", "k").alias("qty"), F.max_by("r.basis", "k").alias("basis"))
+    pair, sell = ["portfolio_id", "symbol"], F.col("side") == "SELL"
+    q = F.col("quantity").cast("double")
+    t = ledger.select(*pair, F.col("trade_date").alias("date"), "document", "seq", sell.alias("sell"), q.alias("q"), F.col(cost).cast("double").alias("c"), F.when(sell, -q).otherwise(q).alias("_signed"))
+    held = running(t.groupBy(*pair, "date").agg(F.sum("_signed").alias("_day")), pair, ["date"], {"qty": ("_day", "sum")}).select(*pair, "date", "qty", "_day")
+    day = Window.partitionBy(*pair, "date").orderBy("document", "seq", "sell", "q", "c").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("qty") - F.col("_day") + F.coalesce(F.sum("_signed").over(day), F.lit(0.0))
+    scale = F.when(F.col("sell") & (F.col("before") > 0), 1 - F.col("q") / F.col("before")).otherwise(1.0)
+    maps = t.join(held, [*pair, "date"]).withColumn("before", before).select(*pair, "date", F.struct("document", "seq", "sell", "q", "c", scale.alias("m"), F.when(F.col("sell"), 0.0).otherwise(F.col("c")).alias("a")).alias("t"))
+    days = maps.groupBy(*pair, "date").agg(composed(F.array_sort(F.collect_list("t"))).alias("_map"))
+    states = affine(days.select(*pair, "date", "_map.m", "_map.a"), pair, "date", "m", "a", "basis")
+    return held.select(*pair, "date", "qty").join(states, [*pair, "date"])
 
 
 def holdings_history(ledger: DataFrame, bars: DataFrame, end_date: str, weekend_trades: str = "drop") -> DataFrame:
@@ -220,14 +242,18 @@ def real_daily(history: DataFrame, ledger: DataFrame, movements: DataFrame, benc
     Cash is the running sum of movements, the fund grows by its daily returns, and the equity return
     counts the day's trades at its start. Movements count on the next holdings day.
     """
-    keys = ["portfolio_id", "date"]
-    eq = history.groupBy(*keys).agg(F.sum("value").alias("portfolio_value"), F.sum("cost_basis").alias("cost_basis"))
+    keys, c = ["portfolio_id", "date"], F.col
+    eq = history.select(*keys, F.col("value").alias("portfolio_value"), "cost_basis")
     flow = F.when(F.col("side") == "SELL", -F.col("gross_value").cast("double")).otherwise(F.col("gross_value").cast("double"))
-    flows = ledger.select("portfolio_id", F.col("trade_date").alias("date"), flow.alias("f")).groupBy(*keys).agg(F.sum("f").alias("cash_flow"))
-    ops = movements.groupBy(*keys).pivot("operation", ["APORTE", "SAQUE", "DIVIDENDO", "BOLSA", "APLICACAO_FUNDO", "RESGATE_FUNDO"]).agg(F.sum("value")).na.fill(0.0)
-    ops = ops.select(*keys, (F.col("APORTE") - F.col("SAQUE")).alias("external"), F.col("DIVIDENDO").alias("dividends"), (F.col("APORTE") - F.col("SAQUE") + F.col("DIVIDENDO") + F.col("BOLSA") - F.col("APLICACAO_FUNDO") + F.col("RESGATE_FUNDO")).alias("cash"), (F.col("APLICACAO_FUNDO") - F.col("RESGATE_FUNDO")).alias("into_fund"))
-    days = eq.select(*keys).unionByName(ops.select(*keys)).unionByName(flows.select(*keys)).distinct()
-    d = days.join(eq, keys, "left").join(flows, keys, "left").join(ops, keys, "left").join(bench.select("date", F.col("ret").alias("benchmark_return")), "date", "left").join(fund.select("date", "fund_return"), "date", "left").na.fill(0.0, ["cash_flow", "external", "dividends", "cash", "into_fund"])
+    flows = ledger.select("portfolio_id", F.col("trade_date").alias("date"), flow.alias("cash_flow"))
+    sign = lambda **of: reduce(lambda x, kv: x.when(c("operation") == kv[0], kv[1] * c("value")), of.items(), F).otherwise(0.0)
+    known = movements.where(c("operation").isin("APORTE", "SAQUE", "DIVIDENDO", "BOLSA", "APLICACAO_FUNDO", "RESGATE_FUNDO"))
+    ops = known.select(*keys, sign(APORTE=1, SAQUE=-1).alias("external"), sign(DIVIDENDO=1).alias("dividends"), sign(APORTE=1, SAQUE=-1, DIVIDENDO=1, BOLSA=1, APLICACAO_FUNDO=-1, RESGATE_FUNDO=1).alias("cash"), sign(APLICACAO_FUNDO=1, RESGATE_FUNDO=-1).alias("into_fund"))
+    days = movements.select(*keys)  # a day of another operation is a day of the series, too
+    rows = eq.unionByName(flows, True).unionByName(ops, True).unionByName(days, True)
+    zeros = ["cash_flow", "external", "dividends", "cash", "into_fund"]
+    d = rows.groupBy(*keys).agg(*[F.sum(x).alias(x) for x in ["portfolio_value", "cost_basis", *zeros]]).na.fill(0.0, zeros)
+    d = d.join(bench.select("date", F.col("ret").alias("benchmark_return")), "date", "left").join(fund.select("date", "fund_return"), "date", "left")
     w = Window.partitionBy("portfolio_id").orderBy("date")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     # A fund return of -1 wipes out what was there: growth is counted anew from that day on.

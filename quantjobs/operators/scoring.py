@@ -8,7 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantjobs.operators import gram
 from quantjobs.operators import timeseries as ts
+from quantjobs.operators.quantiles import exact_quantiles
 
 
 @dataclass(frozen=True)
@@ -31,7 +33,7 @@ class QualityParams:
 
 def sector_median_pe(instruments: DataFrame, fundamentals: DataFrame) -> DataFrame:
     """Median of the positive forward P/E of each sector."""
-    return instruments.join(fundamentals, "symbol").where("forward_pe > 0").groupBy("sector").agg(F.median("forward_pe").alias("sector_pe"))
+    return exact_quantiles(instruments.join(fundamentals, "symbol").where("forward_pe > 0"), ["sector"], "forward_pe", {"sector_pe": 0.5})
 
 
 def clip(c: Column, low: float, high: float) -> Column:
@@ -128,14 +130,16 @@ def market_stress(bars: DataFrame, bench: DataFrame, instruments: DataFrame, m3:
     r = ts.recent(one.withColumn("ret", F.col("close") / F.lag("close").over(ts.by("symbol")) - 1)).where(f"pos <= {m3} and ret is not null")
     b.append(r.agg(F.when(F.count("*") >= ts.least_rows(m3), F.stddev_samp("ret") * F.sqrt(F.lit(252.0)) * 100).alias("bench_vol")))
     r3, r6 = ts.window_return(bars, m3), ts.window_return(bars, m6)
-    b.append(r3.agg((F.avg((F.col("ret") < 0).cast("int")) * 100).alias("negative_3m"), F.when(F.count("*") >= 10, (F.percentile("ret", 0.9) - F.percentile("ret", 0.1)) * 100).alias("dispersion_3m")))
+    b.append(r3.agg((F.avg((F.col("ret") < 0).cast("int")) * 100).alias("negative_3m"), F.count("*").alias("_n3")))
+    b.append(exact_quantiles(r3, [], "ret", {"_q9": 0.9, "_q1": 0.1}))
     b.append(r6.agg((F.avg((F.col("ret") < 0).cast("int")) * 100).alias("negative_6m")))
     b.append(ts.window_drawdown(bars, m6).agg((F.avg((F.col("drawdown") * 100 <= -asset).cast("int")) * 100).alias("drawdown_breadth")))
-    sectors = r3.join(instruments, "symbol").groupBy("sector").agg(F.median("ret").alias("m"))
+    sectors = exact_quantiles(r3.join(instruments, "symbol"), ["sector"], "ret", {"m": 0.5})
     b.append(sectors.agg(F.min_by("sector", F.struct("m", "sector")).alias("worst_sector"), (F.min("m") * 100).alias("worst_sector_return")))
     out = bars.agg(F.max("date").alias("as_of"))
     for part in b:  # each is one row; a missing one leaves nulls
         out = out.join(F.broadcast(part), F.lit(True), "left")
+    out = out.withColumn("dispersion_3m", F.when(F.col("_n3") >= 10, (F.col("_q9") - F.col("_q1")) * 100)).drop("_n3", "_q9", "_q1")
     c = F.col
     checks = [("benchmark_drawdown_3m", c("bench_drawdown_3m") <= -drawdown), ("benchmark_drawdown_6m", c("bench_drawdown_6m") <= -drawdown), ("negative_breadth_3m", c("negative_3m") >= negative), ("broad_asset_drawdown", c("drawdown_breadth") >= broad), ("elevated_benchmark_volatility", c("bench_vol") >= vol), ("high_cross_sectional_dispersion", c("dispersion_3m") >= dispersion)]
     out = out.withColumn("triggers", F.array_compact(F.array(*[F.when(cond, name) for name, cond in checks])))
@@ -217,21 +221,28 @@ def blended_returns(hist: DataFrame, signals: DataFrame, hist_weight: float = 0.
 
 def correlation_pairs(returns: DataFrame, symbols: DataFrame) -> DataFrame:
     """(a, b, corr, n) of the chosen symbols, pairwise complete, both triangles and the diagonal."""
-    own = returns.where("ret is not null").join(symbols.select("symbol").distinct(), "symbol", "left_semi").select("symbol", "date", "ret")
-    a, b = own.select("date", F.col("symbol").alias("a"), F.col("ret").alias("x")), own.select("date", F.col("symbol").alias("b"), F.col("ret").alias("y"))
-    half = a.join(b, "date").where("a <= b").groupBy("a", "b").agg(F.corr("x", "y").alias("corr"), F.count("*").alias("n"))
-    return half.unionByName(half.where("a < b").select(F.col("b").alias("a"), F.col("a").alias("b"), "corr", "n"))
+    own = returns.join(symbols.select("symbol").distinct(), "symbol", "left_semi")
+    return gram.both_ways(gram.pair_sums(own).select("a", "b", gram.correlation().alias("corr"), "n"))
 
 
 def correlation_groups(bars: DataFrame, holdings: DataFrame, model: DataFrame, n: int = 252) -> DataFrame:
-    """Correlations of held and model symbols over the last n dates on which all have a padded return, with groups."""
+    """Correlations of held and model symbols with their groups and places in display order.
+
+    Prices are cut to the last n dates on which any of the symbols closed, the last close is carried forward within these,
+    and dates on which a return is missing are dropped. The order is: held only, both, model only, each by symbol.
+    """
     sides = holdings.select("symbol", F.lit("holdings").alias("g")).unionByName(model.select("symbol", F.lit("model").alias("g"))).groupBy("symbol").agg(F.when(F.count_distinct("g") == 2, "both").otherwise(F.min("g")).alias("group"))
-    r = ts.daily_returns_padded(bars.join(sides.select("symbol"), "symbol", "left_semi")).where("ret is not null")
-    size = F.broadcast(r.agg(F.count_distinct("symbol").alias("_k")))  # one row
-    full = r.groupBy("date").agg(F.count("*").alias("c")).join(size, F.col("c") == F.col("_k")).orderBy(F.desc("date")).limit(n).select("date")
-    pairs = correlation_pairs(r.join(F.broadcast(full), "date", "left_semi"), sides)
-    named = lambda x: sides.select(F.col("symbol").alias(x), F.col("group").alias(f"group_{x}"))
-    return pairs.join(F.broadcast(named("a")), "a").join(F.broadcast(named("b")), "b")
+    own = bars.where("close is not null").join(sides.select("symbol"), "symbol", "left_semi")
+    last = own.select("date").distinct().orderBy(F.desc("date")).limit(n)
+    r = ts.daily_returns_padded(own.join(last, "date", "left_semi")).where("ret is not null")
+    present = own.select("symbol").distinct()
+    size = present.agg(F.count("*").alias("_k"))  # one row
+    full = r.groupBy("date").agg(F.count("*").alias("c")).join(size, F.col("c") == F.col("_k")).select("date")
+    pairs = correlation_pairs(r.join(full, "date", "left_semi"), sides)
+    rank = F.when(F.col("group") == "holdings", 0).when(F.col("group") == "both", 1).otherwise(2)
+    placed = sides.join(present, "symbol").withColumn("place", F.row_number().over(Window.orderBy(rank, "symbol")))  # a row a symbol
+    named = lambda x: placed.select(F.col("symbol").alias(x), F.col("group").alias(f"group_{x}"), F.col("place").alias(f"place_{x}"))
+    return pairs.join(named("a"), "a").join(named("b"), "b")
 
 
 def avg_internal_corr(pairs: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantjobs.operators.scan import running
+
 YEAR = 252
 
 
@@ -25,10 +27,13 @@ def daily_returns(bars: DataFrame) -> DataFrame:
     return dated.withColumn("ret", F.when(step == 1, F.try_divide(F.col("close"), F.lag("close").over(w)) - 1)).select("symbol", "date", "idx", "close", "ret")
 
 
-def padded(bars: DataFrame) -> DataFrame:
-    """Every symbol on every global day since its first one, the last close carried forward."""
+def padded(bars: DataFrame, market: DataFrame | None = None) -> DataFrame:
+    """Every symbol on every global day since its first one, the last close carried forward.
+
+    The days are those of ``market``, where ``bars`` are only some symbols of it.
+    """
     spans = bars.groupBy("symbol").agg(F.min("date").alias("first"))
-    days = calendar(bars).agg(F.array_sort(F.collect_list("date")).alias("days"))  # one array of trading days
+    days = (bars if market is None else market).select("date").distinct().agg(F.array_sort(F.collect_list("date")).alias("days"))  # one array of trading days
     grid = spans.join(F.broadcast(days.withColumn("_one", F.lit(1))), F.lit(1) == F.col("_one")).select("symbol", F.explode(F.filter("days", lambda d: d >= F.col("first"))).alias("date"))
     filled = F.last("close", ignorenulls=True).over(by("symbol"))
     return grid.join(bars.select("symbol", "date", "close"), ["symbol", "date"], "left").select("symbol", "date", filled.alias("close"))
@@ -93,15 +98,14 @@ def risk_return(returns: DataFrame, rf: float = 0.0) -> DataFrame:
 
 
 def growth_index(returns: DataFrame, base: float = 100.0, keys: list[str] | None = None) -> DataFrame:
-    """index: base times the running product of 1 + ret, null returns as 0."""
-    w = Window.partitionBy(*(keys or [F.lit(1)])).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    return returns.withColumn("index", F.lit(base) * F.product(1 + F.coalesce("ret", F.lit(0.0))).over(w))
+    """index: base times the running product of 1 + ret, null returns as 0. A hot key, or no key, is scanned by months."""
+    grown = running(returns.withColumn("_f", 1 + F.coalesce("ret", F.lit(0.0))), keys or [], ["date"], {"index": ("_f", "product")})
+    return grown.drop("_f").withColumn("index", F.lit(base) * F.col("index"))
 
 
 def drawdown(df: DataFrame, value_col: str, keys: list[str] | None = None) -> DataFrame:
-    """drawdown: 1 - value / running peak, 0 at a peak."""
-    w = Window.partitionBy(*(keys or [F.lit(1)])).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("drawdown", 1 - F.col(value_col) / F.max(value_col).over(w))
+    """drawdown: 1 - value / running peak, 0 at a peak. A hot key, or no key, is scanned by months."""
+    return running(df, keys or [], ["date"], {"_peak": (value_col, "max")}).withColumn("drawdown", 1 - F.col(value_col) / F.col("_peak")).drop("_peak")
 
 
 def max_drawdown(df: DataFrame, value_col: str, keys: list[str]) -> DataFrame:
@@ -122,7 +126,8 @@ def vol_percentile(vols: DataFrame, count_nulls: bool = True) -> DataFrame:
 
 
 def forward_fill(df: DataFrame, keys: list[str], order: str, col: str) -> DataFrame:
-    return df.withColumn(col, F.last(col, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(order)))
+    """``col`` with the last value that is not null where it is null; ``order`` is a date, timestamp or number."""
+    return running(df.withColumn("_v", F.col(col)), keys, [order], {col: ("_v", "last")}).select(*df.columns)
 
 
 def least_rows(n: int) -> int:
@@ -165,14 +170,14 @@ def fund_quota_returns(quotas: DataFrame, ids: list[str]) -> DataFrame:
 def asof_price(keys: DataFrame, bars: DataFrame, tolerance_days: int = 10) -> DataFrame:
     """(symbol, date, price): the close of the date or of the nearest earlier one within the tolerance, else null.
 
-    Wanted pairs are made distinct first, and meet the bars in one window a symbol.
+    Wanted pairs are made distinct first and are scanned with the bars month by month of a symbol; the last close of a
+    month is carried to the later ones.
     """
     want = keys.select("symbol", "date").distinct().withColumn("_k", F.lit(1))
     rows = bars.where("close is not null").select("symbol", "date", F.struct("date", "close").alias("_b"), F.lit(0).alias("_k"))
     both = rows.unionByName(want.withColumn("_b", F.lit(None).cast("struct<date:date,close:double>")))
-    last = F.last("_b", ignorenulls=True).over(Window.partitionBy("symbol").orderBy("date", "_k"))
     near = F.datediff("date", "_p.date") <= tolerance_days
-    return both.withColumn("_p", last).where("_k = 1").select("symbol", "date", F.when(near, F.col("_p.close")).alias("price"))
+    return running(both, ["symbol"], ["date", "_k"], {"_p": ("_b", "last")}).where("_k = 1").select("symbol", "date", F.when(near, F.col("_p.close")).alias("price"))
 
 
 def align_series(*dfs: DataFrame) -> DataFrame:

@@ -18,7 +18,8 @@ def _pool(s, d):
 
 
 def _stats(s, d):
-    return ps.panel_stats(ts.padded(table(s, d, "bars")), _pool(s, d))
+    bars, pool = table(s, d, "bars"), _pool(s, d)
+    return ps.panel_stats(ts.padded(bars.join(pool.select("symbol"), "symbol", "left_semi"), bars), pool)
 
 
 def _traded(s, d):
@@ -41,7 +42,8 @@ def ps2(s, d):
 
 
 def ps3(s, d):
-    mean, cov = ps.panel_stats(ts.padded(table(s, d, "bars")), _traded(s, d))
+    bars, pool = table(s, d, "bars"), _traded(s, d)
+    mean, cov = ps.panel_stats(ts.padded(bars.join(pool.select("symbol"), "symbol", "left_semi"), bars), pool)
     return r6(ps.portfolio_metrics(_two(s, d), mean, cov, table(s, d, "instruments"), 0.01, 0.3, 0.5), "ret", "vol", "hhi", "sector_hhi", "sharpe").select("portfolio_id", "ret", "vol", "hhi", "sector_hhi", "sharpe")
 
 

@@ -55,12 +55,21 @@ def sc13(s, d):
 
 def sc15(s, d):
     w = lambda c: table(s, d, "ranked").where(c)
-    return r6(sc.correlation_groups(table(s, d, "bars"), w("pos <= 4"), w("pos between 4 and 7")), "corr")
+    out = sc.correlation_groups(table(s, d, "bars"), w("pos <= 4"), w("pos between 4 and 7"))
+    return out.select("a", "b", F.round("corr", 4).alias("corr"), "n", "group_a", "group_b", "place_a", "place_b")
+
+
+def _held(s, d):
+    return table(s, d, "hold_w").select("symbol").distinct()
+
+
+def sc14(s, d):
+    return r6(sc.correlation_pairs(ts.daily_returns(table(s, d, "bars")), _held(s, d)).where("n >= 3"), "corr")
 
 
 def sc16(s, d):
-    pairs = sc.correlation_pairs(ts.daily_returns_padded(table(s, d, "bars")), table(s, d, "ranked").where("pos <= 8"))
-    return r6(sc.avg_internal_corr(pairs, table(s, d, "hold_w").join(table(s, d, "ranked").where("pos <= 8"), "symbol", "left_semi"), ["portfolio_id"]), "avg_corr")
+    pairs = sc.correlation_pairs(ts.daily_returns_padded(table(s, d, "bars")), _held(s, d))
+    return r6(sc.avg_internal_corr(pairs, table(s, d, "hold_w"), ["portfolio_id"]), "avg_corr")
 
 
 PADRET = """pad AS (SELECT g.symbol, g.date, last_value(b.close IGNORE NULLS) OVER (PARTITION BY g.symbol ORDER BY g.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS close
@@ -124,16 +133,19 @@ QUERIES = {
     "sc12_top_n": (sc12, "SELECT sector, CAST(rank AS INTEGER) AS rank, symbol, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY sector ORDER BY score DESC, symbol) AS rank FROM composite) WHERE rank <= 5"),
     "sc13_blended_returns": (sc13, f"""WITH {PADRET}, h AS (SELECT symbol, avg(ret) * 252 AS m FROM pr GROUP BY symbol)
         SELECT h.symbol, round(CASE WHEN u.upside IS NULL THEN h.m ELSE 0.35 * h.m + 0.65 * u.upside END, 6) AS expected FROM h LEFT JOIN (SELECT * FROM upsides WHERE source <> 'None') u ON h.symbol = u.symbol"""),
-    "sc14_correlation_pairs": (lambda s, d: r6(sc.correlation_pairs(ts.daily_returns(table(s, d, "bars")), table(s, d, "ranked").where("pos <= 6")), "corr").where("n >= 3"), """WITH x AS (SELECT r.* FROM ret r JOIN ranked k ON r.symbol = k.symbol AND k.pos <= 6 WHERE ret IS NOT NULL)
-        SELECT a.symbol AS a, b.symbol AS b, round(corr(a.ret, b.ret), 6) AS corr, count(*) AS n FROM x a JOIN x b ON a.date = b.date GROUP BY 1, 2 HAVING count(*) >= 3"""),
-    "sc15_correlation_groups": (sc15, f"""WITH {PADRET}, g AS (SELECT symbol, CASE WHEN pos < 4 THEN 'holdings' WHEN pos = 4 THEN 'both' ELSE 'model' END AS grp FROM ranked WHERE pos <= 7),
-        mind AS (SELECT * FROM cal WHERE date >= (SELECT min(b.date) FROM bars b JOIN g ON b.symbol = g.symbol)), own AS (SELECT DISTINCT b.date FROM bars b JOIN g ON b.symbol = g.symbol),
-        gp AS (SELECT x.symbol, x.date, last_value(b.close IGNORE NULLS) OVER (PARTITION BY x.symbol ORDER BY x.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS close FROM (SELECT f.symbol, o.date FROM (SELECT b.symbol, min(b.date) AS first FROM bars b JOIN g ON b.symbol = g.symbol GROUP BY b.symbol) f JOIN own o ON o.date >= f.first) x LEFT JOIN bars b ON b.symbol = x.symbol AND b.date = x.date),
+    "sc14_correlation_pairs": (sc14, """WITH x AS (SELECT * FROM ret WHERE ret IS NOT NULL AND symbol IN (SELECT symbol FROM hold_w))
+        SELECT a.symbol AS a, b.symbol AS b, round(CASE WHEN isfinite(corr(a.ret, b.ret)) THEN corr(a.ret, b.ret) END, 6) AS corr, count(*) AS n FROM x a JOIN x b ON a.date = b.date GROUP BY 1, 2 HAVING count(*) >= 3"""),
+    "sc15_correlation_groups": (sc15, """WITH g AS (SELECT symbol, CASE WHEN pos < 4 THEN 'holdings' WHEN pos = 4 THEN 'both' ELSE 'model' END AS grp FROM ranked WHERE pos <= 7),
+        gb AS (SELECT b.symbol, b.date, b.close FROM bars b JOIN g ON b.symbol = g.symbol), own AS (SELECT DISTINCT date FROM gb ORDER BY date DESC LIMIT 252),
+        cut AS (SELECT gb.* FROM gb JOIN own ON gb.date = own.date),
+        gp AS (SELECT x.symbol, x.date, last_value(b.close IGNORE NULLS) OVER (PARTITION BY x.symbol ORDER BY x.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS close FROM (SELECT f.symbol, o.date FROM (SELECT symbol, min(date) AS first FROM cut GROUP BY symbol) f JOIN own o ON o.date >= f.first) x LEFT JOIN cut b ON b.symbol = x.symbol AND b.date = x.date),
         r AS (SELECT * FROM (SELECT symbol, date, close / lag(close) OVER (PARTITION BY symbol ORDER BY date) - 1 AS ret FROM gp) WHERE ret IS NOT NULL),
-        f AS (SELECT date FROM r GROUP BY date HAVING count(*) = 7 ORDER BY date DESC LIMIT 252), y AS (SELECT r.* FROM r JOIN f ON r.date = f.date)
-        SELECT a.symbol AS a, b.symbol AS b, round(corr(a.ret, b.ret), 6) AS corr, count(*) AS n, any_value(ga.grp) AS group_a, any_value(gb.grp) AS group_b FROM y a JOIN y b ON a.date = b.date JOIN g ga ON a.symbol = ga.symbol JOIN g gb ON b.symbol = gb.symbol GROUP BY 1, 2"""),
-    "sc16_avg_internal_corr": (sc16, f"""WITH {PADRET}, x AS (SELECT r.* FROM pr r JOIN ranked k ON r.symbol = k.symbol AND k.pos <= 8 WHERE ret IS NOT NULL),
+        f AS (SELECT date FROM r GROUP BY date HAVING count(*) = (SELECT count(DISTINCT symbol) FROM gb)), y AS (SELECT r.* FROM r JOIN f ON r.date = f.date),
+        o AS (SELECT g.symbol, grp, row_number() OVER (ORDER BY CASE grp WHEN 'holdings' THEN 0 WHEN 'both' THEN 1 ELSE 2 END, g.symbol) AS place FROM g JOIN (SELECT DISTINCT symbol FROM gb) t ON g.symbol = t.symbol)
+        SELECT a.symbol AS a, b.symbol AS b, round(CASE WHEN isfinite(corr(a.ret, b.ret)) THEN corr(a.ret, b.ret) END, 4) AS corr, count(*) AS n, any_value(oa.grp) AS group_a, any_value(ob.grp) AS group_b, CAST(any_value(oa.place) AS INT) AS place_a, CAST(any_value(ob.place) AS INT) AS place_b
+        FROM y a JOIN y b ON a.date = b.date JOIN o oa ON a.symbol = oa.symbol JOIN o ob ON b.symbol = ob.symbol GROUP BY 1, 2"""),
+    "sc16_avg_internal_corr": (sc16, f"""WITH {PADRET}, x AS (SELECT * FROM pr WHERE ret IS NOT NULL AND symbol IN (SELECT symbol FROM hold_w)),
         p AS (SELECT a.symbol AS a, b.symbol AS b, corr(a.ret, b.ret) AS c FROM x a JOIN x b ON a.date = b.date WHERE a.symbol < b.symbol GROUP BY 1, 2)
-        SELECT h.portfolio_id, round(avg(p.c), 6) AS avg_corr, count(p.c) AS n_pairs FROM hold_w h JOIN hold_w i ON h.portfolio_id = i.portfolio_id JOIN p ON p.a = h.symbol AND p.b = i.symbol WHERE h.weight > 0 AND i.weight > 0 GROUP BY 1"""),
+        SELECT h.portfolio_id, round(avg(CASE WHEN isfinite(p.c) THEN p.c END), 6) AS avg_corr, count(CASE WHEN isfinite(p.c) THEN 1 END) AS n_pairs FROM hold_w h JOIN hold_w i ON h.portfolio_id = i.portfolio_id JOIN p ON p.a = h.symbol AND p.b = i.symbol WHERE h.weight > 0 AND i.weight > 0 GROUP BY 1"""),
     "sc17_published_targets": (lambda s, d: r6(sc.published_targets(_upsides(s, d), table(s, d, "last_price"), 2.0), "target"), "SELECT regexp_replace(upper(u.symbol), '[^A-Z0-9]', '', 'g') AS key, round(target_price, 6) AS target FROM upsides u JOIN last_price p ON u.symbol = p.symbol WHERE target_price > 0 AND target_price <= 2 * p.price"),
 }

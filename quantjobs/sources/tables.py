@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +12,23 @@ BARS = "symbol string, date string, open double, high double, low double, close
 INSTRUMENTS = "symbol string, name string, sector string, industry string, broker_name string"
 
 
+def scratch(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to the folder in spark.checkpoint.dir and read again: what several steps read is made once.
+
+    Without that setting a folder of its own is made in local mode; on a cluster it is an error. The files stay.
+    """
+    spark = df.sparkSession
+    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not place:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        place = tempfile.mkdtemp(prefix="quantjobs-")
+        spark.sparkContext.setCheckpointDir(place)
+    path = f"{place}/quantjobs-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def finite(col: str) -> Column:
     """The number, null where it is NaN or infinite."""
     c = F.col(col)
@@ -63,6 +83,36 @@ def upsert_latest(old: DataFrame, new: DataFrame, keys: list[str], order: list[s
     return both.withColumn("_n", F.row_number().over(rank)).where("_n = 1").drop("_n", "_new")
 
 
+def upsert_at_rest(spark: SparkSession, path: str, new: DataFrame, keys: list[str], partition: str, batch: str, order: list[str] | None = None) -> bool:
+    """Upserts a batch into the table at ``path``, which is partitioned by ``partition``; False if the batch is in already.
+
+    Only the partitions that the batch touches are read and replaced; the files of all others stay as they are. The
+    partition must be one of ``keys``, or follow from them, so that a key never moves. Applied batches are listed beside
+    the table. A batch that fails halfway may be repeated: its rows take the place of themselves. Columns that only one
+    side has are null on the other. One batch at a time.
+    """
+    data, log = f"{path}/data", f"{path}/batches"
+    done = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(p))
+    if done(f"{log}/_SUCCESS") and not spark.read.parquet(log).where(F.col("batch") == batch).isEmpty():
+        return False
+    new = scratch(new, "batch")
+    touched = [r[0] for r in new.select(partition).distinct().collect()]  # a value for each partition
+    if touched:
+        rows = latest_rows(new, keys, order)
+        if done(f"{data}/_SUCCESS"):
+            old = spark.read.option("mergeSchema", True).parquet(data)
+            rows = scratch(upsert_latest(old.where(F.col(partition).isin([t for t in touched if t is not None]) | (F.col(partition).isNull() if None in touched else F.lit(False))), rows, keys, order), "merged")
+        rows.repartition(partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(data)
+    spark.createDataFrame([(batch,)], "batch string").coalesce(1).write.mode("append").parquet(log)
+    return True
+
+
+def latest_rows(df: DataFrame, keys: list[str], order: list[str] | None) -> DataFrame:
+    """One row a key, the first by ``order`` descending."""
+    rank = Window.partitionBy(*keys).orderBy(*([F.desc(c) for c in order] if order else [F.lit(1)]))
+    return df.withColumn("_n", F.row_number().over(rank)).where("_n = 1").drop("_n")
+
+
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The row of each key that is greatest by ``order``."""
     rest = [c for c in df.columns if c not in keys]

@@ -101,7 +101,7 @@ def highest(pair: np.ndarray, n: np.ndarray, bins: int, k: int) -> tuple[np.ndar
     pair, n = pair[::-1], n[::-1]
     query = pair // (bins + 1)
     before = np.cumsum(n) - n
-    first = np.r_[True, query[1:] != query[:-1]]
+    first = np.r_[True, query[1:] != query[:-1]][: len(query)]
     keep = before - before[first][np.cumsum(first) - 1] < k
     return pair[keep][::-1], n[keep][::-1]
 

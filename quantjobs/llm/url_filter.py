@@ -6,8 +6,9 @@ broadcast. Runs of digits are tokens of their own.
 
 The tokens of hosts and paths then feed a multinomial naive Bayes model, which decides where no rule does. As
 pages carry no labels, it starts from seed words: hosts that hold a word of junk hosts are block pages, all
-others are allow pages, and seed words count as so many pages. What the model then blocks are the block pages
-of the next round. The rules' verdicts teach it nothing: they speak of places, not of words.
+others are allow pages. What the model then blocks are the block pages of the next round. Classes are smoothed by
+shares, not by counts, and the prior is a parameter, so that verdicts don't depend on the size of the table. The
+rules' verdicts teach it nothing: they speak of places, not of words.
 """
 
 from __future__ import annotations
@@ -28,7 +29,9 @@ RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
 # Words that stand for junk hosts and for plain ones; a plural counts as its singular.
 JUNK_WORDS = "spam farm cheap pill casino poker viagra porn adult xxx escort loan payday replica warez torrent crack keygen clickbait malware phishing bet betting lottery jackpot pharma discount ad adserver tracker track popup".split()
 PLAIN_WORDS = "blog news doc wiki library school science history article guide research journal university museum archive forum support help learn education".split()
-#: Pages that a seed word stands for; longest piece that is looked up, that of a host's label; salts of frequent tokens; rounds.
+#: Parts of all pages and of the seed words in either class's distribution of tokens; share of junk pages that is assumed.
+ALL_SHARE, SEED_SHARE, JUNK_SHARE = 0.5, 0.1, 0.05
+#: Occurrences of a seed word in the unigram model; longest piece that is looked up, that of a host's label; salts of frequent tokens; rounds.
 WORD_WEIGHT, LONGEST, SALTS, ROUNDS = 20, 63, 16, 2
 TAG, WORD = re.compile(r"<[^>]*>"), re.compile(r"[a-z]{2,}")
 
@@ -128,30 +131,39 @@ def evidence_of(tokens: DataFrame, weights: DataFrame) -> DataFrame:
     return salted.join(spread_, ["token", "salt"]).groupBy("host", "path").agg(F.sum("w").alias("w"))
 
 
+def odds(n: Column, block: Column, totals: tuple[float, float], seeds: tuple[Column, Column]) -> Column:
+    """Log odds of block of a token on ``n`` pages, ``block`` of them block pages, from the totals of both and its share of either class's seeds.
+
+    A class's distribution is a mixture of shares, so that a table of any size gives the same odds for the same urls: of its
+    own pages, of all pages, and of its seed words.
+    """
+    everything, blocked = totals
+    own = 1 - ALL_SHARE - SEED_SHARE
+    mix = lambda part, whole, seed: own * part / max(whole, 1.0) + ALL_SHARE * n / max(everything, 1.0) + SEED_SHARE * seed
+    return F.log(mix(block, blocked, seeds[0])) - F.log(mix(n - block, everything - blocked, seeds[1]))
+
+
 def learn(tokens: DataFrame, urls: DataFrame, junk: list[str], plain: list[str], rounds: int = ROUNDS) -> tuple[DataFrame, int]:
-    """(token, w), log odds of block in millionths, and the prior's, after some rounds of naive Bayes from the seed words."""
+    """(token, w), log odds of block in millionths, and the prior's, after some rounds of naive Bayes from the seed words.
+
+    The prior is a parameter, as pages that hold seed words say nothing of how many junk pages there are.
+    """
     spark = tokens.sparkSession
-    seeds = F.broadcast(spark.createDataFrame([(f"h:{w}", y) for ws, y in ((junk, 1), (plain, 0)) for w in dict.fromkeys(ws)], "stem string, junk int"))
-    total = saved(tokens.groupBy("token").agg(F.sum("pages").alias("n")), "totals")
-    facts = total.withColumn("stem", singular(F.col("token"))).join(seeds, "stem", "left").select("token", "n", "junk")
-    absent = seeds.withColumnRenamed("stem", "token").join(total, "token", "left_anti").select("token", F.lit(0).cast("bigint").alias("n"), "junk")
-    facts = saved(facts.unionByName(absent), "facts")
-    size = float(facts.count() or 1)
-    pages = urls.agg(F.sum("pages")).first()[0] or 0
-    held = facts.where("junk = 1").select("token", F.lit(1).cast("bigint").alias("w"))
-    weights = prior = None
+    named = {f"h:{w}": 1 for w in junk} | {f"h:{w}": 0 for w in plain}
+    seeds = F.broadcast(spark.createDataFrame(list(named.items()), "stem string, junk int"))  # two short lists
+    total = tokens.groupBy("token").agg(F.sum("pages").alias("n"))
+    facts = saved(total.withColumn("stem", singular(F.col("token"))).join(seeds, "stem", "left").select("token", "n", "junk"), "facts")
+    everything = float(facts.agg(F.sum("n")).first()[0] or 0)
+    prior = round(1e6 * math.log(JUNK_SHARE / (1 - JUNK_SHARE)))
+    weights = facts.where("junk = 1").select("token", F.lit(abs(prior) + 1).cast("bigint").alias("w"))  # a seed word on the host suffices at first
     for _ in range(max(1, rounds)):
-        blocked = saved(evidence_of(tokens, held if weights is None else weights).where(F.col("w") + (prior or 0) > 0).select("host", "path"), "blocked")
+        blocked = saved(evidence_of(tokens, weights).where(F.col("w") + prior > 0).select("host", "path"), "blocked")
         own = tokens.join(blocked, ["host", "path"], "left_semi").groupBy("token").agg(F.sum("pages").alias("b"))
-        n = urls.join(blocked, ["host", "path"], "left_semi").agg(F.sum("pages")).first()[0] or 0
-        seed = lambda y: F.when(F.col("junk") == y, WORD_WEIGHT).otherwise(0)
-        b = F.coalesce("b", F.lit(0)) + seed(1)
-        table = facts.join(own, "token", "left").select("token", b.alias("block"), (F.col("n") - F.coalesce("b", F.lit(0)) + seed(0)).alias("allow"))
-        table = saved(table, "learnt")
-        sums = table.agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")).first()
-        odds = F.log((F.col("block") + 1.0) / F.lit((sums["block"] or 0) + size)) - F.log((F.col("allow") + 1.0) / F.lit((sums["allow"] or 0) + size))
-        weights = table.select("token", F.round(odds * 1e6).cast("bigint").alias("w"))
-        prior = round(1e6 * math.log((n + 1) / (pages - n + 1)))
+        table = saved(facts.join(own, "token", "left").select("token", "n", "junk", F.coalesce("b", F.lit(0)).alias("b")), "learnt")
+        found = float(table.agg(F.sum("b")).first()[0] or 0)
+        share = lambda y: F.when(F.col("junk") == y, 1.0 / max(1, sum(x == y for x in named.values()))).otherwise(0.0)
+        w = odds(F.col("n"), F.col("b"), (everything, found), (share(1), share(0)))
+        weights = table.select("token", F.round(w * 1e6).cast("bigint").alias("w"))
     return weights, prior
 
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantjobs.sources.tables import scratch
+
 #: Series of a block, dates multiplied at once, and pairs of blocks that a task adds up before it passes them on (50 MB).
 SERIES, DATES, PAIRS = 128, 64, 64
 SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
@@ -19,12 +21,13 @@ def pair_sums(returns: DataFrame, series: int = SERIES) -> DataFrame:
 
     x is the ret of a, y that of b. (symbol, date) is unique; null returns count as absent. The days of all symbols meet
     in blocks of dates, whose matrices are multiplied and added up in the task; a row of 128 sums for each symbol and block of
-    symbols is what is shuffled, not a row for each pair and date.
+    symbols is what is shuffled, not a row for each pair and date. The returns, which are read twice, go to the scratch
+    folder first.
     """
     spark = returns.sparkSession
-    rows = returns.where("ret is not null").select("symbol", "date", F.col("ret").cast("double").alias("ret"))
-    names = rows.select("symbol").distinct().withColumn("_i", F.row_number().over(Window.orderBy("symbol")) - 1)  # a row a symbol
-    placed = rows.join(names, "symbol").select("date", (F.col("_i") / series).cast("int").alias("block"), F.pmod("_i", F.lit(series)).cast("int").alias("at"), "ret")
+    rows = scratch(returns.where("ret is not null").select("symbol", "date", F.col("ret").cast("double").alias("ret")), "returns")
+    names = scratch(rows.select("symbol").distinct().withColumn("_i", F.row_number().over(Window.orderBy("symbol")) - 1), "names")  # a row a symbol
+    placed = rows.join(names, "symbol").select(F.unix_date(F.to_date("date")).alias("date"), (F.col("_i") / series).cast("int").alias("block"), F.pmod("_i", F.lit(series)).cast("int").alias("at"), "ret")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def multiplied(sums: dict, own: pd.DataFrame) -> None:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quantjobs.functions.text import parse_amount, parse_date, plain
 from quantjobs.operators.scan import affine, composed, running
 from quantjobs.operators.timeseries import asof_price
+from quantjobs.sources.tables import scratch
 
 # Fee labels of notes and their canonical names; keywords of statement lines in the order of the rules.
 FEES = {"taxa de liquidacao": "Taxa de liquidacao", "emolumentos": "Emolumentos", "taxa de registro": "Taxa de registro", "corretagem": "Corretagem", "iss": "ISS", "taxa operacional": "Taxa operacional"}
@@ -189,12 +190,14 @@ def cost_basis(ledger: DataFrame, cost: str = "total_cost") -> DataFrame:
     sells, so that the basis turns negative with the quantity; a sale out of nothing held takes none.
 
     A segmented scan: the quantity held before a day is a running sum, so each trade is an affine map of the basis
-    (a buy adds, a sale scales). The maps of a day compose to one, and the days of a pair are scanned by months.
+    (a buy adds, a sale scales). The maps of a day compose to one, and the days of a pair are scanned by months. The
+    trades and the days are written to the scratch folder once, as several steps read them.
     """
     pair, sell = ["portfolio_id", "symbol"], F.col("side") == "SELL"
     q = F.col("quantity").cast("double")
-    t = ledger.select(*pair, F.col("trade_date").alias("date"), "document", "seq", sell.alias("sell"), q.alias("q"), F.col(cost).cast("double").alias("c"), F.when(sell, -q).otherwise(q).alias("_signed"))
+    t = scratch(ledger.select(*pair, F.col("trade_date").alias("date"), "document", "seq", sell.alias("sell"), q.alias("q"), F.col(cost).cast("double").alias("c"), F.when(sell, -q).otherwise(q).alias("_signed")), "trades")
     held = running(t.groupBy(*pair, "date").agg(F.sum("_signed").alias("_day")), pair, ["date"], {"qty": ("_day", "sum")}).select(*pair, "date", "qty", "_day")
+    held = scratch(held, "held")
     day = Window.partitionBy(*pair, "date").orderBy("document", "seq", "sell", "q", "c").rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("qty") - F.col("_day") + F.coalesce(F.sum("_signed").over(day), F.lit(0.0))
     scale = F.when(F.col("sell") & (F.col("before") > 0), 1 - F.col("q") / F.col("before")).otherwise(1.0)
@@ -212,10 +215,11 @@ def holdings_history(ledger: DataFrame, bars: DataFrame, end_date: str, weekend_
     """
     d = F.weekday("trade_date")
     own = ledger.where(d < 5) if weekend_trades == "drop" else ledger.withColumn("trade_date", F.when(d >= 5, F.date_add("trade_date", 7 - d)).otherwise(F.col("trade_date")))
-    steps = cost_basis(own.where(F.col("trade_date") <= F.lit(end_date).cast("date")))
+    steps = scratch(cost_basis(own.where(F.col("trade_date") <= F.lit(end_date).cast("date"))), "steps")
     until = F.coalesce(F.date_sub(F.lead("date").over(Window.partitionBy("portfolio_id", "symbol").orderBy("date")), 1), F.lit(end_date).cast("date"))
     days = steps.withColumn("until", until).where("qty > 0 and until >= date").select("portfolio_id", "symbol", "qty", "basis", F.explode(F.sequence("date", "until")).alias("date")).where(F.weekday("date") < 5)
-    priced = days.join(asof_price(days.select("symbol", "date").distinct(), bars), ["symbol", "date"]).where("price is not null")
+    spans = steps.groupBy("symbol").agg(F.min("date").alias("first")).select("symbol", F.explode(F.sequence("first", F.lit(end_date).cast("date"))).alias("date"))
+    priced = days.join(asof_price(spans.where(F.weekday("date") < 5), bars), ["symbol", "date"]).where("price is not null")
     value = F.col("qty") * F.col("price")
     return priced.select("portfolio_id", "date", "symbol", "qty", "price", value.alias("value"), F.col("basis").alias("cost_basis"))
 

@@ -23,6 +23,11 @@ def holdings_metrics(positions: DataFrame, bars: DataFrame, targets: DataFrame,
     return d.groupBy("portfolio_id").agg(F.sum("_v").alias("value"), F.count("*").alias("n"), (F.try_divide(F.sum(F.col("_v") * F.col("_r")), F.sum("_v")) * 100).alias("expected_return"))
 
 
+def at_hand(c: Column) -> Column:
+    """A number to be held against a limit: what floats miss by a hair counts as the limit itself."""
+    return F.round(c, 10)
+
+
 def blend_candidates(holdings: DataFrame, ideal: DataFrame, n: int = 100) -> DataFrame:
     """(portfolio_id, blend, symbol, weight): n + 1 mixtures of held and ideal weights, renormalised, then weights over 0.001."""
     ids = holdings.select("portfolio_id").distinct()
@@ -31,7 +36,7 @@ def blend_candidates(holdings: DataFrame, ideal: DataFrame, n: int = 100) -> Dat
     totals = both.groupBy("portfolio_id").agg(F.sum("w1").alias("t1"), F.sum("w2").alias("t2"))  # a blend's total is a blend of totals
     d = both.join(totals, "portfolio_id").select("portfolio_id", "symbol", "w1", "w2", "t1", "t2", F.explode(F.sequence(F.lit(0), F.lit(n))).alias("k")).withColumn("blend", F.round(F.col("k") / n, 4))
     mix = lambda a, b: F.col(a) * (1 - F.col("blend")) + F.col(b) * F.col("blend")
-    return d.withColumn("weight", F.try_divide(mix("w1", "w2"), mix("t1", "t2"))).where("weight > 0.001").select("portfolio_id", "blend", "symbol", "weight")
+    return d.withColumn("weight", F.try_divide(mix("w1", "w2"), mix("t1", "t2"))).where(at_hand(F.col("weight")) > 0.001).select("portfolio_id", "blend", "symbol", "weight")
 
 
 def transition_trades(holdings: DataFrame, target: DataFrame, prices: DataFrame, cost_pct: float | DataFrame) -> DataFrame:
@@ -51,7 +56,7 @@ def transition_trades(holdings: DataFrame, target: DataFrame, prices: DataFrame,
     else:
         d = d.withColumn("_cost", F.lit(float(cost_pct)))
     delta = F.col("target_weight") - F.col("current_weight")
-    d = d.withColumn("weight_change", delta).where(F.abs("weight_change") >= 0.001)
+    d = d.withColumn("weight_change", delta).where(at_hand(F.abs("weight_change")) >= 0.001)
     d = d.withColumn("shares", F.when(F.col("price") > 0, F.greatest(F.lit(1), F.floor(F.round(F.abs("weight_change") * F.col("_total") / F.col("price"), 6)))).otherwise(0))
     d = d.withColumn("trade_value", F.when(F.col("price") > 0, F.col("shares") * F.col("price")).otherwise(F.abs("weight_change") * F.col("_total")))
     return d.select(*keys, "symbol", F.when(F.col("weight_change") > 0, "BUY").otherwise("SELL").alias("action"), "current_weight", "target_weight", "weight_change", "price", "shares", "trade_value", (F.col("trade_value") * F.col("_cost") / 100).alias("cost"), F.col("_total").alias("portfolio_value"))
@@ -187,10 +192,10 @@ def execution_plan(trades: DataFrame, gate: DataFrame, band: float = 1.0, least:
 
     def step(a: Column, t: Column) -> Column:
         full, part = a["d"] == "REBALANCE", a["d"] == "PARTIAL_REBALANCE"
-        can = F.when(F.abs(t["weight_change"]) * 100 < band, "IGNORE_BAND").when(t["trade_value"] < least, "IGNORE_SMALL").when(~full & ~part, F.when(a["d"] == "WATCH", "MONITOR").otherwise("HOLD")).when(part & (a["n"] >= actions), "DEFER_MAX_ACTIONS").when(a["left"] <= 0, "DEFER_BUDGET")
+        can = F.when(at_hand(F.abs(t["weight_change"]) * 100) < band, "IGNORE_BAND").when(at_hand(t["trade_value"]) < least, "IGNORE_SMALL").when(~full & ~part, F.when(a["d"] == "WATCH", "MONITOR").otherwise("HOLD")).when(part & (a["n"] >= actions), "DEFER_MAX_ACTIONS").when(a["left"] <= 0, "DEFER_BUDGET")
         shares = F.when(full, t["shares"]).when(t["price"] > 0, F.least(t["shares"], F.floor(a["left"] / t["price"]))).otherwise(0).cast("bigint")
         value = F.when(full, t["trade_value"]).when((t["price"] > 0) & (t["shares"] > 0), shares * t["price"]).otherwise(F.least(t["trade_value"], a["left"]))
-        ok = can.isNull() & (value >= least) & ((shares > 0) | (t["shares"] == 0))
+        ok = can.isNull() & (at_hand(value) >= least) & ((shares > 0) | (t["shares"] == 0))
         done = F.struct(t["symbol"].alias("symbol"), t["action"].alias("action"), F.when(can.isNotNull(), can).when(ok, "EXECUTE").otherwise("DEFER_BUDGET").alias("status"), F.when(ok, shares).otherwise(F.lit(0).cast("bigint")).alias("shares"), F.when(ok, value).otherwise(0.0).alias("value"))
         return F.struct((a["left"] - F.when(ok, value).otherwise(0.0)).alias("left"), (a["n"] + F.when(ok, 1).otherwise(0)).alias("n"), a["d"].alias("d"), F.array_append(a["rows"], done).alias("rows"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quantjobs.operators import gram
 from quantjobs.operators import timeseries as ts
 from quantjobs.operators.quantiles import exact_quantiles
+from quantjobs.sources.tables import scratch
 
 
 @dataclass(frozen=True)
@@ -95,9 +96,11 @@ def rank_of(scores: DataFrame, slices: int = 64) -> DataFrame:
     """Adds rank by score descending, symbol ascending (null scores last).
 
     Rows are ranked within slices between quantiles of the score, behind the rows of all higher slices, so that no
-    task holds the whole table; rows of one score share a slice.
+    task holds the whole table; rows of one score share a slice. The scores are written to the scratch folder once,
+    and the quantiles are taken from there, before the ranks.
     """
-    cuts = [] if scores.isStreaming else scores.agg(F.percentile_approx("score", [i / slices for i in range(1, slices)], 10_000)).first()[0] or []
+    scores = scratch(scores, "scores")
+    cuts = scores.agg(F.percentile_approx("score", [i / slices for i in range(1, slices)], 10_000)).first()[0] or []
     cuts = sorted(set(cuts))
     at = F.when(F.col("score").isNull(), -1).otherwise(F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c <= F.col("score"))))
     d = scores.withColumn("_slice", at)

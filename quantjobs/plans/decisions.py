@@ -154,12 +154,12 @@ def hc5(s, d, regime=False):
 BLEND = """ids AS (SELECT DISTINCT portfolio_id FROM hold_w), goal AS (SELECT portfolio_id, symbol, weight AS w2 FROM ids CROSS JOIN ideal),
 bo AS (SELECT coalesce(h.portfolio_id, g.portfolio_id) AS portfolio_id, coalesce(h.symbol, g.symbol) AS symbol, coalesce(h.weight, 0) AS w1, coalesce(g.w2, 0) AS w2 FROM hold_w h FULL JOIN goal g ON h.portfolio_id = g.portfolio_id AND h.symbol = g.symbol),
 bt AS (SELECT portfolio_id, sum(w1) AS t1, sum(w2) AS t2 FROM bo GROUP BY 1), br AS (SELECT CAST(k AS DOUBLE) / 100 AS blend FROM range(101) AS r(k)),
-bl AS (SELECT * FROM (SELECT bo.portfolio_id, blend, symbol, (w1 * (1 - blend) + w2 * blend) / (t1 * (1 - blend) + t2 * blend) AS weight FROM bo JOIN bt ON bo.portfolio_id = bt.portfolio_id CROSS JOIN br) WHERE weight > 0.001)"""
+bl AS (SELECT * FROM (SELECT bo.portfolio_id, blend, symbol, (w1 * (1 - blend) + w2 * blend) / (t1 * (1 - blend) + t2 * blend) AS weight FROM bo JOIN bt ON bo.portfolio_id = bt.portfolio_id CROSS JOIN br) WHERE round(weight, 10) > 0.001)"""
 CAND = "ca AS (SELECT b.portfolio_id, b.blend, sum(b.weight * u.upside) * 100 AS er, sum(b.weight * u.sharpe) AS sh, sum(b.weight * u.momentum) AS mo FROM bl b JOIN upsides u ON b.symbol = u.symbol GROUP BY 1, 2)"
 SCORE = "sco AS (SELECT *, 0.4 * CASE WHEN er IS NULL THEN 0 WHEN er > 0 THEN ln(1 + er / 100) / 0.693 ELSE er / 100 / 0.2 END + 0.4 * CASE WHEN sh IS NULL THEN 0 WHEN sh > 0 THEN ln(1 + sh) / 1.386 ELSE sh END + 0.2 * CASE WHEN mo IS NULL THEN 0 WHEN mo > 0 THEN ln(1 + mo) / 1.098 ELSE mo END AS score FROM ca)"
 TRADE = """tgt AS (SELECT portfolio_id, symbol, weight FROM (SELECT DISTINCT portfolio_id FROM hold_w) i CROSS JOIN ideal), tot AS (SELECT portfolio_id, sum(value) AS pv FROM hold_w GROUP BY 1),
 tr0 AS (SELECT coalesce(h.portfolio_id, t.portfolio_id) AS portfolio_id, coalesce(h.symbol, t.symbol) AS symbol, coalesce(h.weight, 0) AS cw, coalesce(t.weight, 0) AS tw FROM hold_w h FULL JOIN tgt t ON h.portfolio_id = t.portfolio_id AND h.symbol = t.symbol),
-tr AS (SELECT a.portfolio_id, a.symbol, cw, tw, tw - cw AS dw, p.price, greatest(1, floor(round(abs(tw - cw) * pv / p.price, 6))) AS shares, greatest(1, floor(round(abs(tw - cw) * pv / p.price, 6))) * p.price AS tv, pv FROM tr0 a JOIN tot ON a.portfolio_id = tot.portfolio_id JOIN last_price p ON a.symbol = p.symbol WHERE abs(tw - cw) >= 0.001)"""
+tr AS (SELECT a.portfolio_id, a.symbol, cw, tw, tw - cw AS dw, p.price, greatest(1, floor(round(abs(tw - cw) * pv / p.price, 6))) AS shares, greatest(1, floor(round(abs(tw - cw) * pv / p.price, 6))) * p.price AS tv, pv FROM tr0 a JOIN tot ON a.portfolio_id = tot.portfolio_id JOIN last_price p ON a.symbol = p.symbol WHERE round(abs(tw - cw), 10) >= 0.001)"""
 ADJ = QUALITY + """,
 aq AS (SELECT *, s * c2 + (1 - s) * b2 - 5 * (1 - s) AS adjusted_pct FROM (SELECT *, CAST(CASE WHEN quality_bucket = 'reject' THEN 0 ELSE quality_score END AS DOUBLE) AS s, CAST(least(greatest(coalesce(raw_upside_pct, 0), -80), 150) AS DOUBLE) AS c2, CAST(CASE WHEN quality_bucket = 'reject' THEN 0 ELSE 4 END AS DOUBLE) AS b2 FROM quality))"""
 CONTRIB = "co AS (SELECT h.portfolio_id, h.symbol, h.weight, q.source, q.quality_bucket, q.quality_score, h.weight * coalesce(q.raw_upside_pct, 0) AS rc, h.weight * coalesce(q.adjusted_pct, 0) AS ac, row_number() OVER (PARTITION BY h.portfolio_id ORDER BY round(abs(h.weight * coalesce(q.raw_upside_pct, 0)), 10) DESC, h.symbol) AS rank FROM hold_w h JOIN aq q ON h.symbol = q.symbol)"
@@ -208,13 +208,20 @@ QUERIES = {
     "rb7_quality_metrics": (lambda s, d: r4(rb.quality_metrics(_contributors(s, d)), "quality", "low_reject_pct", "suspicious_pct"), f"WITH {ADJ}, {CONTRIB} SELECT portfolio_id, round(sum(weight * quality_score) / sum(weight), 4) AS quality, round(sum(CASE WHEN quality_bucket IN ('low', 'reject') THEN weight ELSE 0 END) * 100, 4) AS low_reject_pct, round(sum(CASE WHEN quality_bucket IN ('low', 'reject') THEN greatest(rc, 0) ELSE 0 END) / nullif(sum(greatest(rc, 0)), 0) * 100, 4) AS suspicious_pct FROM co GROUP BY 1"),
     "rb8_signal_persistence": (lambda s, d: rb.signal_persistence(table(s, d, "history")), f"WITH {LASTH} SELECT portfolio_id, days FROM pe"),
     "rb9_rebalance_gate": (rb9, f"WITH {LASTH} SELECT portfolio_id, 'gated' AS mode, {DEC.format(v='v')} AS decision, round(hurdle, 6) AS hurdle, array_to_string(v, ',') AS vetoes FROM g2 UNION ALL SELECT portfolio_id, 'aggressive', {DEC.format(v='va')}, round(hurdle, 6), array_to_string(va, ',') FROM g2"),
-    "rb10_execution_plan": (lambda s, d: r4(rb.execution_plan(_trades(s, d), _gate(s, d)), "value"), None),
+    "rb10_execution_plan": (lambda s, d: r4(rb.execution_plan(_trades(s, d), _gate(s, d)), "value"), f"""WITH RECURSIVE {TRADE}, t AS (SELECT *, row_number() OVER (PARTITION BY portfolio_id ORDER BY round(abs(dw), 10) DESC, symbol) AS k, ['REBALANCE', 'PARTIAL_REBALANCE', 'WATCH', 'HOLD'][CAST(portfolio_id AS INT) % 4 + 1] AS d FROM tr),
+        f AS (SELECT portfolio_id, CAST(0 AS BIGINT) AS k, any_value(pv) * any_value(CASE d WHEN 'REBALANCE' THEN 25 WHEN 'PARTIAL_REBALANCE' THEN 10 ELSE 0 END) / 100 AS budget, 0 AS n, '' AS symbol, '' AS action, '' AS decision, '' AS status, CAST(0 AS BIGINT) AS shares, CAST(0 AS DOUBLE) AS value FROM t GROUP BY portfolio_id
+        UNION ALL SELECT portfolio_id, k, budget - CASE WHEN ok THEN val ELSE 0 END, n + CASE WHEN ok THEN 1 ELSE 0 END, symbol, action, d, CASE WHEN can IS NOT NULL THEN can WHEN ok THEN 'EXECUTE' ELSE 'DEFER_BUDGET' END, CASE WHEN ok THEN sh ELSE 0 END, CASE WHEN ok THEN val ELSE 0 END FROM
+            (SELECT *, can IS NULL AND round(val, 10) >= 25 AND (sh > 0 OR whole = 0) AS ok FROM (SELECT *, CASE WHEN d = 'REBALANCE' THEN tv WHEN price > 0 AND whole > 0 THEN sh * price ELSE least(tv, budget) END AS val FROM
+            (SELECT t.portfolio_id, t.k, f.budget, f.n, t.symbol, CASE WHEN dw > 0 THEN 'BUY' ELSE 'SELL' END AS action, d, tv, price, CAST(t.shares AS BIGINT) AS whole, CAST(CASE WHEN d = 'REBALANCE' THEN t.shares WHEN price > 0 THEN least(t.shares, floor(f.budget / price)) ELSE 0 END AS BIGINT) AS sh,
+                CASE WHEN round(abs(dw) * 100, 10) < 1 THEN 'IGNORE_BAND' WHEN round(tv, 10) < 25 THEN 'IGNORE_SMALL' WHEN d = 'WATCH' THEN 'MONITOR' WHEN d = 'HOLD' THEN 'HOLD' WHEN d = 'PARTIAL_REBALANCE' AND f.n >= 6 THEN 'DEFER_MAX_ACTIONS' WHEN f.budget <= 0 THEN 'DEFER_BUDGET' END AS can
+             FROM f JOIN t ON f.portfolio_id = t.portfolio_id AND t.k = f.k + 1))))
+        SELECT portfolio_id, decision, symbol, action, status, shares, round(value, 4) AS value FROM f WHERE k > 0"""),
     "rb11_sector_drift": (lambda s, d: r4(rb.sector_drift(_hold(s, d), _target(s, d), table(s, d, "instruments")), "current", "target", "drift"), f"""WITH {TRADE}, a AS (SELECT portfolio_id, sector, sum(weight) * 100 AS c FROM hold_w h JOIN instruments i ON h.symbol = i.symbol GROUP BY 1, 2), b AS (SELECT portfolio_id, sector, sum(weight) * 100 AS t FROM tgt JOIN instruments i ON tgt.symbol = i.symbol GROUP BY 1, 2)
         SELECT coalesce(a.portfolio_id, b.portfolio_id) AS portfolio_id, coalesce(a.sector, b.sector) AS sector, round(coalesce(c, 0), 4) AS current, round(coalesce(t, 0), 4) AS target, round(coalesce(t, 0) - coalesce(c, 0), 4) AS drift, abs(coalesce(t, 0) - coalesce(c, 0)) >= 3 AS outside FROM a FULL JOIN b ON a.portfolio_id = b.portfolio_id AND a.sector = b.sector"""),
     "rb12_stable_frontier": (rb12, f"""WITH {BLEND}, {CAND}, {SCORE}, {ADJ}, tot AS (SELECT portfolio_id, sum(value) AS pv FROM hold_w GROUP BY 1),
         b0 AS (SELECT h.portfolio_id, h.symbol, br.blend, h.weight AS cw FROM hold_w h CROSS JOIN br),
         t0 AS (SELECT coalesce(b0.portfolio_id, bl.portfolio_id) AS portfolio_id, coalesce(b0.symbol, bl.symbol) AS symbol, coalesce(b0.blend, bl.blend) AS blend, coalesce(bl.weight, 0) - coalesce(b0.cw, 0) AS dw FROM b0 FULL JOIN bl ON b0.portfolio_id = bl.portfolio_id AND b0.symbol = bl.symbol AND b0.blend = bl.blend),
-        tu AS (SELECT t0.portfolio_id, blend, sum(greatest(1, floor(round(abs(dw) * pv / p.price, 6))) * p.price) / max(pv) * 100 AS turnover_pct FROM t0 JOIN tot ON t0.portfolio_id = tot.portfolio_id JOIN last_price p ON t0.symbol = p.symbol WHERE abs(dw) >= 0.001 GROUP BY 1, 2),
+        tu AS (SELECT t0.portfolio_id, blend, sum(greatest(1, floor(round(abs(dw) * pv / p.price, 6))) * p.price) / max(pv) * 100 AS turnover_pct FROM t0 JOIN tot ON t0.portfolio_id = tot.portfolio_id JOIN last_price p ON t0.symbol = p.symbol WHERE round(abs(dw), 10) >= 0.001 GROUP BY 1, 2),
         c0 AS (SELECT bl.*, q.quality_bucket IN ('low', 'reject') AS poor, q.quality_score AS qs, weight * coalesce(q.raw_upside_pct, 0) AS rc, weight * coalesce(q.adjusted_pct, 0) AS ac FROM bl LEFT JOIN aq q ON bl.symbol = q.symbol),
         c1 AS (SELECT *, row_number() OVER (PARTITION BY portfolio_id, blend ORDER BY abs(round(rc, 10)) DESC, symbol) AS k FROM c0),
         m AS (SELECT portfolio_id, blend, sum(ac) AS adjusted, sum(CASE WHEN qs IS NOT NULL THEN weight * qs END) / nullif(sum(CASE WHEN qs IS NOT NULL THEN weight END), 0) AS quality, sum(CASE WHEN poor THEN greatest(rc, 0) ELSE 0 END) / nullif(sum(greatest(rc, 0)), 0) * 100 AS suspicious, sum(CASE WHEN k <= 2 THEN abs(rc) ELSE 0 END) / nullif(sum(abs(rc)), 0) * 100 AS top2 FROM c1 GROUP BY 1, 2),

@@ -74,19 +74,19 @@ VIEWS = {
 
 
 #: Tables that many queries share: kept by Spark once they are made, instead of being derived anew for each mention.
-SHARED = ("bars", "cal", "ret", "trades", "upsides", "hold_w", "instruments")
+SHARED = ("bars", "cal", "ret", "trades", "facts", "upsides", "best", "hold_w", "instruments")
 _kept: dict[tuple[str, str, str], DataFrame] = {}
 
 
-def needed(*names: str, given: tuple[str, ...] = ()) -> list[str]:
-    """The views that ``names`` depend on, in an order in which they can be made; those of ``given`` are not."""
+def needed(*names: str) -> list[str]:
+    """The views that ``names`` depend on, in an order in which they can be made."""
     import re
 
     out: list[str] = []
 
     def visit(name: str) -> None:
         for other in VIEWS:
-            if other != name and re.search(rf"\b(FROM|JOIN)\s+{other}\b", VIEWS[name], re.I) and other not in out and other not in given:
+            if other != name and re.search(rf"\b(FROM|JOIN)\s+{other}\b", VIEWS[name], re.I) and other not in out:
                 visit(other)
         if name not in out:
             out.append(name)
@@ -103,34 +103,30 @@ def with_views(sql: str) -> str:
     used = needed(*[v for v in VIEWS if re.search(rf"\b(FROM|JOIN)\s+{v}\b", sql, re.I)])
     head = ",\n".join(f"{v} AS ({VIEWS[v]})" for v in used)
     sql = sql.strip()
-    if sql[:5].upper() == "WITH ":
-        return f"WITH {head},\n{sql[5:]}" if head else sql
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if sql.upper().startswith(start):
+            return f"{start}{head},\n{sql[len(start):]}" if head else sql
     return f"WITH {head}\n{sql}" if head else sql
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A domain table or a given one. Shared ones stay in memory or on the executors' disks; lost parts are derived anew."""
-    if name not in VIEWS:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if name not in SHARED:
-        return _derived(spark, sf_dir, name)
-    fresh = _derived(spark, sf_dir, name)  # columns of its own, so that it may be joined with itself; the kept one answers
+    """A domain table or a given one, planned once. Shared ones stay in memory or on the executors' disks; lost parts are derived anew."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _kept:
         for old in [k for k in _kept if k[0] != key[0]]:
             del _kept[old]
-        _kept[key] = fresh
-    if _kept[key].storageLevel == StorageLevel.NONE:
+        _kept[key] = _derived(spark, sf_dir, name) if name in VIEWS else spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name in SHARED and _kept[key].storageLevel == StorageLevel.NONE:
         _kept[key].persist(StorageLevel.MEMORY_AND_DISK)
-    return fresh
+    return _kept[key]
 
 
 def _derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The view over the tables that it names, each of them a DataFrame: common table expressions that nest deeply slow the optimiser down."""
     import re
 
-    used = needed(name, given=tuple(n for n in SHARED if n != name))
-    sql = "WITH " + ",\n".join(f"{v} AS ({VIEWS[v]})" for v in used) + f"\nSELECT * FROM {name}"
-    found = {b for b in (*BASE, *SHARED) if b not in used and re.search(rf"\b(FROM|JOIN)\s+{b}\b", sql)}
+    sql = VIEWS[name]
+    found = {b for b in (*BASE, *VIEWS) if b != name and re.search(rf"\b(FROM|JOIN)\s+{b}\b", sql)}
     for b in found:
         sql = re.sub(rf"\b(FROM|JOIN)\s+{b}\b", rf"\1 {{{b}}}", sql)
     return spark.sql(sql, **{b: table(spark, sf_dir, b) for b in found})

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,14 +28,37 @@ def shared_dir(spark: SparkSession) -> str:
     return place
 
 
+#: Paths that ``saved`` has written since the calls of ``finished`` now under way began, innermost last.
+_written = threading.local()
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quantjobs-{name}-{uuid.uuid4().hex}"
+    for paths in getattr(_written, "stack", [])[-1:]:
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def finished(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The result of ``make``, saved; the tables that it saved on the way, on which nothing rests any more, are removed."""
+    stack = _written.stack = getattr(_written, "stack", [])
+    stack.append([])
+    try:
+        out = make()
+        steps, stack[-1] = stack[-1], []
+    finally:
+        stack.pop()
+    out = saved(out, name)
+    context = out.sparkSession.sparkContext
+    for path in steps:
+        at = context._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+    return out
+
+
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
     """Keeps Arrow batches of whole texts small, so that Python workers need little memory. A smaller setting stays.
 

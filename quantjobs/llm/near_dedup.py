@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantjobs.llm.common import load, saved, small_batches
+from quantjobs.llm.common import finished, load, saved, small_batches
 from quantjobs.llm.graph import components
 
 #: Members of a centre that one copy of its set serves; documents of a bucket's block in the last comparison.
@@ -193,8 +193,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Two documents are linked if ``times[0] * intersection >= times[1] * union`` of their shingle sets;
     component_id is the smallest id reachable. Documents without words have no shingles and no links.
     A row whose id is null has a null component and is kept. Rows that repeat an id are one document and
-    get one component. ``docs`` is read twice and should be a table.
+    get one component. ``docs`` is read twice and should be a table. The result is written to the shared folder, and
+    the tables of the way there are removed.
     """
+    return finished(lambda: _near_duplicates(docs, id_col, text_col, words, times, halves, rows, rounds), "near_duplicates")
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, words: int, times: tuple[int, int], halves: int, rows: int, rounds: int) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     rows_ = saved(sketches(docs, id_col, text_col, words, halves, rows), "sketches")

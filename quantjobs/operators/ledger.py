@@ -250,7 +250,14 @@ def real_daily(history: DataFrame, ledger: DataFrame, movements: DataFrame, benc
     eq = history.select(*keys, F.col("value").alias("portfolio_value"), "cost_basis")
     flow = F.when(F.col("side") == "SELL", -F.col("gross_value").cast("double")).otherwise(F.col("gross_value").cast("double"))
     flows = ledger.select("portfolio_id", F.col("trade_date").alias("date"), flow.alias("cash_flow"))
-    sign = lambda **of: reduce(lambda x, kv: x.when(c("operation") == kv[0], kv[1] * c("value")), of.items(), F).otherwise(0.0)
+
+    def sign(**signs: int) -> Column:
+        """The value of the operations named, with their signs; 0 for others."""
+        out = F.lit(0.0)
+        for name, factor in signs.items():
+            out = F.when(c("operation") == name, factor * c("value")).otherwise(out)
+        return out
+
     known = movements.where(c("operation").isin("APORTE", "SAQUE", "DIVIDENDO", "BOLSA", "APLICACAO_FUNDO", "RESGATE_FUNDO"))
     ops = known.select(*keys, sign(APORTE=1, SAQUE=-1).alias("external"), sign(DIVIDENDO=1).alias("dividends"), sign(APORTE=1, SAQUE=-1, DIVIDENDO=1, BOLSA=1, APLICACAO_FUNDO=-1, RESGATE_FUNDO=1).alias("cash"), sign(APLICACAO_FUNDO=1, RESGATE_FUNDO=-1).alias("into_fund"))
     days = movements.select(*keys)  # a day of another operation is a day of the series, too

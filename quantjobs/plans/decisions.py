@@ -57,7 +57,7 @@ def rb2(s, d):
 
 
 def _candidates(s, d):
-    f = F.broadcast(table(s, d, "upsides").select("symbol", "upside", "sharpe", "momentum"))
+    f = table(s, d, "upsides").select("symbol", "upside", "sharpe", "momentum")
     return _blends(s, d).join(f, "symbol").groupBy("portfolio_id", "blend").agg((F.sum(F.col("weight") * F.col("upside")) * 100).alias("expected_return"), F.sum(F.col("weight") * F.col("sharpe")).alias("sharpe"), F.sum(F.col("weight") * F.col("momentum")).alias("momentum"))
 
 

@@ -164,5 +164,5 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: li
 
 def daily_composition(bars: DataFrame, weights: DataFrame, value: float = 1.0) -> DataFrame:
     """(date, composition): JSON of {symbol: {weight, value}} of the symbols traded that day."""
-    rows = bars.join(F.broadcast(weights), "symbol").select("date", "symbol", F.struct("weight", F.round(F.col("weight") * F.col("close") * value, 6).alias("value")).alias("v"))
+    rows = bars.join(weights, "symbol").select("date", "symbol", F.struct("weight", F.round(F.col("weight") * F.col("close") * value, 6).alias("value")).alias("v"))
     return rows.groupBy("date").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("symbol", "v"))))).alias("composition"))

@@ -90,29 +90,38 @@ def known_digests(spark: SparkSession, known: dict[str, list[str]]) -> DataFrame
     return rows.select(F.sha2(canonical(without_copyright(F.col("text"))), 256).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
 
 
+def licenses_of(lines: Column, names: dict[str, str]) -> Column:
+    """Names of the lines whose digests are keys of ``names``; null for the others."""
+    pairs = [F.lit(x) for pair in sorted(names.items()) for x in pair]
+    known = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
+    return F.transform(lines, lambda x: F.try_element_at(known, F.sha2(x, 256)))
+
+
 def scan(docs: DataFrame, known: dict[str, list[str]] | None = None, text: str = "text") -> DataFrame:
     """Adds text_digest, text_license (of the entire text) and licenses (sorted, of all lines and the text).
 
+    Entire texts are hash-joined to the known digests, which are broadcast; lines and notices are looked up in
+    the same list within the row, so a text is read once and never shuffled, however often it is repeated.
     Null texts count as empty; an empty canonical text or line is never a licence; repeated rows give
     equal rows; other columns are kept, but those of the new
-    names (and _key, _found, digest, _text, _name) are replaced. The digest table is as small as the list of known texts.
+    names (and _text, _name) are replaced. The digest table is as small as the list of known texts.
     """
-    docs = without(docs, "text_digest", "text_license", "licenses", "_key", "_found", "digest", "_text", "_name")
+    docs = without(docs, "text_digest", "text_license", "licenses", "_text", "_name")
     spark = docs.sparkSession
-    table = F.broadcast(known_digests(spark, known or KNOWN))
+    known = known or KNOWN
+    table = known_digests(spark, known)
+    names = {r["digest"]: r["license"] for r in table.collect()}  # one row a known text
     texts = F.broadcast(spark.createDataFrame([(d, name) for name, ds in DIGESTS.items() for d in ds], "_text string, _name string"))
-    sizes = sorted({r["n"] for r in spark.createDataFrame([(t,) for ts in (known or KNOWN).values() for t in ts], "t string").select(F.size(F.split(canonical(without_copyright(F.col("t"))), " ")).alias("n")).collect()})
+    sizes = sorted({r["n"] for r in spark.createDataFrame([(t,) for ts in known.values() for t in ts], "t string").select(F.size(F.split(canonical(without_copyright(F.col("t"))), " ")).alias("n")).collect()})
     whole = without_copyright(whole_text(text))
-    keyed = docs.withColumn("_key", F.sha2(whole_text(text), 256)).withColumn("_text", text_key(whole_text(text))).withColumn("text_digest", F.sha2(canonical(whole), 256))
     lines = F.concat(F.transform(F.split(whole, "\n"), canonical), notices(whole_text(text), sizes))
     lines = F.array_distinct(F.filter(lines, lambda x: x != ""))
-    each = docs.select(F.sha2(whole_text(text), 256).alias("_key"), F.explode(F.transform(lines, lambda x: F.sha2(x, 256))).alias("digest"))
-    found = each.join(table, "digest").groupBy("_key").agg(F.collect_set("license").alias("_found"))  # no larger than the list
-    entire = table.select(F.col("digest").alias("text_digest"), F.col("license").alias("text_license"))
-    out = keyed.join(entire, "text_digest", "left").join(texts, "_text", "left").join(found, "_key", "left")
-    out = out.withColumn("text_license", F.coalesce("text_license", "_name"))
-    every = F.concat(F.coalesce("_found", F.array().cast("array<string>")), F.array_compact(F.array("text_license")))
-    return out.select(*docs.columns, "text_digest", "text_license", F.array_sort(F.array_distinct(every)).alias("licenses"))
+    found = F.array_compact(licenses_of(lines, names))
+    keyed = docs.withColumn("_text", text_key(whole_text(text))).withColumn("text_digest", F.sha2(canonical(whole), 256)).withColumn("licenses", found)
+    entire = F.broadcast(table.select(F.col("digest").alias("text_digest"), F.col("license").alias("text_license")))
+    out = keyed.join(entire, "text_digest", "left").join(texts, "_text", "left")
+    every = F.concat("licenses", F.array_compact(F.array(F.coalesce("text_license", "_name"))))
+    return out.select(*[f"`{c}`" for c in docs.columns], "text_digest", F.coalesce("text_license", "_name").alias("text_license"), F.array_sort(F.array_distinct(every)).alias("licenses"))
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

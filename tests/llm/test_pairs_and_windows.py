@@ -19,6 +19,7 @@ from quantjobs.llm import decontamination as dc
 from quantjobs.llm import hard_negatives as hn
 from quantjobs.llm import spelling as sp
 from quantjobs.llm import topk
+from quantjobs.llm.license_scan import scan as scan_licenses
 
 
 # Operator 12.
@@ -248,3 +249,18 @@ def test_topk_of_vectors_of_several_lengths(spark):
         want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(own)]
     assert got == sorted(want)
     assert topk.top_k(df.where("vec_id = 10"), F.col("id") % 10 == 0).count() == 0  # no candidate but itself
+
+
+def test_license_scan_of_repeated_long_and_clashing_rows(spark):
+    """Copies of a text, one of two million characters and one of many lines, get what a look at each line gives."""
+    notice = "Licensed under the MIT License."
+    long = "word " * 400_000 + "\n" + notice
+    many = "\n".join([*(f"line {k}" for k in range(20_000)), "All rights reserved.", "SPDX-License-Identifier: Apache-2.0"])
+    rows = [(1, long, "x"), (2, many, "y"), (3, None, "z"), (4, "", "z"), *[(5, notice, "t")] * 300]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, Licenses string")
+    got = scan_licenses(docs)
+    assert got.columns == ["doc_id", "text", "text_digest", "text_license", "licenses"]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") + plan.count("Scan ExistingRDD") == 3  # documents once, two lists of digests
+    found = got.groupBy("doc_id", "text_license", "licenses").count().collect()
+    assert {(r[0], r[1], tuple(r[2]), r[3]) for r in found} == {(1, None, ("MIT",), 1), (2, None, ("Apache-2.0", "proprietary"), 1), (3, None, (), 1), (4, None, (), 1), (5, "MIT", ("MIT",), 300)}

@@ -2,7 +2,10 @@
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from quantjobs.operators import ledger as lg
+from quantjobs.operators import rebalance as rb
 
 
 def shuffled_after(df, node):
@@ -55,3 +58,18 @@ def test_folded_and_scanned_cost_basis_are_equal(spark):
     ledger, _ = traded(spark)
     folded, scanned = ({(r["portfolio_id"], r["symbol"], r["date"]): (round(r["qty"], 9), round(r["basis"], 9)) for r in lg.cost_basis(ledger, many=m).collect()} for m in (10, 1))
     assert folded == scanned and len(folded) == 20
+
+
+def test_blends_are_summed_without_a_row_a_blend_and_symbol(spark):
+    hold = spark.createDataFrame([(p, s, w, 1000 * w) for p, ws in {"a": (0.5, 0.3, 0.2), "b": (1.0, 0.0005, 0.0)}.items() for s, w in zip("XYZ", ws)], "portfolio_id string, symbol string, weight double, value double")
+    ideal = spark.createDataFrame([("Y", 0.6), ("V", 0.4)], "symbol string, weight double")
+    facts = spark.createDataFrame([("X", 0.1), ("Y", None), ("Z", -0.2), ("V", 0.3)], "symbol string, upside double")
+    out = rb.blend_sums(hold, ideal, facts)
+    assert not shuffled_after(out, "MapInArrow") and "explode" not in out._jdf.queryExecution().executedPlan().toString()
+    sums = F.count("*").alias("n"), F.sum("weight").alias("total"), F.sum(F.col("weight") * F.col("upside")).alias("up")
+    slow = {(r["portfolio_id"], r["blend"]): r for r in rb.blend_candidates(hold, ideal).join(facts, "symbol").groupBy("portfolio_id", "blend").agg(*sums).collect()}
+    rows = out.collect()
+    assert len(rows) == len(slow) == 202
+    for r in rows:
+        s = slow[r["portfolio_id"], r["blend"]]
+        assert r["n"] == s["n"] and abs(r["total"] - s["total"]) < 1e-12 and abs(r["expected_return"] - 100 * s["up"]) < 1e-9 and r["sharpe"] is None

@@ -9,6 +9,7 @@ from quantjobs.operators import ledger as lg
 from quantjobs.operators import timeseries as ts
 from quantjobs.plans.fixtures import table
 from quantjobs.plans.market import r6
+from quantjobs.sources.tables import scratch
 
 END = "1995-12-31"
 
@@ -49,7 +50,7 @@ def _alloc(s, d):
 
 
 def _ledger(s, d):
-    return lg.build_ledger(table(s, d, "trades"), _alloc(s, d))
+    return lg.fee_ledger(table(s, d, "trades"), table(s, d, "fees"))
 
 
 def lg7(s, d):
@@ -77,7 +78,8 @@ def lg9(s, d):
 
 
 def lg9_queue(s, d):
-    ledger = lg.resolve_symbols(_named(s, d), _dim(s, d))
+    named = _named(s, d).groupBy("raw_name", "side").agg(F.sum("quantity").alias("quantity"))  # names are resolved alike in all trades
+    ledger = lg.resolve_symbols(scratch(named, "named"), _dim(s, d))
     previous = ledger.sparkSession.createDataFrame([("CDB BANCO", "ignored")], "name string, status string")
     return lg.review_queue(ledger, table(s, d, "instruments"), previous).select("name", "qty", "score", "confidence", "status")
 

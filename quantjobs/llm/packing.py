@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantjobs.llm.byte_bpe import encode_text, spaced
-from quantjobs.llm.common import load, saved, small_batches, spread, with_columns_of, without
+from quantjobs.llm.common import load, saved, small_batches, spread, whole_text, with_columns_of, without
 
 CAPACITY, SHARD_ITEMS, ISLANDS, EPOCHS, POPULATION, OFFSPRING = 2048, 4096, 3, 8, 12, 32
 #: Share of a shard's bins, its emptiest, whose pieces are packed anew with those of other shards.
@@ -67,23 +67,25 @@ def coder(file: str):
     return lambda x: np.asarray(library.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
-def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = CAPACITY, text: str = "text", with_ids: bool = True) -> DataFrame:
+def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = CAPACITY, text: str = "text", with_ids: bool = True, along: str | None = None) -> DataFrame:
     """One row per piece: the input's columns without the text, and piece, start, length, ids_crc32 and ids.
 
     Ids are those of the tokenizers file without added special tokens, then ``end_id``; special tokens that
     stand in the text are encoded as that library does. The checksum is of little-endian unsigned 32-bit ids;
     ``with_ids`` False leaves the ids themselves out. A document longer than ``capacity`` is cut into full pieces
     behind a first piece that takes what is left. Null and empty texts give the end id alone. Repeated rows give
-    repeated pieces. Input columns of the new names are replaced.
+    repeated pieces. ``along`` names an array column with one element for each piece of its document; every piece gets
+    its own. Input columns of the new names are replaced.
     """
     spark = docs.sparkSession
     small_batches(spark)
     docs = without(docs, "piece", "start", "length", "ids_crc32", "ids")
     with open(tokenizer_path, encoding="utf-8") as file:
         shipped = spark.sparkContext.broadcast(file.read())
-    rest = docs.drop(text)
-    new = ["piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
-    schema = with_columns_of(rest, "piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids)
+    rest = docs.drop(text, *[along] * bool(along))
+    new = ["piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids + [along] * bool(along)
+    own = f", `{along}` {docs.schema[along].dataType.elementType.simpleString()}" if along else ""
+    schema = with_columns_of(rest, "piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids + own)
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,11 +105,16 @@ def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: in
                     row.append(i), piece.append(k), start.append(a), length.append(b - a), crc.append(zlib.crc32(whole[4 * a : 4 * b]))
                 if with_ids:
                     flat.append(whole)
-            kept = batch.drop_columns([text]).take(pa.array(row, pa.int64()))
+            kept = batch.drop_columns([text, *[along] * bool(along)]).take(pa.array(row, pa.int64()))
             made = [pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
             if with_ids:
                 ids = pa.Array.from_buffers(pa.int32(), sum(length), [None, pa.py_buffer(b"".join(flat))])
                 made.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(length)], pa.int32()), ids))
+            if along:
+                lists = batch.column(along)
+                if lists.value_lengths().to_pylist() != np.bincount(np.array(row, dtype=np.int64), minlength=len(lists)).tolist():
+                    raise ValueError(f"{along} must hold one element for each piece")
+                made.append(lists.flatten())
             yield pa.RecordBatch.from_arrays([*kept.columns, *made], names=[*kept.schema.names, *new])
 
     return docs.mapInArrow(run, schema)
@@ -286,8 +293,23 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, with_ids: bool = True) -> DataFrame:
-    """Every piece of the documents with its place in a sequence, and its token ids."""
+    """Every piece of the documents with its place in a sequence, and its token ids.
+
+    Pieces are packed without their ids. Texts then move once to the places of their pieces, and are tokenised again
+    there: they are less than their ids, which are neither written nor shuffled. With ids ``docs`` is read twice and
+    should be a table.
+    """
     import public_tokenizers as P
 
-    pieces = tokenise(docs.select("doc_id", "text"), P.path("byte_bpe_50k.json"), with_ids=with_ids)
-    return pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *["ids"] * with_ids)
+    path, names = P.path("byte_bpe_50k.json"), ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    rows = docs.select("doc_id", "text")
+    if not with_ids:
+        return pack(tokenise(rows, path, with_ids=False)).select(names)
+    same = F.concat(F.md5(whole_text()), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))  # rows alike in both columns
+    rows = rows.withColumn("_same", same)
+    light = tokenise(rows.withColumn("_row", F.monotonically_increasing_id()), path, with_ids=False)  # pack() writes it, so that numbers stay
+    places = F.array_sort(F.collect_list(F.struct("piece", "sequence_id", "offset"))).alias("_place")
+    placed = pack(light.select("doc_id", "_same", "_row", "piece", "length")).groupBy("_row", "_same", "doc_id").agg(places)
+    texts = rows.groupBy("_same").agg(F.first("text").alias("text"))
+    out = tokenise(placed.join(texts, "_same").select("doc_id", "text", "_place"), path, along="_place")
+    return out.select(*names[:5], "_place.sequence_id", "_place.offset", "ids")

@@ -255,9 +255,13 @@ def redacted_text(text: Column, spans: Column, mark: str = "[SECRET]") -> Column
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with every secret replaced in ``text``; all rows and columns stay. Null texts stay null."""
+    """``docs`` with every secret replaced in ``text``; all rows and columns stay. Null texts stay null.
+
+    Texts are scanned twice, for the thresholds and for the spans, as a table of what was found would hold them all:
+    ``docs`` should be a table.
+    """
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("text"))
-    found = saved(analyse(rows), "secrets")
+    found = analyse(rows)
     spans = secret_spans(found, thresholds(found)).withColumn("text", redacted_text(F.col("text"), F.col("_spans")))
     return spans.select(*[F.col("text").alias(c) if c == text else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
